@@ -67,8 +67,11 @@ def is_comparable(have: DataFrame, want: DataFrame) -> bool:
 
 
 def comparable(have: DataFrame, want: DataFrame) -> DataFrame:
-    """C11 as a result row: whether the shapes can be compared, with both sides' descriptors."""
-    return have.sparkSession.range(1).select(F.lit("comparable").alias("kind"), F.lit(is_comparable(have, want)).alias("passed"), descriptors(have).alias("have_columns"), descriptors(want).alias("want_columns"))
+    """C11 as a result row: whether the shapes can be compared, with both sides' descriptors and row counts."""
+    one = F.lit(1).alias("__one")
+    left, right = have.agg(F.count("*").alias("have_rows")).select(one, "have_rows"), want.agg(F.count("*").alias("want_rows")).select(one, "want_rows")
+    both = left.join(F.broadcast(right), "__one")
+    return both.select(F.lit("comparable").alias("kind"), F.lit(is_comparable(have, want)).alias("passed"), "have_rows", "want_rows", descriptors(have).alias("have_columns"), descriptors(want).alias("want_columns"))
 
 
 def _aligned(have: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -86,12 +86,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = _SHA.sub(r"sha2(\1, 256)", DERIVED[name])
-    return spark.sql(text, **{x: table(spark, sf_dir, x) for x in dict.fromkeys(re.findall(r"\{(\w+)\}", text))})
+    return spark.sql(text, **{x: table(spark, sf_dir, x) for x in dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", text))})
 
 
 def _needs(name: str) -> list[str]:
     out: list[str] = []
-    for x in re.findall(r"\{(\w+)\}", DERIVED.get(name, "")):
+    for x in re.findall(r"\{([a-z]\w*)\}", DERIVED.get(name, "")):
         out += [y for y in [*_needs(x), x] if y in DERIVED and y not in out]
     return out
 
@@ -99,9 +99,9 @@ def _needs(name: str) -> list[str]:
 def oracle(sql: str) -> str:
     """SQL with {name} for tables, as one statement for the oracle: derived tables become CTEs in front."""
     wanted: list[str] = []
-    for x in re.findall(r"\{(\w+)\}", sql):
+    for x in re.findall(r"\{([a-z]\w*)\}", sql):
         wanted += [y for y in [*_needs(x), x] if y in DERIVED and y not in wanted]
-    plain = lambda s: _SHA.sub(r"sha256(\1)", re.sub(r"\{(\w+)\}", r"\1", s))
+    plain = lambda s: _SHA.sub(r"sha256(\1)", re.sub(r"\{([a-z]\w*)\}", r"\1", s))
     parts = [f"{x} AS ({plain(DERIVED[x])})" for x in wanted]
     body = plain(sql).strip()
     if not parts:
