@@ -152,7 +152,7 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Only the stuck nodes reach Python, a project at a time; the cycle starts at its least id.
     """
-    stuck = stuck_nodes(nodes, edges)
+    stuck = _fresh(stuck_nodes(nodes, edges))
     inner = edges.select("project", "child", "parent").distinct().join(stuck.withColumnRenamed("id", "parent"), ["project", "parent"], "left_semi").join(stuck.withColumnRenamed("id", "child"), ["project", "child"], "left_semi")
     # any stuck node has a stuck dependency, so following the least one must come round
     least = inner.groupBy("project", F.col("child").alias("id")).agg(F.min("parent").alias("next"))
