@@ -110,6 +110,12 @@ def replay(events: DataFrame, path: str, build: Callable[[DataFrame], DataFrame]
     """Writes events as `parts` files by time, streams them one file a batch through `build` and returns what it has put out."""
     spark = events.sparkSession
     (events.repartitionByRange(parts, order_by).sortWithinPartitions(order_by).write.mode("overwrite").parquet(f"{path}/in"))
+    # the file source takes the oldest file first: file times follow the events' order
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/in")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    for i, file in enumerate(files):
+        fs.setTimes(file, 1_600_000_000_000 + 60_000 * i, -1)
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     query = build(source).writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", f"{path}/out").trigger(availableNow=True).start()
     query.awaitTermination()
