@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .packing import expand
-from .textscan import ALNUM, LOWER, cut_spans, per_text, slices, span_hashes, staged, text_bytes, word_hashes, words
+from .textscan import ALNUM, LOWER, cut_spans, map_batches, per_text, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 WINDOW = 10
 SAMPLE = 8
@@ -219,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     schema += ", clean string" * clean_text + "".join(f", `{c}` {kinds[c].dataType.simpleString()}" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):  # one index a slice: larger ones cost less each
             data, off = text_bytes(batch.column("text"))
             n = len(off) - 1
             hit, pairs, base = None, [set() for _ in range(n)], None
@@ -244,7 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                 names.append("clean")
             yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in extra)], [*names, *extra])
 
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", "text", *extra), run, schema)
 
 
 def ragged_pairs(spans: np.ndarray, per: np.ndarray) -> pa.Array:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .textscan import mix, per_text, slices, text_bytes
+from .textscan import map_batches, mix, per_text, slices, text_bytes
 
 SIZES = (2, 3, 4)
 HASHES = 3
@@ -127,7 +127,7 @@ def learn(docs: DataFrame, per_language: int = 1500, least: int = 3, share: floa
                     values, n = np.unique(code[of == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(n), i, np.int32)), pa.array(n)], ["code", "lang", "n"])
 
-    counts = sample.mapInArrow(count, "code long, lang int, n long").groupBy("code", "lang").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample, count, "code long, lang int, n long").groupBy("code", "lang").agg(F.sum("n").alias("n"))
     table = counts.where(F.col("n") >= least).toPandas()  # bounded by the sample
     code, lang, n = table["code"].to_numpy(np.int64), table["lang"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
     rate = n / np.maximum(np.bincount(lang, n, len(names)), 1)[lang]
@@ -167,4 +167,4 @@ def identify(docs: DataFrame, model: BitSlicedBloom, keep: tuple[str, ...] = ("d
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"])
     columns = [*keep] + (["text"] if "text" not in keep else [])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return map_batches(docs.select(*columns), run, schema)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textscan import slices, span_hashes, staged, text_bytes, _BYTE_CODE
+from .textscan import map_batches, slices, span_hashes, staged, text_bytes, _BYTE_CODE
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -150,7 +150,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
             keys = batch.column("doc_id").cast(pa.int64()).take(pa.array(text))
             yield pa.RecordBatch.from_arrays([keys, pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return map_batches(docs.select("doc_id", "text"), run, PIECES)
 
 
 def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -285,7 +285,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFr
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kept = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "nth")
-    return kept.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return map_batches(kept, place, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

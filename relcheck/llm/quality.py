@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .features import STYLE, labelled_sample, style
 from .lang_id import held_out
-from .textscan import slices, text_bytes
+from .textscan import map_batches, slices, text_bytes
 
 
 def _split(grad: np.ndarray, hess: np.ndarray, depth: int, l2: float, least: float) -> np.ndarray:
@@ -118,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             x = style(*text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(len(STYLE))), batch.column(label)], [*STYLE, label])
 
-    sample = labelled_sample(docs, labels, [label], most).mapInArrow(run, ", ".join(f"{c} double" for c in STYLE) + f", {label} int").toPandas()
+    sample = map_batches(labelled_sample(docs, labels, [label], most), run, ", ".join(f"{c} double" for c in STYLE) + f", {label} int").toPandas()
     sample = sample.sort_values([*STYLE, label], ignore_index=True)  # the same sums whatever the tasks' order
     return AdditiveModel().fit(sample[list(STYLE)].to_numpy(), sample[label].to_numpy(float))
 
@@ -133,5 +133,5 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    found = map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, predicted int")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .textscan import LOWER, NOT_SPACE, slices, staged, text_bytes, words
+from .textscan import LOWER, NOT_SPACE, map_batches, slices, staged, text_bytes, words
 
 RADIUS = 3
 SHINGLE = 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = fingerprints_of(*text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 class BKTree:
@@ -173,7 +173,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, shard_limit: int =
     rows = ready[0]
     for part in ready[1:]:
         rows = rows.union(part)
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long")
+    return map_batches(rows.repartition("shard").sortWithinPartitions("shard"), search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .packing import expand
-from .textscan import ALNUM, LOWER, cut_spans, slices, span_hashes, staged, text_bytes, word_hashes, words
+from .textscan import ALNUM, LOWER, cut_spans, map_batches, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 LENGTH = 50
 K = 8
@@ -78,7 +78,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                 ["gram", "context", "doc_id", "row", "lo", "hi"],
             )
 
-    suffixes = staged(keyed.mapInArrow(find, "gram long, context long, doc_id long, row long, lo int, hi int"))
+    suffixes = staged(map_batches(keyed, find, "gram long, context long, doc_id long, row long, lo int, hi int"))
     shared = suffixes.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").select("gram", "mixed")
     candidates = staged(suffixes.join(shared, "gram"))
     place = F.struct("doc_id", "row", "lo", "hi")
@@ -109,7 +109,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").cast(pa.int64()).take(take), batch.column("row").take(take), pa.array(s.astype(np.int32)), pa.array(np.repeat(pairs[:, 2], count))], ["window", "doc_id", "row", "s", "n"])
 
-    windows = staged(needed.select("doc_id", "row", "text", "ranges").mapInArrow(extend, "window long, doc_id long, row long, s int, n long").distinct())
+    windows = staged(map_batches(needed.select("doc_id", "row", "text", "ranges"), extend, "window long, doc_id long, row long, s int, n long").distinct())
     twice = windows.groupBy("window").agg(F.min(F.struct("doc_id", "row", "s")).alias("f"), F.sum("n").alias("n")).where("n > 1").select("window", "f")
     met = windows.drop("n").join(twice, "window")
     is_first = same & (F.col("s") == F.col("f.s"))
@@ -173,4 +173,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
                 columns["n_chars"] = pa.array([len(n) if t else o for n, t, o in zip(new, touched.tolist(), batch.column("n_chars").to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([*columns.values()], names).filter(pa.array(keep))
 
-    return keyed.mapInArrow(cut, docs.schema)
+    return map_batches(keyed, cut, docs.schema)

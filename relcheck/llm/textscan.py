@@ -13,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once in a task; single texts beyond it are handled whole, alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to a task's Python at once, so that a worker holds a few MB of usual texts.
+BATCH_ROWS = 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -53,13 +56,22 @@ def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
         base = _BASE if kind == "up" else np.uint64(pow(int(_BASE), -1, 1 << 64))
-        size = max(n, 2 * len(have))
+        size = 1 << (n - 1).bit_length()
         have = np.full(size, base, np.uint64)
         have[0] = 1
         _powers[kind] = have = np.cumprod(have, dtype=np.uint64)
     return have[:n]
 
 
+def map_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS at most: the session's own limit counts if it is lower."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece has about `limit` bytes of text at most (one row at least)."""
     for batch in batches:
