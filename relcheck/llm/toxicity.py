@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .features import STYLE, labelled_sample, style
 from .lang_id import held_out
-from .textscan import ALNUM, LOWER, slices, text_bytes, word_hashes, words
+from .textscan import ALNUM, LOWER, map_batches, slices, staged, text_bytes, word_hashes, words
 
 CATEGORIES = ("poor", "toxic")
 
@@ -62,8 +62,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5, steps: int = 25)
 class Chain:
     """Logistic models in a row, each fed with the features and the earlier categories' log odds."""
 
-    def __init__(self, vocabulary: np.ndarray, folds: int = 5):
-        self.vocabulary, self.folds, self.weights = vocabulary, folds, []
+    def __init__(self, vocabulary: np.ndarray, folds: int = 5, own: np.ndarray | None = None):
+        """vocabulary: sorted word hashes; own: which of them (columns) each category (row) looks at, all by default."""
+        self.vocabulary, self.folds, self.weights, self.own = vocabulary, folds, [], own
         self.mean, self.scale = np.zeros(len(STYLE)), np.ones(len(STYLE))
 
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -72,15 +73,19 @@ class Chain:
     def _odds(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
         return np.clip(x @ w[:-1] + w[-1], -8, 8)[:, None]
 
+    def _input(self, c: int, x: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
+        n = len(self.vocabulary)
+        plain = x[:, :n] if self.own is None else x[:, :n] * self.own[c]
+        return np.hstack([plain, *earlier]) if c else np.hstack([plain, x[:, n:]])
+
     def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> "Chain":
         style_part = x[:, len(self.vocabulary) :]
         if len(x):
             self.mean, self.scale = style_part.mean(axis=0), style_part.std(axis=0) + 1e-9
-        plain = x[:, : len(self.vocabulary)]
-        x = np.hstack([plain, (style_part - self.mean) / self.scale])
-        earlier = []
+        whole = np.hstack([x[:, : len(self.vocabulary)], (style_part - self.mean) / self.scale])
+        earlier: list[np.ndarray] = []
         for c in range(y.shape[1]):
-            x = np.hstack([plain, *earlier]) if c else x
+            x = self._input(c, whole, earlier)
             odds = np.zeros((len(x), 1))
             for k in range(self.folds):
                 out = fold == k
@@ -92,21 +97,19 @@ class Chain:
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         x = self.features(data, off)
-        plain, earlier = x[:, : len(self.vocabulary)], []
+        earlier: list[np.ndarray] = []
         for c, w in enumerate(self.weights):
-            earlier.append(self._odds(np.hstack([plain, *earlier]) if c else x, w))
+            earlier.append(self._odds(self._input(c, x, earlier), w))
         return 1 / (1 + np.exp(-np.hstack(earlier)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, most: int = 8_000, vocabulary: int = 256, least: int = 5, share: float = 0.08, chi_squared: float = 40.0, folds: int = 5) -> Chain:
     """Fits the chain to a bounded sample of `most` labelled documents that are not held out.
 
-    Of the words in `least` sampled documents or more, the `vocabulary` ones with the largest
-    chi-squared statistic for any category, of at least `chi_squared`, are features, if `share` of some
-    category's documents have them: words of one family of copies say nothing about other texts. Without labels every probability is one half.
+    A category looks at the `vocabulary` words with the largest chi-squared statistic for it, of at least
+    `chi_squared`, that `least` sampled documents have and `share` of the category's own: words of one family
+    of copies say nothing about other texts. Without labels every probability is one half.
     """
-    from .textscan import staged
-
     sample = staged(labelled_sample(docs, labels, list(categories), most))
     totals = sample.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
     n, positive = totals[0], [float(x or 0) for x in totals[1:]]
@@ -118,21 +121,23 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
             sums = [np.bincount(which, batch.column(c).to_numpy()[text], len(unique)).astype(np.int64) for c in categories]
             yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(np.bincount(which, minlength=len(unique))), *map(pa.array, sums)], ["word", "n", *categories])
 
-    found = sample.mapInArrow(count, "word long, n long, " + ", ".join(f"`{c}` long" for c in categories)).groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in categories))
-    chi = []
+    found = staged(map_batches(sample, count, "word long, n long, " + ", ".join(f"`{c}` long" for c in categories)).groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in categories)))
+    top: list[set] = []
     for c, pos in zip(categories, positive):
         gap = F.col(c) * float(n) - F.col("n") * pos
-        chi.append(gap * gap * float(n) / (F.greatest(F.lit(1.0), F.col("n") * F.lit(float(n)) - F.col("n") * F.col("n")) * max(1.0, pos * (n - pos))))
-    found = found.withColumn("chi", F.greatest(*chi, F.lit(0.0))).where((F.col("n") >= least) & (F.col("chi") >= chi_squared) & F.greatest(*(F.col(c) >= share * pos for c, pos in zip(categories, positive)), F.lit(False)))
-    top = found.orderBy(F.desc("chi"), "word").limit(vocabulary).select("word").collect()
-    chain = Chain(np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64)), folds)
+        chi = gap * gap * float(n) / (F.greatest(F.lit(1.0), F.col("n") * F.lit(float(n)) - F.col("n") * F.col("n")) * max(1.0, pos * (n - pos)))
+        telling = found.withColumn("chi", chi).where((F.col("n") >= least) & (F.col("chi") >= chi_squared) & (F.col(c) >= share * pos))
+        top.append({r[0] for r in telling.orderBy(F.desc("chi"), "word").limit(vocabulary).select("word").collect()})
+    all_words = np.sort(np.array(sorted(set().union(*top)), np.int64).view(np.uint64))
+    own = np.array([[w in t for w in all_words.view(np.int64).tolist()] for t in top], np.float32).reshape(len(categories), -1)
+    chain = Chain(all_words, folds, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = chain.features(*text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64())), *(batch.column(c) for c in categories)], ["doc_id", "x", *categories])
 
-    rows = sample.mapInArrow(run, "doc_id long, x array<double>, " + ", ".join(f"`{c}` int" for c in categories)).toPandas()
+    rows = map_batches(sample, run, "doc_id long, x array<double>, " + ", ".join(f"`{c}` int" for c in categories)).toPandas()
     rows = rows.sort_values("doc_id", ignore_index=True)
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(chain.vocabulary) + len(STYLE)))
     fold = (rows["doc_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % folds
@@ -153,5 +158,5 @@ def score(docs: DataFrame, chain: Chain, categories: tuple[str, ...] = CATEGORIE
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, j]) for j in range(len(names)))], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in names))
+    found = map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in names))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *names, F.col(names[-1]).alias("score"), (F.col(names[-1]) >= 0.5).cast("int").alias("predicted"))
