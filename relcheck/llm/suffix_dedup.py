@@ -79,7 +79,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             )
 
     suffixes = staged(map_batches(keyed, find, "gram long, context long, doc_id long, row long, lo int, hi int"))
-    shared = suffixes.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").select("gram", "mixed")
+    # written first: a join of two plain exchanges is one whose large partitions adaptive execution can split
+    shared = staged(suffixes.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").select("gram", "mixed"))
     candidates = staged(suffixes.join(shared, "gram"))
     place = F.struct("doc_id", "row", "lo", "hi")
     contexts = staged(candidates.groupBy("context", "gram").agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("mixed").alias("mixed")))
@@ -110,7 +111,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").cast(pa.int64()).take(take), batch.column("row").take(take), pa.array(s.astype(np.int32)), pa.array(np.repeat(pairs[:, 2], count))], ["window", "doc_id", "row", "s", "n"])
 
     windows = staged(map_batches(needed.select("doc_id", "row", "text", "ranges"), extend, "window long, doc_id long, row long, s int, n long").distinct())
-    twice = windows.groupBy("window").agg(F.min(F.struct("doc_id", "row", "s")).alias("f"), F.sum("n").alias("n")).where("n > 1").select("window", "f")
+    twice = staged(windows.groupBy("window").agg(F.min(F.struct("doc_id", "row", "s")).alias("f"), F.sum("n").alias("n")).where("n > 1").select("window", "f"))
     met = windows.drop("n").join(twice, "window")
     is_first = same & (F.col("s") == F.col("f.s"))
     begin = F.when(~is_first & same, F.greatest("s", F.col("f.s") + length)).otherwise(F.col("s"))
