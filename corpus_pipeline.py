@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relcheck.llm import decontam, lang_id, packing, simhash, suffix_dedup
+from relcheck.llm import decontam, lang_id, packing, similar, suffix_dedup
 from relcheck.llm.textscan import staged
 
 
@@ -23,11 +23,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least id stays, once.
+    """Of each component of near-duplicates (five-word shingles, Jaccard 0.8) the document with the least id stays, once.
 
     Rows without an id can't be named by a component and stay.
     """
-    found = simhash.near_duplicates(docs)
+    found = similar.near_duplicates(docs)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

@@ -24,15 +24,17 @@ RADIUS = 3
 SHINGLE = 3
 
 
-def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text as uint64; 0 for texts without words."""
+def shingle_hashes(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every text's shingles in text order, and where each text's begin (rows + 1).
+
+    A text of fewer words than a shingle is one shingle; one without words has none.
+    """
     import xxhash
 
     lowered = LOWER[data]
     starts, ends, at = words(lowered, off, NOT_SPACE)
-    out = np.zeros(len(off) - 1, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     size = ends - starts
     new_start = np.cumsum(size + 1) - size - 1
     spaced = np.full(int(new_start[-1] + size[-1] + 1), 32, np.uint8)
@@ -46,6 +48,14 @@ def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -
     first = np.repeat(at[:-1] - text_at[:-1], n_shingles) + np.arange(text_at[-1])
     last = np.minimum(first + shingle - 1, np.repeat(at[1:], n_shingles) - 1)
     h = np.fromiter((digest(raw[a:b], 42) for a, b in zip(new_start[first].tolist(), new_end[last].tolist())), np.uint64, len(first))
+    return h, text_at
+
+
+def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text as uint64; 0 for texts without words."""
+    h, text_at = shingle_hashes(data, off, shingle)
+    n_shingles = np.diff(text_at)
+    out = np.zeros(len(off) - 1, np.uint64)
     has = np.flatnonzero(n_shingles)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
     begin = 0
