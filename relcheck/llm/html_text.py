@@ -36,35 +36,64 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_MARK_WORD = re.compile(r"[a-z]+")
+#: Marks of elements that often hold articles of their own: comments and teasers.
+OTHERS = {"comment", "comments", "commentlist", "respond", "replies", "disqus", "related", "recommended", "trending"}
+#: What an element is: no article, one (a page may have several), or the main body.
+NONE, ARTICLE, BODY = range(3)
 
 
-def _role(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it is marked as the article."""
-    article = name == "article"
+def _marks(value: str, allowed: set[str]) -> set[str]:
+    """The marks of a class or id whose whole tokens are marks or compounds of marks alone, with numbers or not."""
+    found: set[str] = set()
+    for token in value.replace("_", "-").split():
+        parts = {p for x in token.split("-") if (p := x.rstrip("0123456789"))}
+        if parts <= MARKS and parts & allowed:
+            found |= parts
+    return found
+
+
+def _role(name: str, attributes: str, in_article: bool) -> tuple[bool, set[str], int]:
+    """Whether an element is furniture whatever its class, the marks of its class and id, and which article it is."""
+    kind = BODY if name == "main" else ARTICLE if name == "article" else NONE
     furniture = name in FURNITURE and not (name == "header" and in_article)
+    marks: set[str] = set()
     if attributes and name not in ("html", "body"):
+        allowed = MARKS - {"header"} if in_article or name in HEADINGS else MARKS
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                marks = MARKS.intersection(_MARK_WORD.findall(value.replace("_", "-")))
-                if in_article or name in HEADINGS:
-                    marks -= {"header"}
-                furniture |= bool(marks) and name != "main"
+                marks |= _marks(value, allowed)
             elif key == "role":
                 furniture |= value in ROLES
-                article |= value in ("article", "main")
+                kind = max(kind, {"article": ARTICLE, "main": BODY}.get(value, NONE))
             elif key == "itemprop":
-                article |= value == "articlebody"
+                kind = max(kind, BODY if value == "articlebody" else NONE)
             else:
                 furniture |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value) is not None
-    return furniture, article or name == "main"
+    return furniture, marks, kind
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, in an article) of each block in page order, without furniture."""
+    """(text, characters of it in links, in an article) of each block in page order, without furniture.
+
+    An element that is or holds the article isn't furniture by its class or id. Articles within an
+    article, and those under marks of comments and teasers where the page has another, aren't the article.
+    """
+    holds: dict[int, int] = {}
+    lines, again, free = _scan(page, holds, None)
+    return _scan(page, holds, free)[0] if again else lines
+
+
+def _scan(page: str, holds: dict[int, int], free: bool | None) -> tuple[list[tuple[str, int, bool]], bool, bool]:
+    """The lines, whether marks fall on what is or holds an article, and whether one is free of comments and teasers.
+
+    holds gets, for each start tag by its place, the articles that the element is or holds, as bits; where
+    free is known from an earlier scan, holds is read instead and spares elements.
+    """
     out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int, bool, bool, int, bool]] = []
+    found_free = again = False
+    hard, others, nested = 0, 0, 0
     parts: list[str] = []
     linked, skip, article, links = 0, 0, 0, 0
 
@@ -77,9 +106,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal skip, article, links
+        nonlocal skip, article, links, hard, others, nested, again
         while len(stack) > upto:
-            name, furniture, main = stack.pop()
+            name, furniture, main, place, is_hard, is_other, kind, marked = stack.pop()
+            hard -= is_hard
+            others -= is_other
+            nested -= kind == ARTICLE
+            again |= marked and holds.get(place, 0) > 0
             if name not in INLINE:
                 flush()
             skip -= furniture
@@ -126,13 +159,27 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             found = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = found.end() if found else end
             continue
-        furniture, main = _role(name, attributes, article > 0)
-        stack.append((name, furniture, main))
+        is_hard, marks, kind = _role(name, attributes, article > 0)
+        is_other = bool(marks & OTHERS)
+        if free is None and kind:
+            holds[m.start()] = holds.get(m.start(), 0) | 1 << kind
+            for x in stack:
+                holds[x[3]] = holds.get(x[3], 0) | 1 << kind
+            found_free |= not (hard or is_hard or others or is_other)
+        held = holds.get(m.start(), 0) if free is not None else 0
+        spared = bool(held & 1 << BODY) or bool(held) and not nested and not (is_other and free)
+        furniture = is_hard or bool(marks) and not spared
+        main = kind != NONE
+        stack.append((name, furniture, main, m.start(), is_hard, is_other, kind, bool(marks)))
+        hard += is_hard
+        others += is_other
+        nested += kind == ARTICLE
         skip += furniture
         article += main
         links += name == "a"
     flush()
-    return out
+    close(0)
+    return out, again, found_free
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:

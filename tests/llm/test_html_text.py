@@ -62,3 +62,24 @@ def test_given_pages(spark, sf):
     for r in extract(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.split("</article>|<footer>", r["html"].split("<article>")[1])[0]
         assert r["text"] == " ".join(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post has-sidebar"><p>Main words</p></article>',
+        '<article class="comments-open"><p>Main words</p></article>',
+        '<article class="sponsored"><p>Main words</p></article>',
+        '<div class="wrapper no-sidebar"><article><p>Main words</p></article></div>',
+        '<div id="page" class="with-notice"><article><p>Main words</p></article></div><div class="notice">Else</div>',
+        '<div class="widget"><main><p>Main words</p></main></div><div class="widget">Else</div>',
+        '<main><div class="sidebar"><div role="article"><p>Main words</p></div></div></main>',
+        '<article><div class="widget"><div itemprop="articleBody" class="social">Main words</div></div></article>',
+        '<div class="notice"><article>Main words</article></div><section class="comments"><article>I disagree</article></section>',
+        '<article>Main words<article class="comment">I disagree</article></article><div class="related"><article>Teaser</article></div>',
+        '<div class="wrapper no-sidebar"><p>Main words</p></div><div class="ad-1">Else</div><div id="cookie_notice">Else</div>',
+        '<article class="sidebar">Main <b>words',
+    ],
+)
+def test_marks_never_hide_the_article(page):
+    assert main_text(page) == "Main words"
