@@ -31,15 +31,14 @@ class Encoder:
 
     The pre-tokeniser never joins a non-space to the white space after it, so a text may be cut
     before each run of ASCII white space, and equal chunks have equal ids. Ids of up to `most`
-    chunks are kept by their 64-bit hash. Special tokens' strings in a text are ordinary text.
+    chunks are kept by their 64-bit hash. A special token's string in a text is that token.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -139,7 +138,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer_path)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             data, off = text_bytes(batch.column("text"))
             flat, counts = encode(data, off)
             ids = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from relcheck.llm import packing as P
@@ -21,7 +21,6 @@ def encode():
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t
 
 
@@ -60,16 +59,56 @@ def sequences(counts):
     return sum(t for _, t in plan)
 
 
-@settings(max_examples=100, deadline=None)
+def least_bound(counts):
+    """No packing has fewer sequences: dual feasible functions (Fekete and Schepers), which include Martello and Toth's L2."""
+    capacity, best = len(counts) - 1, 0
+    x = np.arange(capacity + 1)
+    for t in range(capacity // 2 + 1):
+        u = np.where(x > capacity - t, capacity, np.where(x < t, 0, x))
+        best = max(best, -(-int((counts * u).sum()) // capacity))
+        for k in range(1, 21):
+            scaled = np.where((k + 1) * u % capacity == 0, k * u, (k + 1) * u // capacity * capacity)  # times capacity * k
+            best = max(best, -(-int((counts * scaled).sum()) // (capacity * k)))
+    return best
+
+
+def fewest(sizes, capacity):
+    """The optimum, by trying every place for each piece."""
+    best = len(sizes)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + sizes[i] <= capacity and bins[j] not in bins[:j]:
+                place(i + 1, bins[:j] + [bins[j] + sizes[i]] + bins[j + 1 :])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=1000, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 64), st.integers(1, 50)), max_size=30))
+@example([(22, 15), (43, 16)])
 def test_plan_uses_each_piece_once_and_packs_well(found):
     counts = np.zeros(65, np.int64)
     for n, c in found:
         counts[n] += c
-    least = -(-int((counts * np.arange(65)).sum()) // 64)
-    got = sequences(counts)
-    # first-fit-decreasing bound on any optimum
-    assert got >= least and (not least or got <= 11 / 9 * max(least, counts[33:].sum() + (counts[32] + 1) // 2) + 1 or got <= 1.34 * least + 2)
+    least = least_bound(counts)
+    assert least <= sequences(counts) <= 11 / 9 * least + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=8))
+def test_plan_of_few_pieces_is_close_to_the_optimum(sizes):
+    counts = np.bincount(np.array(sizes, np.int64), minlength=21)
+    most = fewest(sorted(sizes, reverse=True), 20)
+    assert least_bound(counts) <= most <= sequences(counts) <= 11 / 9 * most + 1
 
 
 def test_plan_finds_exact_triples():
