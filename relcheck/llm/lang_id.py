@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .textscan import map_batches, mix, per_text, slices, text_bytes
 
@@ -20,6 +20,8 @@ SIZES = (2, 3, 4)
 HASHES = 3
 SLOTS_LOG2 = 21
 UNKNOWN = "und"
+#: Bytes of text handled at once: n-grams take some 60 times as much.
+SLICE = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,21 +69,24 @@ def _slots(codes: np.ndarray, k: int, log2: int) -> np.ndarray:
 
 
 class BitSlicedBloom:
-    """One Bloom filter for each language, their bits side by side in one array of masks."""
+    """One Bloom filter for each language, their bits side by side in arrays of masks, one for each 64 languages."""
 
     def __init__(self, languages: list[str], codes: np.ndarray, masks: np.ndarray, hashes: int = HASHES, log2: int = SLOTS_LOG2):
-        kind = np.uint8 if len(languages) <= 8 else np.uint64
+        """masks: a row for each code, a uint64 for each 64 languages."""
         self.languages, self.hashes, self.log2 = languages, hashes, log2
-        self.table = np.zeros(1 << log2, kind)
-        for k in range(hashes):
-            np.bitwise_or.at(self.table, _slots(codes, k, log2), masks.astype(kind))
-        full = np.array([np.count_nonzero(self.table & kind(1 << i)) for i in range(len(languages))]) / len(self.table)
+        kind = np.uint8 if len(languages) <= 8 else np.uint64
+        self.tables = [np.zeros(1 << log2, kind) for _ in range(-(-len(languages) // 64))]
+        for table, mask in zip(self.tables, masks.T):
+            for k in range(hashes):
+                np.bitwise_or.at(table, _slots(codes, k, log2), mask.astype(kind))
+        full = np.array([np.count_nonzero(self.tables[i // 64] & kind(1 << i % 64)) for i in range(len(languages))]) / (1 << log2)
         self.false_rate = full**hashes
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        found = self.table[_slots(codes, 0, self.log2)]
-        for k in range(1, self.hashes):
-            found = found & self.table[_slots(codes, k, self.log2)]
+    def masks(self, codes: np.ndarray) -> list[np.ndarray]:
+        found: list[np.ndarray] = []
+        for k in range(self.hashes):
+            at = _slots(codes, k, self.log2)
+            found = [f & t[at] for f, t in zip(found, self.tables)] if k else [t[at] for t in self.tables]
         return found
 
     def hits(self, codes: list[np.ndarray], begins: list[np.ndarray]) -> np.ndarray:
@@ -90,35 +95,39 @@ class BitSlicedBloom:
         for code, at in zip(codes, begins):
             found, n = self.masks(code), np.diff(at)
             for i in range(len(self.languages)):
-                seen = per_text((found >> i) & 1, at)
+                mask = found[i // 64]
+                seen = per_text((mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1), at)
                 out[:, i] += np.maximum(seen - n * self.false_rate[i], 0) / (1 - self.false_rate[i])
         return out
 
 
+def learning_sample(docs: DataFrame, per_language: int) -> tuple[list[str], DataFrame]:
+    """The languages, and (lang, text) of the `per_language` rows of each with the least hash, none held out.
+
+    One scan counts rows by language; another takes those whose hash is low enough for about twice as many, so
+    that what is ranked is bounded however many rows a language has.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    counts = sorted((r[0], r[1]) for r in labelled.groupBy("lang").count().collect())  # a row for each language
+    below = [(lang, min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, (2 * per_language + 50) / n)))) for lang, n in counts]
+    bounds = docs.sparkSession.createDataFrame(below, "lang string, below long")
+    near = labelled.join(F.broadcast(bounds), "lang").where(F.col("hash") <= F.col("below"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    return [lang for lang, _ in counts], near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text")
+
+
 def learn(docs: DataFrame, per_language: int = 1500, least: int = 3, share: float = 0.25) -> BitSlicedBloom:
     """Learns which n-grams belong to which language from rows with a lang that are not held out.
 
-    The sample is bounded: the `per_language` rows of each language with the least hash of their id.
-    An n-gram belongs to a language if it occurs `least` times in its sample and at no less than `share`
-    of the rate that it has in the language where it is commonest. At most 64 languages.
+    The sample is bounded: the `per_language` rows of each language with the least hash. An n-gram belongs
+    to a language if it occurs `least` times in its sample and at no less than `share` of the rate that it
+    has in the language where it is commonest.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    names = [r[0] for r in labelled.select("lang").distinct().limit(65).collect()]
-    if len(names) > 64:
-        raise ValueError("more than 64 languages do not fit one mask")
-    names.sort()
-    order = F.xxhash64("doc_id")
-    chosen = None
-    for name in names:  # a bounded top list for each language: no group is gathered in one task
-        ids = labelled.where(F.col("lang") == name).select(order.alias("h"), "doc_id").orderBy("h").limit(per_language).select("doc_id")
-        chosen = ids if chosen is None else chosen.union(ids)
-    if chosen is None:
-        return BitSlicedBloom([], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
+    names, sample = learning_sample(docs, per_language)
     number = {name: i for i, name in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
             codes, begins, _ = ngram_codes(batch.column("text"))
             for code, at in zip(codes, begins):
@@ -135,11 +144,30 @@ def learn(docs: DataFrame, per_language: int = 1500, least: int = 3, share: floa
     top = np.zeros(len(unique))
     np.maximum.at(top, which, rate)
     mine = rate >= share * top[which]
-    masks = np.zeros(len(unique), np.uint64)
-    np.bitwise_or.at(masks, which[mine], np.uint64(1) << lang[mine].astype(np.uint64))
+    masks = np.zeros((len(unique), -(-len(names) // 64)), np.uint64)
+    np.bitwise_or.at(masks, (which[mine], lang[mine] // 64), np.uint64(1) << (lang[mine] % 64).astype(np.uint64))
     return BitSlicedBloom(names, unique.view(np.uint64), masks)
 
 
+def told(docs: DataFrame, model: BitSlicedBloom) -> DataFrame:
+    """The rows of docs, with all their columns, whose language can be told by the whole text.
+
+    Null texts, texts without a letter and texts of which no n-gram is known in any language go; where
+    nothing has been learnt, only the first two.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            codes, begins, letters = ngram_codes(batch.column("text"))
+            keep = letters > 0
+            if shared.value.languages:
+                keep &= shared.value.hits(codes, begins).max(axis=1) > 0
+            yield batch.filter(pa.array(keep))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def identify(docs: DataFrame, model: BitSlicedBloom, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of every row with lang_pred and score (0 to 1), from the whole text alone.
 
@@ -153,7 +181,7 @@ def identify(docs: DataFrame, model: BitSlicedBloom, keep: tuple[str, ...] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         names = np.array([*bloom.languages, UNKNOWN], object)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             codes, begins, letters = ngram_codes(batch.column("text"))
             best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
             if len(names) > 1:

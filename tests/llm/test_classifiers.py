@@ -46,13 +46,58 @@ def test_bloom_has_no_false_negatives():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 2**63, 5000).astype(np.uint64)
     masks = rng.integers(1, 16, 5000).astype(np.uint64)
-    bloom = lang_id.BitSlicedBloom(list("abcd"), codes, masks, log2=16)
-    assert ((bloom.masks(codes).astype(np.uint64) & masks) == masks).all()
+    bloom = lang_id.BitSlicedBloom(list("abcd"), codes, masks[:, None], log2=16)
+    assert ((bloom.masks(codes)[0].astype(np.uint64) & masks) == masks).all()
     other = rng.integers(0, 2**63, 20000).astype(np.uint64)
-    seen = [np.mean((bloom.masks(other) >> i) & 1) for i in range(4)]
+    seen = [np.mean((bloom.masks(other)[0] >> i) & 1) for i in range(4)]
     assert np.allclose(seen, bloom.false_rate, atol=0.02)
 
 
+def test_seventy_languages(spark):
+    """More languages than a mask word has bits; brute force counts the n-grams of each."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7) % 26)}" for i in range(70)]
+    rows = [(i * 10 + j, " ".join([words[i]] * 4), f"l{i:02d}") for i in range(70) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.learn(docs, least=1)
+    assert len(model.languages) == 70 and len(model.tables) == 2
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(docs, model).collect()}
+    assert got == {d: lang for d, _, lang in rows}
+
+
+def plain_ngrams(text):
+    """n-grams of lower-cased letters, words set apart by one space."""
+    flat = re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} "))
+    out = []
+    for n in lang_id.SIZES:
+        for i in range(len(flat) - n + 1):
+            g = flat[i : i + n]
+            if " " not in g[1:-1] and g.strip():
+                out.append(g)
+    return out
+
+
+def test_language_against_exact_sets(spark):
+    """The filters' prediction is that of exact n-gram sets wherever these are not close to a tie."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, sample = lang_id.learning_sample(docs, 100)
+    counts = {n: Counter() for n in names}
+    for r in sample.collect():
+        counts[r["lang"]].update(plain_ngrams(r["text"]))
+    totals = {n: sum(c.values()) or 1 for n, c in counts.items()}
+    seen = {g for c in counts.values() for g, k in c.items() if k >= 3}
+    rate = lambda n, g: counts[n][g] / totals[n] if counts[n][g] >= 3 else 0
+    own = {g: {n for n in names if rate(n, g) >= 0.25 * max(rate(m, g) for m in names) > 0 and rate(n, g)} for g in seen}
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(docs, lang_id.learn(docs, 100)).collect()}
+    checked = 0
+    for r in docs.where("doc_id < 150").collect():
+        hits = Counter(n for g in plain_ngrams(r["text"]) for n in own.get(g, ()))
+        best = hits.most_common(2)
+        if best and (len(best) == 1 or best[0][1] > 1.05 * best[1][1] + 3):
+            checked += 1
+            assert got[r["doc_id"]] == best[0][0]
+    assert checked > 100
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 4))
