@@ -219,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     schema += ", clean string" * clean_text + "".join(f", `{c}` {kinds[c].dataType.simpleString()}" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):  # one index a slice: larger ones cost less each
+        for batch in slices(batches, "text"):  # one index a slice
             data, off = text_bytes(batch.column("text"))
             n = len(off) - 1
             hit, pairs, base = None, [set() for _ in range(n)], None

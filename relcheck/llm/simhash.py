@@ -51,11 +51,10 @@ def shingle_hashes(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) ->
     return h, text_at
 
 
-def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text as uint64; 0 for texts without words."""
-    h, text_at = shingle_hashes(data, off, shingle)
+def majority(h: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Of each text's hashes the bits that are set in over half, as uint64; 0 for texts without any."""
     n_shingles = np.diff(text_at)
-    out = np.zeros(len(off) - 1, np.uint64)
+    out = np.zeros(len(n_shingles), np.uint64)
     has = np.flatnonzero(n_shingles)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
     begin = 0
@@ -70,6 +69,11 @@ def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -
     return out
 
 
+def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text as uint64; 0 for texts without words."""
+    return majority(*shingle_hashes(data, off, shingle))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a signed long; null texts have no words."""
 
@@ -201,6 +205,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = nodes.join(by_fp.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     joined = named.join(least, "component").select("fp", "component_id")
-    node_component = nodes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # written first: then both sides of the last join are plain exchanges, and the rows of a hot fingerprint can be split
+    node_component = staged(nodes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(node_component, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")

@@ -1,97 +1,143 @@
-"""Near-duplicates by the exact Jaccard similarity of shingle sets, as a prefix-filtered join.
-
-Under any one order of all shingles, two sets of similarity t or more share a shingle among the first
-n - ceil(t n) + 1 of each, so texts meet by those alone and no pair is lost. The order puts shingles
-first that are rare in a sample: the sample only decides how many pairs meet, never which are found.
-Every pair that meets is confirmed on the whole sets. Pairs already in one component aren't compared.
+"""Near-duplicates by the exact Jaccard similarity of shingle sets: SimHash first, then a prefix-filtered join.
+
+SimHash fingerprints of the sets, searched with BK-trees, link the closest copies. At a similarity of 0.8
+fingerprints differ in 4 to 11 bits of 64, beyond any radius that shards can be searched for, so the
+rest meets in a join that loses no pair: under any one order of all shingles, two sets of similarity t
+or more share one among the first n - ceil(t n) + 1 of each. The order puts a quarter of all shingles (by
+their hash) first, rarest first, and the others behind by hash: a prefix is then found from the counts of
+that quarter alone, and a text of which a fifth is its own meets nobody. Pairs that meet are held
+against bounds of their sizes, places and 256 parity bits each, and are confirmed on whole sets, SimHash's
+pairs too. Pairs already in one component aren't compared.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import connected_components
-from .simhash import shingle_hashes
-from .textscan import map_batches, ragged, slices, staged, text_bytes
+from .simhash import RADIUS, fingerprint_links, majority
+from .textscan import LOWER, NOT_SPACE, fits, map_batches, mix, per_text, ragged, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: One in so many shingles comes first in the order, by its count. With four, their number is over a prefix's.
+FIRST = 4
+BITS = ("b0", "b1", "b2", "b3")
 
 
-def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; null texts have none."""
-    h, at = shingle_hashes(*text_bytes(texts), shingle)
-    return [np.unique(h[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all texts one after another, and where each text's begin (rows + 1).
 
+    Words are runs without ASCII white space, A-Z lower-cased; fewer of them than a shingle are one shingle. Null
+    texts and texts without words have none.
+    """
+    data, off = text_bytes(texts)
+    data = LOWER[data]
+    starts, ends, at = words(data, off, NOT_SPACE)
+    n_words = np.diff(at)
+    n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    text = np.repeat(np.arange(len(n)), n)
+    first = np.arange(len(text)) + np.repeat(at[:-1] - (np.cumsum(n) - n), n)
+    h = span_hashes(word_hashes(data, starts, ends), first, np.minimum(first + shingle, at[1:][text]))
+    shift = np.uint64(max(1, len(n).bit_length()))
+    order = np.argsort(text.astype(np.uint64) << (np.uint64(64) - shift) | h >> shift)
+    text, h = text[order], h[order]
+    same = text[1:] == text[:-1]
+    if (same & (h[1:] < h[:-1])).any():  # hashes that differ in their last bits only
+        order = np.lexsort((h, text))
+        text, h = text[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | ~same
+    return h[new], np.searchsorted(text[new], np.arange(len(n) + 1))
+
+
+def set_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set; 0 for the empty one."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    n = np.diff(at).astype(np.uint64)
+    return np.where(n > 0, mix(total[at[1:]] - total[at[:-1]] + n), np.uint64(0))
+
+
+def parity_bits(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """256 bits for each set, as 4 longs: the parity of its shingles in each 256th of the hashes.
+
+    Two sets differ in as many shingles as bits at least.
+    """
+    rows = len(at) - 1
+    text = np.repeat(np.arange(rows), np.diff(at))
+    odd = np.bincount(text * 256 + (h >> np.uint64(56)).astype(np.int64), minlength=rows * 256).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(rows, 256), axis=1).view("<u8").astype(np.uint64).view(np.int64)
 
-def set_id(hashes: np.ndarray) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 7)
+def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
+    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
 
 
-def prefix_of(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first n - ceil(similarity n) + 1 hashes, those in `common` (sorted) last."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
-    late = common[at] == hashes if len(common) else np.zeros(n, bool)
-    return np.concatenate([hashes[~late], hashes[late]])[: n - math.ceil(similarity * n - 1e-9) + 1]
+def is_first(h: np.ndarray) -> np.ndarray:
+    return h % np.uint64(FIRST) == 0
 
 
-def common_shingles(docs: DataFrame, shingle: int, sample: int, times: int = 4, most: int = 200_000) -> np.ndarray:
-    """Sorted hashes found in `times` or more of at most `sample` texts: they only order the others."""
+def emitted(h: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Which shingles may lie in a prefix: all of the first class, of the others the least so far as those are too few."""
+    n, early = np.diff(at), is_first(h)
+    missing = np.maximum(prefix_length(n, similarity) - per_text(early, at), 0)
+    late = np.cumsum(~early)
+    before = np.concatenate([[0], late])[at[:-1]]
+    return early | (late - np.repeat(before, n) <= np.repeat(missing, n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            for s in shingle_sets(batch.column("text"), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
 
-    few = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).repartition(8, "doc_id")
-    counted = map_batches(few, run, "h long").groupBy("h").count().where(F.col("count") >= times)
-    found = counted.orderBy(F.desc("count"), "h").limit(most).select("h").toArrow().column("h").to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+def _enough(similarity: float) -> Column:
+    """Whether sets a and b that first meet at places pa and pb can be similar enough, by sizes and places."""
+    both = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
+    return (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= both)
 
 
-def _enough(other: Column, n: Column, pos_a: Column, pos_b: Column, similarity: float) -> Column:
-    """Whether sets of n and `other` hashes that first meet at these places can be similar enough."""
-    need = F.lit(similarity / (1 + similarity)) * (n + other) - 1e-6
-    return (F.least(n, other) >= F.greatest(n, other) * similarity - 1e-6) & (F.least(n - pos_a, other - pos_b) >= need)
+def _prefixes(marked: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(h, set, n, pos) of the shingles in the sets' prefixes that other sets have too; pos is a lower bound of the place."""
+    each = marked.select("set", F.explode("hashes").alias("h"))
+    # a count of documents, combined before the shuffle; written first, so that a large partition of the join can be split
+    shared = staged(each.groupBy("h").agg(F.count("*").alias("df"), (F.min("set") != F.max("set")).alias("met")).where("met").select("h", "df"))
+    held = each.join(shared, "h").select("set", "h", "df").distinct().withColumn("late", F.pmod(F.col("h"), F.lit(FIRST)) != 0)
+    own = Window.partitionBy("set")  # a set's own shingles
+    ranked = held.withColumn("met", F.count(F.when(~F.col("late"), 1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("late", "df", "h")))
+    placed = ranked.join(nodes.select("set", "n", "early", "prefix"), "set")
+    pos = F.when(F.col("late"), F.col("early") + F.col("nth") - 1 - F.col("met")).otherwise(F.col("early") - F.col("met") + F.col("nth") - 1)
+    return placed.withColumn("pos", pos).where("late OR pos < prefix").select("h", "set", "n", F.col("pos").cast("int").alias("pos"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pair_limit: int = 16, rounds: int = 6, sample: int = 3000) -> DataFrame:
-    """(doc_id, component_id) for every row of docs.
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b, na, nb): pairs of sets that connect all whose fingerprints lie within the radius, as candidates."""
+    by_fp = staged(nodes.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("first"), F.count("*").alias("size")))
+    equal = nodes.join(by_fp.where("size > 1"), "fp").select(F.col("first.set").alias("a"), F.col("set").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
+    near = fingerprint_links(by_fp.select("fp"), RADIUS).distinct()
+    ends = near.join(by_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return equal.union(ends.select("x.set", "y.set", "x.n", "y.n")).where("a <> b")
 
-    component_id is the least doc_id reachable over pairs of texts whose shingle sets have the Jaccard
-    similarity or more. Null texts and texts without words have one, empty, set. Rows with a null doc_id
-    keep a row but name no component; repeated rows stay repeated; other columns are not read.
 
-    Up to `pair_limit` texts that share a shingle are paired with each other; of more, the least is
-    paired with all others, round by round with twice the limit each, until they are one component or
-    few; what is left after `rounds` is paired in full.
+def near_duplicate_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pair_limit: int = 64, rounds: int = 4, most_broadcast: int = 2_000_000) -> DataFrame:
+    """(doc_id, row, rep) for every row of docs; row is a hash of its text, rep the least (doc_id, row) reachable.
+
+    See near_duplicates. rep is null if all rows of a component have null ids.
     """
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(docs, shingle, sample))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text"), shingle)
-            heads = [prefix_of(s, common.value, similarity) for s in sets]
-            ids = pa.array(np.array([set_id(s) for s in sets], np.uint64).view(np.int64))
-            flat = np.concatenate(heads).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids, pa.array([len(s) for s in sets], pa.int64()), ragged(flat, np.array([len(x) for x in heads]), pa.int64())], ["doc_id", "set", "n", "prefix"])
+            h, at = shingle_sets(batch.column("text"), shingle)
+            n, use, bits = np.diff(at), emitted(h, at, similarity), parity_bits(h, at)
+            columns = [pa.array(set_ids(h, at).view(np.int64)), pa.array(n), pa.array(per_text(is_first(h), at)), pa.array(prefix_length(n, similarity)), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row"), *columns, pa.array(majority(h, at).view(np.int64)), ragged(h[use].view(np.int64), per_text(use, at), pa.int64())], ["doc_id", "row", "set", "n", "early", "prefix", *BITS, "fp", "hashes"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text"), shingle)
-            ids = pa.array(np.array([set_id(s) for s in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["set", "hashes"])
+            h, at = shingle_sets(batch.column("text"), shingle)
+            raw = h.astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, at).view(np.int64)), pa.array([raw[8 * a : 8 * b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary())], ["set", "hashes"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,37 +148,74 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
                 similar.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
-    marked = staged(map_batches(docs.select("doc_id", "text"), mark, "doc_id long, set long, n long, prefix array<long>"))
-    nodes = staged(marked.groupBy("set").agg(F.min("doc_id").alias("rep")))
-    met = marked.dropDuplicates(["set"]).select("set", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = met.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    rows = staged(met.join(shared.select("h"), "h").withColumn("comp", F.col("set")))
-    need = rows.select("set").distinct().join(nodes, "set").select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = staged(map_batches(texts, whole, "set long, hashes binary").join(rows.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]))
+    marked = staged(map_batches(keyed, mark, "doc_id long, row long, set long, n long, early long, prefix long, " + "".join(f"{b} long, " for b in BITS) + "fp long, hashes array<long>"))
+    rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("rep")
+    # a text of the set to confirm by, whatever its id
+    nodes = staged(marked.groupBy("set").agg(rep, F.min("row").alias("row"), *(F.min(c).alias(c) for c in ("n", "early", "prefix", *BITS, "fp"))))
+    links, component, sets, have = None, None, None, None
+
+    def settle(met: DataFrame) -> bool:
+        """Confirms pairs (a, b, na, nb) and renews the components if one of them is new."""
+        nonlocal links, component, sets, have
+        of = lambda side: nodes.select(F.col("set").alias(side), *(F.col(b).alias(f"{side}_{b}") for b in BITS))
+        differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
+        pairs = staged(staged(met).join(of("a"), "a").join(of("b"), "b").where(differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b"))
+        if pairs.isEmpty():
+            return False
+        need = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        need = staged((need if have is None else need.join(have, "set", "left_anti")).join(nodes.select("set", "row"), "set"))
+        texts = keyed.select("row", "text").join(fits(need.select("row").distinct(), most_broadcast), "row", "left_semi")
+        found = staged(map_batches(texts, whole, "set long, hashes binary").join(need.select("set"), "set", "left_semi").dropDuplicates(["set"]))
+        sets = found if sets is None else sets.union(found)
+        have = need.select("set") if have is None else have.union(need.select("set"))
+        held = pairs.join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
+        fresh = staged(map_batches(held.select("a", "b", "x", "y"), confirm, "a long, b long"))
+        if fresh.isEmpty():
+            return False
+        links = fresh if links is None else links.union(fresh)
+        component = staged(connected_components(links).withColumnRenamed("node", "set"))
+        return True
+
+    def named_by(rows: DataFrame) -> DataFrame:
+        return rows.drop("comp").join(component, "set", "left").select("h", "set", "n", "pos", F.coalesce("component", "set").alias("comp"))
 
-    links = None
+    settle(_simhash_pairs(nodes))
+    rows = staged(_prefixes(marked.select("set", "hashes"), nodes, similarity))
+    rows = named_by(rows) if component is not None else rows.withColumn("comp", F.col("set"))
     for turn in range(rounds + 1):
-        groups = rows.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("set", "n", "pos", "comp")).alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        rows = staged(rows.join(groups.where("low <> high").select("h", "size", "first"), "h"))
+        groups = staged(rows.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("set", "n", "pos", "comp")).alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "size", "first"))
+        rows = staged(rows.join(groups, "h"))
         if rows.isEmpty():
             break
-        small = F.col("size") <= (pair_limit << turn if turn < rounds else 1 << 62)
+        small = F.col("size") <= (pair_limit << 2 * turn if turn < rounds else 1 << 62)
         a = rows.where(small).select("h", F.col("set").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-        few = rows.where(small).join(a, "h").where("a < set AND ca <> comp").select("a", F.col("set").alias("b"), "na", "n", "pa", "pos")
-        many = rows.where(~small & (F.col("first.set") < F.col("set")) & (F.col("first.comp") != F.col("comp"))).select(F.col("first.set").alias("a"), F.col("set").alias("b"), F.col("first.n").alias("na"), "n", F.col("first.pos").alias("pa"), "pos")
-        pairs = few.union(many).where(_enough(F.col("na"), F.col("n"), F.col("pa"), F.col("pos"), similarity)).select("a", "b").distinct()
-        held = pairs.join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-        fresh = staged(map_batches(held.select("a", "b", "x", "y"), confirm, "a long, b long"))
+        few = rows.where(small).join(a, "h").where("a < set AND ca <> comp").select("a", F.col("set").alias("b"), "na", F.col("n").alias("nb"), "pa", F.col("pos").alias("pb"))
+        many = rows.where(~small & (F.col("first.set") < F.col("set")) & (F.col("first.comp") != F.col("comp"))).select(F.col("first.set").alias("a"), F.col("set").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"), F.col("first.pos").alias("pa"), F.col("pos").alias("pb"))
+        renewed = settle(few.union(many).where(_enough(similarity)).select("a", "b", "na", "nb").distinct())
         rows = rows.where(~small & (F.col("set") > F.col("first.set"))).select("h", "set", "n", "pos", "comp")
-        if fresh.isEmpty():
-            continue
-        links = fresh if links is None else links.union(fresh)
-        component = staged(connected_components(links))
-        rows = rows.drop("comp").join(component.withColumnRenamed("node", "set"), "set", "left").select("h", "set", "n", "pos", F.coalesce("component", "set").alias("comp"))
-    if links is None:
-        named = nodes.select("set", F.col("rep").alias("component_id"))
-    else:
-        whose = nodes.join(component.withColumnRenamed("node", "set"), "set", "left").select("set", "rep", F.coalesce("component", "set").alias("comp"))
-        named = whose.join(whose.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("set", "component_id")
-    return marked.join(named, "set").select("doc_id", "component_id")
+        rows = named_by(rows) if renewed else rows
+    named = nodes.select("set", "rep")
+    if component is not None:
+        named = _least(named.join(component, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("comp")))
+    return marked.select("doc_id", "row", "set").join(named, "set").select("doc_id", "row", "rep")
+
+
+def _least(whose: DataFrame) -> DataFrame:
+    """(set, rep): of each component's sets the least rep."""
+    whose = staged(whose)
+    least = staged(whose.groupBy("comp").agg(F.min("rep").alias("rep")))
+    return staged(whose.select("set", "comp").join(least, "comp").select("set", "rep"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pair_limit: int = 64, rounds: int = 4) -> DataFrame:
+    """(doc_id, component_id) for every row of docs.
+
+    component_id is the least doc_id reachable over pairs of texts whose shingle sets have the Jaccard
+    similarity or more. Null texts and texts without words have one, empty, set. Rows with a null doc_id
+    keep a row but name no component; repeated rows stay repeated; other columns are not read.
+
+    Up to `pair_limit` texts that share a shingle are paired with each other; of more, the least is
+    paired with all others, round by round with four times the limit each, until they are one component
+    or few; what is left after `rounds` is paired in full.
+    """
+    return near_duplicate_rows(docs, shingle, similarity, pair_limit, rounds).select("doc_id", F.col("rep.doc_id").alias("component_id"))

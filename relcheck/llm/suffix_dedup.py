@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .packing import expand
-from .textscan import ALNUM, LOWER, cut_spans, map_batches, slices, span_hashes, staged, text_bytes, word_hashes, words
+from .textscan import ALNUM, LOWER, cut_spans, map_batches, set_apart, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 LENGTH = 50
 K = 8
@@ -148,8 +148,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     """
     merged = _merged(repeats(docs, length, k)).where("removable")
     per_row = merged.groupBy("row").agg(F.collect_list(F.array("first_word", "end_word")).alias("cuts"))
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(per_row, "row", "left").drop("row")
-    names = docs.columns
+    apart, renamed = set_apart(docs, "doc_id", "text", "n_chars")
+    names = apart.columns
+    keyed = apart.withColumn("row", F.xxhash64("doc_id", "text")).join(per_row, "row", "left").drop("row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -174,4 +175,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
                 columns["n_chars"] = pa.array([len(n) if t else o for n, t, o in zip(new, touched.tolist(), batch.column("n_chars").to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([*columns.values()], names).filter(pa.array(keep))
 
-    return map_batches(keyed, cut, docs.schema)
+    back = {new: old for old, new in renamed.items()}
+    return map_batches(keyed, cut, apart.schema).select(*(F.col(c).alias(back.get(c, c)) for c in names))

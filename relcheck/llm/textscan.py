@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once in a task; single texts beyond it are handled whole, alone.
@@ -146,6 +146,12 @@ def cut_spans(data: np.ndarray, off: np.ndarray, first: np.ndarray, last: np.nda
     return [kept[a:b].decode("utf-8", "replace") for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
+def set_apart(df: DataFrame, *known: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with every column but the known ones under a name that no operator uses, and those names by the old ones."""
+    names = {c: f"other column {i}" for i, c in enumerate(df.columns) if c not in known}
+    return df.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns)), names
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir; one of its own only where that is unset."""
     have = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -158,6 +164,11 @@ def shared_folder(spark: SparkSession) -> str:
     return have
 
 
+def fits(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, to be broadcast if it has `most_rows` rows at most; beyond that a join with it shuffles both sides."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends there, lost executors cost no rework."""
     spark = df.sparkSession

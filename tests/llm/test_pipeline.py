@@ -3,10 +3,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 from test_decontam import WORD, lower
-from test_simhash import plain_components, plain_fp
+from test_similar import components
 from test_suffix_dedup import brute as repeated, split
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -39,7 +41,7 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     rows = [(r[0], r[1]) for r in src + extra if r[1] and any(c.isalpha() for c in r[1])]
-    component = plain_components([(d, plain_fp(t)) for d, t in sorted(rows)])
+    component = components(sorted(rows))
     rows = [r for r in rows if component[r[0]] == r[0]]
     removable, _ = repeated(rows, 50)
 
@@ -80,6 +82,36 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
             assert zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) == c
 
 
+def test_extra_columns_whose_names_clash(spark, sf):
+    """Every stage keeps columns named as the operators' own."""
+    names = ["score", "lang_pred", "row", "cuts", "n_words", "clean", "hashes", "set", "rep", "count"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 25")
+    values = {r["doc_id"]: r["text"] for r in docs.collect()}
+    extra = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names), F.col("text").alias("own text"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, extra, sf)
+        assert got.columns == extra.columns
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names) and all(r["own text"] == values[r["doc_id"]] for r in rows)
+    assert corpus_pipeline.pack_sequences(spark, extra, sf).count() >= 25
+
+
+def test_repeated_ids_and_nulls_in_near_dedup(spark, sf):
+    """Two texts under one id are two texts; the survivor is the same however rows are dealt."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, b + " more", "x"), (3, a, "x"), (None, a, "x"), (None, None, "x"), (4, None, "q"), (5, "", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for parts in (1, 5):
+        got = sorted((tuple(r) for r in corpus_pipeline.near_dedup(spark, docs.repartition(parts), sf).collect()), key=str)
+        assert got == sorted([(1, a, "x"), (1, b, "y"), (None, a, "x"), (None, None, "x"), (4, None, "q")], key=str)
+
+
+def test_language_stage_drops_what_cannot_be_told(spark, sf):
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, (t, lang) in enumerate([("the and with of the and", "en")] * 9 + [("der die und das nicht der", "de")] * 9 + [(None, "en"), ("", "de"), ("12 ?", None), ("日本語文字", None), ("the", None)])], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, sf).collect()}
+    assert got == set(range(18)) | {22}
+
+
 def test_empty_documents(spark, sf, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
