@@ -10,27 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relcheck.llm import decontam, lang_id, packing, similar, suffix_dedup
-from relcheck.llm.textscan import staged
+from relcheck.llm.textscan import fits, set_apart, staged
+
+#: Keys of kept documents that a broadcast may hold (16 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: null texts and texts without a letter."""
-    model = lang_id.learn(docs)
-    if not model.languages:  # nothing to learn from: only texts without a letter are certain
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    kept = lang_id.identify(docs, model, tuple(docs.columns)).where(F.col("lang_pred") != lang_id.UNKNOWN)
-    return kept.select(*docs.columns)
+    """Drops documents whose language can't be told: null texts, no letter, or no n-gram that any language has."""
+    return lang_id.told(docs, lang_id.learn(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five-word shingles, Jaccard 0.8) the document with the least id stays, once.
+    """Of each component of near-duplicates (five-word shingles, Jaccard 0.8) one document stays, once.
 
-    Rows without an id can't be named by a component and stay.
+    It is the one with the least id; of several texts under that id the one with the least hash; of rows
+    that repeat both, the one with the least other columns. Rows without an id can't be named by a
+    component and stay.
     """
-    found = similar.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    found = similar.near_duplicate_rows(docs)
+    first = found.where((F.col("doc_id") == F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row")))
+    kept = staged(first.groupBy(F.col("doc_id").alias("kept id"), F.col("row").alias("kept row")).agg(F.count("*").alias("rows")))
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        same = (docs["doc_id"] == keys["kept id"]) & (F.xxhash64(docs["text"]) == keys["kept row"])
+        return docs.join(fits(keys, MOST_BROADCAST), same, "left_semi")
+
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    repeated = rows_of(kept.where("rows > 1")).groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("no column"), *others)).alias("least"))
+    once = repeated.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"least.`{c}`") for c in docs.columns))
+    return rows_of(kept.where("rows = 1")).union(once).union(docs.where(F.col("doc_id").isNull()))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +50,12 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages from texts; documents of which no word is left go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = decontam.contamination(docs, benchmark, clean_text=True, keep=others)
+    apart, renamed = set_apart(docs, "doc_id", "text")
+    found = decontam.contamination(apart, benchmark, clean_text=True, keep=tuple(renamed.values()))
     found = found.where((F.col("n_words") > F.col("n_hit")) | ~F.col("contaminated"))
-    chars = F.when(F.col("contaminated"), F.length("clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in others else None
-    values = {"text": F.col("clean")} | ({"n_chars": chars} if chars is not None else {})
+    values = {"text": F.col("clean")} | {old: F.col(new) for old, new in renamed.items()}
+    if "n_chars" in renamed:
+        values["n_chars"] = F.when(F.col("contaminated"), F.length("clean").cast("long")).otherwise(values["n_chars"])
     return found.select(*(values.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
