@@ -211,9 +211,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = chain.features(*text_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64())), *(batch.column(c) for c in categories)], ["doc_id", "x", *categories])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), *(batch.column(c) for c in categories)], ["doc_id", "x", *categories])
 
-    rows = map_batches(sample, run, "doc_id long, x array<double>, " + ", ".join(f"`{c}` int" for c in categories)).toPandas()
+    rows = map_batches(sample, run, "doc_id long, x array<float>, " + ", ".join(f"`{c}` int" for c in categories)).toPandas()
     rows = rows.sort_values("doc_id", ignore_index=True)
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(chain.vocabulary) + len(STYLE)))
     fold = (rows["doc_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % folds
