@@ -1,13 +1,14 @@
 """Near-duplicates by the exact Jaccard similarity of shingle sets: SimHash first, then a prefix-filtered join.
 
-SimHash fingerprints of the sets, searched with BK-trees, link the closest copies. At a similarity of 0.8
-fingerprints differ in 4 to 11 bits of 64, beyond any radius that shards can be searched for, so the
-rest meets in a join that loses no pair: under any one order of all shingles, two sets of similarity t
-or more share one among the first n - ceil(t n) + 1 of each. The order puts a quarter of all shingles (by
-their hash) first, rarest first, and the others behind by hash: a prefix is then found from the counts of
-that quarter alone, and a text of which a fifth is its own meets nobody. Pairs that meet are held
-against bounds of their sizes, places and 256 parity bits each, and are confirmed on whole sets, SimHash's
-pairs too. Pairs already in one component aren't compared.
+Two sets of similarity t or more share, under any one order of all shingles, one among the first
+n - ceil(t n) + 1 of each (their prefixes), so texts meet by those alone and no pair is lost. First the order
+puts a quarter of all shingles (by their hash) first, rarest first, and the others behind by hash: only texts that
+meet under it go on, as whole sets. Then all shingles are ordered, rarest among these texts first, so that a text of
+which a fifth is its own meets nobody, however common the rest is. SimHash fingerprints, searched with BK-trees,
+link the closest copies of those; at a similarity of 0.8 fingerprints differ in 4 to 11 bits of 64, beyond any
+radius that shards can be searched for, so the rest is left to the prefixes: first a few leaders of the texts that share a
+shingle with all others, then those not yet in one component with each other. Pairs that meet are held against bounds
+of their sizes, places and 256 parity bits each, and are confirmed on whole sets, SimHash's pairs too.
 """
 
 from __future__ import annotations
@@ -91,35 +92,47 @@ def emitted(h: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
     return early | (late - np.repeat(before, n) <= np.repeat(missing, n))
 
 
-def _enough(similarity: float) -> Column:
-    """Whether sets a and b that first meet at places pa and pb can be similar enough, by sizes and places."""
-    both = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
-    return (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= both)
+def _enough(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets that first meet at the places pos can be similar enough, by sizes, places and parity bits."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    n = x("n") + y("n")
+    both, differ = F.lit(similarity / (1 + similarity)) * n - 1e-6, F.lit((1 - similarity) / (1 + similarity)) * n + 1e-6
+    bits = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in BITS), F.lit(0))
+    return (F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * similarity - 1e-6) & (F.least(x("n") - x("pos"), y("n") - y("pos")) >= both) & (bits <= differ)
 
 
-def _prefixes(marked: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(h, set, n, pos) of the shingles in the sets' prefixes that other sets have too; pos is a lower bound of the place."""
-    each = marked.select("set", F.explode("hashes").alias("h"))
-    # a count of documents, combined before the shuffle; written first, so that a large partition of the join can be split
+def _prefixes(sets: DataFrame, nodes: DataFrame, first: int) -> DataFrame:
+    """(h, set, n, pos, bits) of the shingles in the sets' prefixes that other sets have too; pos is a lower bound of the place.
+
+    One in `first` shingles comes first in the order, the rarest of them first; nodes has their number as early.
+    """
+    each = sets.select("set", F.explode("hashes").alias("h"))
+    # a count of rows, combined before the shuffle; written first, so that a large partition of the join can be split
     shared = staged(each.groupBy("h").agg(F.count("*").alias("df"), (F.min("set") != F.max("set")).alias("met")).where("met").select("h", "df"))
-    held = each.join(shared, "h").select("set", "h", "df").distinct().withColumn("late", F.pmod(F.col("h"), F.lit(FIRST)) != 0)
+    held = each.join(shared, "h").select("set", "h", "df").distinct().withColumn("late", F.pmod(F.col("h"), F.lit(first)) != 0)
     own = Window.partitionBy("set")  # a set's own shingles
     ranked = held.withColumn("met", F.count(F.when(~F.col("late"), 1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("late", "df", "h")))
-    placed = ranked.join(nodes.select("set", "n", "early", "prefix"), "set")
+    placed = ranked.join(nodes.select("set", "n", "early", "prefix", *BITS), "set")
     pos = F.when(F.col("late"), F.col("early") + F.col("nth") - 1 - F.col("met")).otherwise(F.col("early") - F.col("met") + F.col("nth") - 1)
-    return placed.withColumn("pos", pos).where("late OR pos < prefix").select("h", "set", "n", F.col("pos").cast("int").alias("pos"))
+    return placed.withColumn("pos", pos).where("late OR pos < prefix").select("h", "set", "n", F.col("pos").cast("int").alias("pos"), *BITS)
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """The sets of which a row has company."""
+    company = staged(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h"))
+    return rows.join(company, "h", "left_semi").select("set").distinct()
 
 
 def _simhash_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b, na, nb): pairs of sets that connect all whose fingerprints lie within the radius, as candidates."""
-    by_fp = staged(nodes.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("first"), F.count("*").alias("size")))
-    equal = nodes.join(by_fp.where("size > 1"), "fp").select(F.col("first.set").alias("a"), F.col("set").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
+    """(a, b): pairs of sets that connect all whose fingerprints lie within the radius, as candidates."""
+    by_fp = staged(nodes.groupBy("fp").agg(F.min("set").alias("first"), F.count("*").alias("size")))
+    equal = nodes.join(by_fp.where("size > 1"), "fp").select(F.col("first").alias("a"), F.col("set").alias("b"))
     near = fingerprint_links(by_fp.select("fp"), RADIUS).distinct()
     ends = near.join(by_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    return equal.union(ends.select("x.set", "y.set", "x.n", "y.n")).where("a <> b")
+    return equal.union(ends.select("x", "y")).where("a <> b")
 
 
-def near_duplicate_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pair_limit: int = 64, rounds: int = 4, most_broadcast: int = 2_000_000) -> DataFrame:
+def near_duplicate_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pair_limit: int = 16, rounds: int = 2, leaders: int = 12, most_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, row, rep) for every row of docs; row is a hash of its text, rep the least (doc_id, row) reachable.
 
     See near_duplicates. rep is null if all rows of a component have null ids.
@@ -136,14 +149,13 @@ def near_duplicate_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             h, at = shingle_sets(batch.column("text"), shingle)
-            raw = h.astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, at).view(np.int64)), pa.array([raw[8 * a : 8 * b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary())], ["set", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, at).view(np.int64)), ragged(h.view(np.int64), np.diff(at), pa.int64())], ["set", "hashes"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             similar = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 similar.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(similar, pa.bool_()))
@@ -152,23 +164,21 @@ def near_duplicate_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
     rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("rep")
     # a text of the set to confirm by, whatever its id
     nodes = staged(marked.groupBy("set").agg(rep, F.min("row").alias("row"), *(F.min(c).alias(c) for c in ("n", "early", "prefix", *BITS, "fp"))))
-    links, component, sets, have = None, None, None, None
+    rows = staged(_prefixes(marked.select("set", "hashes"), nodes, FIRST))
+    chosen = staged(_meeting(rows).join(nodes.select("set", "row", "n", "prefix", *BITS, "fp"), "set"))
+    texts = keyed.select("row", "text").join(fits(chosen.select("row").distinct(), most_broadcast), "row", "left_semi")
+    sets = staged(map_batches(texts, whole, "set long, hashes array<long>").join(chosen.select("set"), "set", "left_semi").dropDuplicates(["set"]))
+    links, component = None, None
 
     def settle(met: DataFrame) -> bool:
-        """Confirms pairs (a, b, na, nb) and renews the components if one of them is new."""
-        nonlocal links, component, sets, have
-        of = lambda side: nodes.select(F.col("set").alias(side), *(F.col(b).alias(f"{side}_{b}") for b in BITS))
-        differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
-        pairs = staged(staged(met).join(of("a"), "a").join(of("b"), "b").where(differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b"))
+        """Confirms pairs (a, b) and renews the components if one of them is new."""
+        nonlocal links, component
+        pairs = staged(met)
         if pairs.isEmpty():
             return False
         need = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        need = staged((need if have is None else need.join(have, "set", "left_anti")).join(nodes.select("set", "row"), "set"))
-        texts = keyed.select("row", "text").join(fits(need.select("row").distinct(), most_broadcast), "row", "left_semi")
-        found = staged(map_batches(texts, whole, "set long, hashes binary").join(need.select("set"), "set", "left_semi").dropDuplicates(["set"]))
-        sets = found if sets is None else sets.union(found)
-        have = need.select("set") if have is None else have.union(need.select("set"))
-        held = pairs.join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
+        used = sets.join(fits(need, most_broadcast), "set", "left_semi")
+        held = pairs.join(used.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(used.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
         fresh = staged(map_batches(held.select("a", "b", "x", "y"), confirm, "a long, b long"))
         if fresh.isEmpty():
             return False
@@ -177,22 +187,28 @@ def near_duplicate_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
         return True
 
     def named_by(rows: DataFrame) -> DataFrame:
-        return rows.drop("comp").join(component, "set", "left").select("h", "set", "n", "pos", F.coalesce("component", "set").alias("comp"))
+        return rows.drop("comp").join(component, "set", "left").select("h", "set", "n", "pos", *BITS, F.coalesce("component", "set").alias("comp"))
 
-    settle(_simhash_pairs(nodes))
-    rows = staged(_prefixes(marked.select("set", "hashes"), nodes, similarity))
+    settle(_simhash_pairs(chosen))
+    rows = staged(_prefixes(sets, chosen.withColumn("early", F.col("n")), 1))
     rows = named_by(rows) if component is not None else rows.withColumn("comp", F.col("set"))
-    for turn in range(rounds + 1):
-        groups = staged(rows.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("set", "n", "pos", "comp")).alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "size", "first"))
-        rows = staged(rows.join(groups, "h"))
-        if rows.isEmpty():
+    one = F.struct("set", "n", "pos", "comp", *BITS)
+    for turn, limit in enumerate([1, *(pair_limit << 4 * turn for turn in range(rounds)), 1 << 62]):
+        # by another hash each turn, so that leaders are spread over the group
+        some = F.array(*(F.min(F.struct(F.xxhash64("set", F.lit(leaders * turn + i)).alias("by"), one.alias("y"))) for i in range(leaders)))
+        groups = staged(rows.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), some.alias("leaders")).where("low <> high").select("h", "size", "leaders"))
+        if groups.isEmpty():
             break
-        small = F.col("size") <= (pair_limit << 2 * turn if turn < rounds else 1 << 62)
-        a = rows.where(small).select("h", F.col("set").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-        few = rows.where(small).join(a, "h").where("a < set AND ca <> comp").select("a", F.col("set").alias("b"), "na", F.col("n").alias("nb"), "pa", F.col("pos").alias("pb"))
-        many = rows.where(~small & (F.col("first.set") < F.col("set")) & (F.col("first.comp") != F.col("comp"))).select(F.col("first.set").alias("a"), F.col("set").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"), F.col("first.pos").alias("pa"), F.col("pos").alias("pb"))
-        renewed = settle(few.union(many).where(_enough(similarity)).select("a", "b", "na", "nb").distinct())
-        rows = rows.where(~small & (F.col("set") > F.col("first.set"))).select("h", "set", "n", "pos", "comp")
+        rows = staged(rows.join(groups, "h"))
+        small = F.col("size") <= limit
+        pair = [F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")]
+        apart = (F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity)
+        many = rows.where(~small).select(one.alias("x"), F.explode("leaders.y").alias("y")).where(apart).select(*pair)
+        if limit > 1:
+            x, y = (rows.where(small).select("h", one.alias(side)) for side in "xy")
+            many = many.union(x.join(y, "h").where((F.col("x.set") < F.col("y.set")) & apart).select(*pair))
+        renewed = settle(many.distinct())
+        rows = rows.where(~small).select("h", "set", "n", "pos", *BITS, "comp")
         rows = named_by(rows) if renewed else rows
     named = nodes.select("set", "rep")
     if component is not None:
@@ -207,15 +223,15 @@ def _least(whose: DataFrame) -> DataFrame:
     return staged(whose.select("set", "comp").join(least, "comp").select("set", "rep"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pair_limit: int = 64, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pair_limit: int = 16, rounds: int = 2) -> DataFrame:
     """(doc_id, component_id) for every row of docs.
 
     component_id is the least doc_id reachable over pairs of texts whose shingle sets have the Jaccard
     similarity or more. Null texts and texts without words have one, empty, set. Rows with a null doc_id
     keep a row but name no component; repeated rows stay repeated; other columns are not read.
 
-    Up to `pair_limit` texts that share a shingle are paired with each other; of more, the least is
-    paired with all others, round by round with four times the limit each, until they are one component
-    or few; what is left after `rounds` is paired in full.
+    Of the texts that share a shingle a few leaders are paired with all others first. Then up to `pair_limit`
+    texts not in one component are paired with each other; of more, other leaders with all, round by round
+    with sixteen times the limit each; what is in different components after `rounds` is paired in full.
     """
     return near_duplicate_rows(docs, shingle, similarity, pair_limit, rounds).select("doc_id", F.col("rep.doc_id").alias("component_id"))
