@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import glob_to_regex, is_glob
 
+#: Globs that a broadcast may hold.
+MOST_GLOBS = 10_000
+
 
 def _so_far():
     """A file's events up to this one."""
@@ -135,13 +138,17 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 def _met(paths: DataFrame, selectors: DataFrame, root: str) -> DataFrame:
     normal = F.regexp_replace(F.regexp_replace("selector", r"^(\./)+", ""), "/+$", "")
-    # a request's selectors are a short list; each path is held against it once, in one scan
     asked = selectors.select("selector").distinct().select("selector", normal.alias("s"), glob_to_regex(normal).alias("re"), is_glob(normal).alias("glob"))
     p, s = F.col("path"), F.col("s")
     within = F.when(p.startswith(root + "/"), F.substring(p, len(root) + 2, 1_000_000)).otherwise(p)
-    plain = (p == s) | p.startswith(F.concat(s, F.lit("/"))) | (within == s) | within.startswith(F.concat(s, F.lit("/")))
-    globbed = F.coalesce(F.col("glob") & (F.regexp_like(p, F.col("re")) | F.regexp_like(within, F.col("re"))), F.lit(False))
-    return paths.select("path").join(F.broadcast(asked), plain | globbed)
+    # a path meets a name by itself and its folders, so that names are an equi-join
+    folders = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/", -1))), lambda i: F.array_join(F.slice(F.split(c, "/", -1), 1, i), "/"))
+    named = paths.select("path", F.explode(F.array_union(folders(p), folders(within))).alias("s")).join(asked.select("selector", "s"), "s").select("path", "selector")
+    # only globs are held against every path; few are broadcast, more take the plan that Spark finds
+    globs = asked.where("glob").select("selector", "re")
+    few = F.broadcast(globs) if globs.limit(MOST_GLOBS + 1).count() <= MOST_GLOBS else globs
+    globbed = paths.select("path").join(few, F.regexp_like(p, F.col("re")) | F.regexp_like(within, F.col("re"))).select("path", "selector")
+    return named.union(globbed)
 
 
 def select_paths(paths: DataFrame, selectors: DataFrame, root: str = "tests") -> DataFrame:

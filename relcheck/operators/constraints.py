@@ -118,12 +118,16 @@ def hasnt_field(df: DataFrame, json: str, field: str, by: list[str] | None = Non
     return has_field(df, json, field, by, want=False)
 
 
-def accepted_values(df: DataFrame, column: str, labels: list[str], ordinal: str | None = None) -> DataFrame:
+def accepted_values(df: DataFrame, column: str, labels: list[str], ordinal: str | None = None, most_listed: int = 1000) -> DataFrame:
     """K6: the labels that occur are the expected ones; missing and unexpected are listed.
 
-    With an ordinal column the labels' order (by their least ordinal) must be the expected one too.
+    With an ordinal column the labels' order (by their least ordinal) must be the expected one too. Of the
+    labels that occur the expected ones and the first `most_listed` are listed; the verdict is about all: where
+    more occur than are expected, one of the first is unexpected.
     """
     seen = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("label")).agg((F.min(ordinal) if ordinal else F.lit(0)).alias("at"))
+    first = seen.orderBy("at", "label").limit(max(most_listed, len(labels) + 1))
+    seen = first.union(seen.where(F.col("label").isin(labels))).distinct()
     want = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
     order = F.transform(F.sort_array(F.collect_list(F.struct("at", "label"))), lambda x: x["label"])
     facts = seen.agg(order.alias("have")).select("have", F.array_sort(F.array_except(want, "have")).alias("missing"), F.array_sort(F.array_except("have", want)).alias("unexpected"))

@@ -201,11 +201,13 @@ def checksum_rollup(recorded: DataFrame, tree: Column) -> DataFrame:
 def resolve_selectors(packages: DataFrame, selectors: DataFrame) -> DataFrame:
     """(selector, outcome, candidates): id prefixes or exact slugs to unique, none or ambiguous.
 
-    packages: id (text), slug. Selectors are a request's own list, broadcast while they are few.
+    packages: id (text), slug. Ids meet selectors by their prefixes of the lengths that selectors have.
     """
-    match = packages["id"].startswith(selectors["selector"]) | (packages["slug"] == selectors["selector"])
-    # the short side is matched against all packages; nested loops over a list of a few selectors
-    met = packages.select("id", "slug").join(F.broadcast(selectors.select("selector").distinct()), match)
+    asked = selectors.select("selector").dropna().distinct()
+    lengths = [r[0] for r in asked.select(F.length("selector")).distinct().collect()]  # as many as the longest has characters at most
+    prefixes = F.explode(F.filter(F.array(*(F.when(F.length("id") >= n, F.substring("id", 1, n)) for n in lengths)), lambda x: x.isNotNull())) if lengths else F.explode(F.array().cast("array<string>"))
+    keys = packages.select("id", prefixes.alias("selector")).union(packages.select("id", F.col("slug").alias("selector")))
+    met = keys.join(asked, "selector")
     found = met.groupBy("selector").agg(F.array_sort(F.collect_set("id")).alias("candidates"))
     all_ = selectors.select("selector").distinct().join(found, "selector", "left")
     n = F.coalesce(F.size("candidates"), F.lit(0))

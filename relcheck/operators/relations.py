@@ -189,6 +189,7 @@ def results_eq(have: DataFrame, want: DataFrame, order_by: list[str], descriptio
 
 def is_empty(df: DataFrame, description: str | None = None) -> DataFrame:
     """No rows; else their count and a sample."""
+    df = materialise(df)  # count and sample are of one result
     counted = df.agg(F.count("*").alias("row_count")).withColumn("__one", F.lit(1))
     sample = diff_sample(df).withColumn("__one", F.lit(1))
     return counted.join(F.broadcast(sample), "__one").select(F.lit("is_empty").alias("kind"), (F.col("row_count") == 0).alias("passed"), F.lit(description).cast("string").alias("description"), "row_count", "sample")

@@ -27,7 +27,7 @@ DERIVED: dict[str, str] = {
         UNION ALL SELECT project, child, -child AS parent FROM {edges} WHERE child % 97 = 0
         UNION ALL SELECT project, child, child FROM {edges} WHERE child % 103 = 0
         UNION ALL SELECT project, child, parent FROM {edges} WHERE child % 107 = 0
-        UNION ALL SELECT project, parent, child FROM {edges} WHERE project = 3 AND child BETWEEN 80 AND 160""",
+        UNION ALL SELECT project, parent, child FROM {edges} WHERE child % 89 = 0""",
     "run_log": """
         SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS sequence, ts AS recorded_at, event_id % 97 AS package_id,
             CASE WHEN event_id % 29 = 0 THEN 'resolve' WHEN event_type = 'view' THEN 'verify' WHEN event_type = 'click' THEN 'revert' ELSE 'deploy' END AS action,
@@ -63,7 +63,7 @@ DERIVED: dict[str, str] = {
         SELECT l_orderkey % 97 AS package_id, CAST(row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS BIGINT) AS ordinal,
             CASE l_linenumber % 6 WHEN 0 THEN 'lint.destructive' WHEN 1 THEN 'lint.table_rewrite' WHEN 2 THEN 'lint.index_without_concurrently'
                 WHEN 3 THEN 'lint.constraint_scans_table' WHEN 4 THEN 'lint.compatibility_window' ELSE 'lint.empty_script' END AS code
-        FROM {lineitem} WHERE l_orderkey % 10 = 0""",
+        FROM {lineitem}""",
     "plans": """
         SELECT file_id, CAST(count(*) + CASE WHEN file_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS declared FROM {assertion_log} WHERE op = 'assert' GROUP BY file_id""",
     "paths": "SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM {pages}",
@@ -73,7 +73,7 @@ DERIVED: dict[str, str] = {
     "defs_source": "SELECT n.project, n.id, n.mode, n.payload, sha(n.payload) AS deploy_sha256 FROM {nodes} n",
     "applied": """
         SELECT project, id, CASE WHEN id % 59 = 0 THEN 'other' ELSE mode END AS mode, CASE WHEN id % 53 = 0 THEN sha(concat(payload, '!')) ELSE deploy_sha256 END AS deploy_sha256
-        FROM {defs_source} WHERE id < 1200 AND id % 67 <> 0
+        FROM {defs_source} WHERE id % 5 <> 0 AND id % 67 <> 0
         UNION ALL SELECT project, id + 10000000, mode, deploy_sha256 FROM {defs_source} WHERE id % 71 = 0""",
     "applied_edges": "SELECT e.project, e.child, e.parent FROM {edges} e WHERE e.child % 61 <> 0",
 }

@@ -33,7 +33,7 @@ def _spark_sql(text: str) -> str:
 QUERIES = {
     "x1_parse_duration_ms": _rows("events", lambda e: e.select("event_id", F.expr(_SPELLED).alias("text")).select("event_id", X.parse_duration_ms(C("text")).alias("ms"))),
     "x2_format_duration": _rows("events", lambda e: e.select("event_id", (C("event_id") * F.when(C("event_id") % 3 == 0, 1000).when(C("event_id") % 7 == 0, 3600000).otherwise(1)).alias("ms")).select("event_id", X.format_duration(C("ms")).alias("exact"), X.human_duration(C("ms")).alias("human"))),
-    "x3_normalize_slug": _rows("documents", lambda d: d.select("doc_id", X.normalize_slug(F.substring("text", 1, 300)).alias("slug"))),
+    "x3_normalize_slug": _rows("documents", lambda d: d.select("doc_id", X.normalize_slug(C("text")).alias("slug"))),
     "x4_split_package_name": _rows("pages", lambda p: p.select("page_id", X.split_package_name(F.expr(_spark_sql(_PACKAGE))).alias("s")).select("page_id", "s.id", "s.slug", "s.short_id")),
     "x5_quote_identifier": _rows("part", lambda p: p.select("p_partkey", X.quote_identifier(F.concat("p_name", F.lit('"'), "p_brand")).alias("quoted"))),
     "x6_line_and_column": _rows("documents", lambda d: d.select("doc_id", X.line_and_column(C("text"), F.floor(F.length("text") / 2)).alias("p")).select("doc_id", "p.line", "p.column")),
@@ -93,7 +93,7 @@ ORACLE = {
         "x2_format_duration": """SELECT event_id, CASE WHEN ms = 0 THEN '0' WHEN ms % 3600000 = 0 THEN concat(ms // 3600000, 'h') WHEN ms % 60000 = 0 THEN concat(ms // 60000, 'min') WHEN ms % 1000 = 0 THEN concat(ms // 1000, 's') ELSE concat(ms, 'ms') END AS exact,
             CASE WHEN ms < 1000 THEN concat(ms, 'ms') WHEN ms < 60000 THEN printf('%.1fs', round_even(ms / 1000.0::DOUBLE, 1)) ELSE concat(ms // 60000, 'm', (ms % 60000) // 1000, 's') END AS human
             FROM (SELECT event_id, event_id * CASE WHEN event_id % 3 = 0 THEN 1000 WHEN event_id % 7 = 0 THEN 3600000 ELSE 1 END AS ms FROM {events}) t""",
-        "x3_normalize_slug": "SELECT doc_id, nullif(regexp_replace(left(lower(regexp_replace(regexp_replace(left(text, 300), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g')), 80), '-+$', ''), '') AS slug FROM {documents}",
+        "x3_normalize_slug": "SELECT doc_id, nullif(regexp_replace(left(lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g')), 80), '-+$', ''), '') AS slug FROM {documents}",
         "x4_split_package_name": f"""SELECT page_id, CASE WHEN ok THEN lower(left(n, 36)) END AS id, CASE WHEN ok THEN regexp_replace(substr(n, 37), '^-', '') ELSE '' END AS slug, CASE WHEN ok THEN lower(left(n, 8)) END AS short_id
             FROM (SELECT page_id, n, regexp_matches(left(n, 36), '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$') AS ok FROM (SELECT page_id, {_PACKAGE} AS n FROM {{pages}}) a) b""",
         "x5_quote_identifier": """SELECT p_partkey, '"' || replace(p_name || '"' || p_brand, '"', '""') || '"' AS quoted FROM {part}""",

@@ -57,8 +57,8 @@ def parse_checksum_lines(lines: DataFrame, column: str = "value", line: Column |
     pattern = r"^([0-9a-fA-F]{64})  (.+)$"
     ok = F.col("text").rlike(pattern)
     good = numbered.where(ok).select("line", "text", F.regexp_extract("text", pattern, 2).alias("path"), F.lower(F.regexp_extract("text", pattern, 1)).alias("sha256"))
-    listed = good.groupBy("path").agg(F.count("*").alias("n"), F.min("sha256").alias("sha256"), F.collect_list(F.struct("line", "text")).alias("lines"))
+    listed = good.groupBy("path").agg(F.count("*").alias("n"), F.min("sha256").alias("sha256"))
     sums = listed.where("n = 1").select("path", "sha256")
-    twice = listed.where("n > 1").select(F.explode("lines").alias("l")).select("l.line", F.lit("listed_twice").alias("problem"), "l.text")
+    twice = good.join(listed.where("n > 1").select("path"), "path", "left_semi").select("line", F.lit("listed_twice").alias("problem"), "text")
     bad = numbered.where(~ok).select("line", F.lit("malformed").alias("problem"), "text")
     return sums, bad.unionByName(twice)
