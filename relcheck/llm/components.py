@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .textscan import staged
+from .textscan import discard, staged
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours are all linked to the least of them
         m = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(m, large.a == m.k).select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select(F.col("k").alias("a"), F.col("m").alias("b")))
-        edges = staged(norm(small))
+        before, edges = edges, staged(norm(small))
+        discard(before)
         state = edges.agg(F.count("*"), F.count_distinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not state[0] or state == nodes_before and state[0] == state[1]:
             break

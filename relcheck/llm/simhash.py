@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .textscan import LOWER, NOT_SPACE, map_batches, slices, staged, text_bytes, words
+from .textscan import LOWER, NOT_SPACE, map_batches, scratch, slices, staged, text_bytes, words
 
 RADIUS = 3
 SHINGLE = 3
@@ -197,15 +197,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     and empty texts share fingerprint 0. Rows with a null doc_id keep a row but name no component;
     repeated rows stay repeated; an empty table gives an empty result; other columns are not read.
     """
-    marked = staged(fingerprints(docs))
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = fingerprint_links(nodes, radius)
-    by_fp = connected_components(links.select("a", "b"))
-    # components are named by fingerprint first, then by the least document in them
-    named = nodes.join(by_fp.withColumnRenamed("node", "fp"), "fp")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = named.join(least, "component").select("fp", "component_id")
-    # written first: then both sides of the last join are plain exchanges, and the rows of a hot fingerprint can be split
-    node_component = staged(nodes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
+    with scratch(docs.sparkSession) as keep:
+        marked = keep(fingerprints(docs))
+        nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+        links = fingerprint_links(nodes, radius)
+        by_fp = connected_components(links.select("a", "b"))
+        # components are named by fingerprint first, then by the least document in them
+        named = nodes.join(by_fp.withColumnRenamed("node", "fp"), "fp")
+        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        joined = named.join(least, "component").select("fp", "component_id")
+        # written first: then both sides of the last join are plain exchanges, and the rows of a hot fingerprint can be split
+        node_component = keep(nodes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(node_component, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")

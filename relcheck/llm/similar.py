@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import connected_components
 from .simhash import RADIUS, fingerprint_links, majority
-from .textscan import LOWER, NOT_SPACE, fits, map_batches, mix, per_text, ragged, slices, span_hashes, staged, text_bytes, word_hashes, words
+from .textscan import LOWER, NOT_SPACE, fits, map_batches, mix, per_text, ragged, scratch, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -101,8 +101,8 @@ def _enough(a: str, b: str, similarity: float) -> Column:
     return (F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * similarity - 1e-6) & (F.least(x("n") - x("pos"), y("n") - y("pos")) >= both) & (bits <= differ)
 
 
-def _prefixes(sets: DataFrame, nodes: DataFrame, first: int) -> DataFrame:
-    """(h, set, n, pos, bits) of the shingles in the sets' prefixes that other sets have too; pos is a lower bound of the place.
+def _prefixes(sets: DataFrame, nodes: DataFrame, first: int, *bits: str) -> DataFrame:
+    """(h, set, n, pos, *bits) of the shingles in the sets' prefixes that other sets have too; pos is a lower bound of the place.
 
     One in `first` shingles comes first in the order, the rarest of them first; nodes has their number as early.
     """
@@ -112,9 +112,9 @@ def _prefixes(sets: DataFrame, nodes: DataFrame, first: int) -> DataFrame:
     held = each.join(shared, "h").select("set", "h", "df").distinct().withColumn("late", F.pmod(F.col("h"), F.lit(first)) != 0)
     own = Window.partitionBy("set")  # a set's own shingles
     ranked = held.withColumn("met", F.count(F.when(~F.col("late"), 1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("late", "df", "h")))
-    placed = ranked.join(nodes.select("set", "n", "early", "prefix", *BITS), "set")
+    placed = ranked.join(nodes.select("set", "n", "early", "prefix", *bits), "set")
     pos = F.when(F.col("late"), F.col("early") + F.col("nth") - 1 - F.col("met")).otherwise(F.col("early") - F.col("met") + F.col("nth") - 1)
-    return placed.withColumn("pos", pos).where("late OR pos < prefix").select("h", "set", "n", F.col("pos").cast("int").alias("pos"), *BITS)
+    return placed.withColumn("pos", pos).where("late OR pos < prefix").select("h", "set", "n", F.col("pos").cast("int").alias("pos"), *bits)
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
@@ -160,67 +160,69 @@ def near_duplicate_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
                 similar.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
-    marked = staged(map_batches(keyed, mark, "doc_id long, row long, set long, n long, early long, prefix long, " + "".join(f"{b} long, " for b in BITS) + "fp long, hashes array<long>"))
-    rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("rep")
-    # a text of the set to confirm by, whatever its id
-    nodes = staged(marked.groupBy("set").agg(rep, F.min("row").alias("row"), *(F.min(c).alias(c) for c in ("n", "early", "prefix", *BITS, "fp"))))
-    rows = staged(_prefixes(marked.select("set", "hashes"), nodes, FIRST))
-    chosen = staged(_meeting(rows).join(nodes.select("set", "row", "n", "prefix", *BITS, "fp"), "set"))
-    texts = keyed.select("row", "text").join(fits(chosen.select("row").distinct(), most_broadcast), "row", "left_semi")
-    sets = staged(map_batches(texts, whole, "set long, hashes array<long>").join(chosen.select("set"), "set", "left_semi").dropDuplicates(["set"]))
-    links, component = None, None
-
-    def settle(met: DataFrame) -> bool:
-        """Confirms pairs (a, b) and renews the components if one of them is new."""
-        nonlocal links, component
-        pairs = staged(met)
-        if pairs.isEmpty():
-            return False
-        need = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        used = sets.join(fits(need, most_broadcast), "set", "left_semi")
-        held = pairs.join(used.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(used.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-        fresh = staged(map_batches(held.select("a", "b", "x", "y"), confirm, "a long, b long"))
-        if fresh.isEmpty():
-            return False
-        links = fresh if links is None else links.union(fresh)
-        component = staged(connected_components(links).withColumnRenamed("node", "set"))
-        return True
-
-    def named_by(rows: DataFrame) -> DataFrame:
-        return rows.drop("comp").join(component, "set", "left").select("h", "set", "n", "pos", *BITS, F.coalesce("component", "set").alias("comp"))
-
-    settle(_simhash_pairs(chosen))
-    rows = staged(_prefixes(sets, chosen.withColumn("early", F.col("n")), 1))
-    rows = named_by(rows) if component is not None else rows.withColumn("comp", F.col("set"))
-    one = F.struct("set", "n", "pos", "comp", *BITS)
-    for turn, limit in enumerate([1, *(pair_limit << 4 * turn for turn in range(rounds)), 1 << 62]):
-        # by another hash each turn, so that leaders are spread over the group
-        some = F.array(*(F.min(F.struct(F.xxhash64("set", F.lit(leaders * turn + i)).alias("by"), one.alias("y"))) for i in range(leaders)))
-        groups = staged(rows.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), some.alias("leaders")).where("low <> high").select("h", "size", "leaders"))
-        if groups.isEmpty():
-            break
-        rows = staged(rows.join(groups, "h"))
-        small = F.col("size") <= limit
-        pair = [F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")]
-        apart = (F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity)
-        many = rows.where(~small).select(one.alias("x"), F.explode("leaders.y").alias("y")).where(apart).select(*pair)
-        if limit > 1:
+    with scratch(docs.sparkSession) as keep:
+        marked = staged(map_batches(keyed, mark, "doc_id long, row long, set long, n long, early long, prefix long, " + "".join(f"{b} long, " for b in BITS) + "fp long, hashes array<long>"))
+        rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("rep")
+        # a text of the set to confirm by, whatever its id
+        nodes = staged(marked.groupBy("set").agg(rep, F.min("row").alias("row"), *(F.min(c).alias(c) for c in ("n", "early", "prefix", *BITS, "fp"))))
+        rows = staged(_prefixes(marked.select("set", "hashes"), nodes, FIRST))
+        chosen = staged(_meeting(rows).join(nodes.select("set", "row", "n", "prefix", *BITS, "fp"), "set"))
+        texts = keyed.select("row", "text").join(fits(chosen.select("row").distinct(), most_broadcast), "row", "left_semi")
+        sets = staged(map_batches(texts, whole, "set long, hashes array<long>").join(chosen.select("set"), "set", "left_semi").dropDuplicates(["set"]))
+        links, component = None, None
+
+        def settle(met: DataFrame) -> bool:
+            """Confirms pairs (a, b) and renews the components if one of them is new."""
+            nonlocal links, component
+            pairs = staged(met)
+            if pairs.isEmpty():
+                return False
+            need = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+            used = sets.join(fits(need, most_broadcast), "set", "left_semi")
+            held = pairs.join(used.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(used.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
+            fresh = staged(map_batches(held.select("a", "b", "x", "y"), confirm, "a long, b long"))
+            if fresh.isEmpty():
+                return False
+            links = fresh if links is None else links.union(fresh)
+            component = staged(connected_components(links).withColumnRenamed("node", "set"))
+            return True
+
+        def named_by(rows: DataFrame) -> DataFrame:
+            return rows.drop("comp").join(component, "set", "left").select("h", "set", "n", "pos", *BITS, F.coalesce("component", "set").alias("comp"))
+
+        settle(_simhash_pairs(chosen))
+        rows = staged(_prefixes(sets, chosen.withColumn("early", F.col("n")), 1, *BITS))
+        rows = named_by(rows) if component is not None else rows.withColumn("comp", F.col("set"))
+        one = F.struct("set", "n", "pos", "comp", *BITS)
+        for turn, limit in enumerate([4, *(pair_limit << 4 * turn for turn in range(rounds)), 1 << 62]):
+            sizes = staged(rows.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "size"))
+            if sizes.isEmpty():
+                break
+            rows = staged(rows.join(sizes, "h"))
+            small = F.col("size") <= limit
+            pair = [F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")]
+            apart = (F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity)
             x, y = (rows.where(small).select("h", one.alias(side)) for side in "xy")
-            many = many.union(x.join(y, "h").where((F.col("x.set") < F.col("y.set")) & apart).select(*pair))
-        renewed = settle(many.distinct())
-        rows = rows.where(~small).select("h", "set", "n", "pos", *BITS, "comp")
-        rows = named_by(rows) if renewed else rows
-    named = nodes.select("set", "rep")
-    if component is not None:
-        named = _least(named.join(component, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("comp")))
-    return marked.select("doc_id", "row", "set").join(named, "set").select("doc_id", "row", "rep")
+            few = x.join(y, "h").where((F.col("x.set") < F.col("y.set")) & apart).select(*pair)
+            # by another hash each turn, so that leaders are spread over the group
+            some = F.array(*(F.min(F.struct(F.xxhash64("set", F.lit(leaders * turn + i)).alias("by"), one.alias("y"))) for i in range(leaders)))
+            heads = staged(rows.where(~small).groupBy("h").agg(some.alias("leaders")))
+            many = rows.where(~small).select("h", one.alias("x")).join(heads, "h").select("x", F.explode("leaders.y").alias("y")).where(apart).select(*pair).union(few)
+            renewed = settle(many.distinct())
+            rows = rows.where(~small).select("h", "set", "n", "pos", *BITS, "comp")
+            rows = named_by(rows) if renewed else rows
+        named = nodes.select("set", "rep")
+        if component is not None:
+            named = _least(named.join(component, "set", "left").select("set", "rep", F.coalesce("component", "set").alias("comp")))
+        # written first: then both sides of the join are plain exchanges, and a hot set can be split
+        return keep(marked.select("doc_id", "row", "set")).join(keep(named), "set").select("doc_id", "row", "rep")
 
 
 def _least(whose: DataFrame) -> DataFrame:
     """(set, rep): of each component's sets the least rep."""
     whose = staged(whose)
     least = staged(whose.groupBy("comp").agg(F.min("rep").alias("rep")))
-    return staged(whose.select("set", "comp").join(least, "comp").select("set", "rep"))
+    return whose.select("set", "comp").join(least, "comp").select("set", "rep")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pair_limit: int = 16, rounds: int = 2) -> DataFrame:
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     similarity or more. Null texts and texts without words have one, empty, set. Rows with a null doc_id
     keep a row but name no component; repeated rows stay repeated; other columns are not read.
 
-    Of the texts that share a shingle a few leaders are paired with all others first. Then up to `pair_limit`
+    Of more than four texts that share a shingle a few leaders are paired with all others first. Then up to `pair_limit`
     texts not in one component are paired with each other; of more, other leaders with all, round by round
     with sixteen times the limit each; what is in different components after `rounds` is paired in full.
     """

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .packing import expand
-from .textscan import ALNUM, LOWER, cut_spans, map_batches, set_apart, slices, span_hashes, staged, text_bytes, word_hashes, words
+from .textscan import ALNUM, LOWER, cut_spans, discard, map_batches, scratch, set_apart, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 LENGTH = 50
 K = 8
@@ -82,6 +82,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     # written first: a join of two plain exchanges is one whose large partitions adaptive execution can split
     shared = staged(suffixes.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").select("gram", "mixed"))
     candidates = staged(suffixes.join(shared, "gram"))
+    discard(suffixes)
     place = F.struct("doc_id", "row", "lo", "hi")
     contexts = staged(candidates.groupBy("context", "gram").agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("mixed").alias("mixed")))
     again = contexts.where("n > 1").select("context", "gram", "f", F.col("mixed").alias("parts"))
@@ -137,7 +138,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     document itself). Documents without such passages, shorter than `length` words, empty or null have no
     row. Rows that repeat both doc_id and text count once; an empty table gives an empty result.
     """
-    merged = _merged(repeats(docs, length, k))
+    with scratch(docs.sparkSession) as keep:
+        merged = keep(_merged(repeats(docs, length, k)))
     return merged.select("doc_id", F.col("first_word").cast("long"), F.col("end_word").cast("long"), (F.col("end_word") - F.col("first_word")).cast("long").alias("n_words"), "removable", "first_docs")
 
 
@@ -146,8 +148,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
 
     Texts without repeats stay as they are, byte for byte. Rows of which no word is left are dropped.
     """
-    merged = _merged(repeats(docs, length, k)).where("removable")
-    per_row = merged.groupBy("row").agg(F.collect_list(F.array("first_word", "end_word")).alias("cuts"))
+    with scratch(docs.sparkSession) as keep:
+        merged = _merged(repeats(docs, length, k)).where("removable")
+        per_row = keep(merged.groupBy("row").agg(F.collect_list(F.array("first_word", "end_word")).alias("cuts")))
     apart, renamed = set_apart(docs, "doc_id", "text", "n_chars")
     names = apart.columns
     keyed = apart.withColumn("row", F.xxhash64("doc_id", "text")).join(per_row, "row", "left").drop("row")

@@ -7,7 +7,9 @@ numpy over that whole buffer, so a task never loops over characters in Python.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -169,11 +171,56 @@ def fits(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: Folders staged within the scratch() at hand; none outside of one.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system, which need not be a local one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends there, lost executors cost no rework."""
+    """df written once to the shared folder and read back: lineage ends there, lost executors cost no rework.
+
+    The folder goes at the end of the scratch() around it, else when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _folder(spark, path)
+    files.deleteOnExit(target)
+    if (mine := _scratch.get()) is not None:
+        mine.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a staged table that nothing reads any more."""
+    target, files = _folder(df.sparkSession, df.staged_path)
+    files.delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is staged inside at the end; gives a function that stages what is to outlive it."""
+    outer, mine = _scratch.get(), []
+    token = _scratch.set(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = staged(df)
+        mine.remove(out.staged_path)
+        if outer is not None:
+            outer.append(out.staged_path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for path in mine:
+            target, files = _folder(spark, path)
+            files.delete(target, True)
