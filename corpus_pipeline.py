@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relcheck.llm import decontam, lang_id, packing, similar, suffix_dedup
-from relcheck.llm.textscan import fits, set_apart, staged
+from relcheck.llm.textscan import discard, fits, scratch, set_apart, staged
 
 #: Keys of kept documents that a broadcast may hold (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
@@ -28,9 +28,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that repeat both, the one with the least other columns. Rows without an id can't be named by a
     component and stay.
     """
-    found = similar.near_duplicate_rows(docs)
-    first = found.where((F.col("doc_id") == F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row")))
-    kept = staged(first.groupBy(F.col("doc_id").alias("kept id"), F.col("row").alias("kept row")).agg(F.count("*").alias("rows")))
+    with scratch(spark) as keep:
+        found = similar.near_duplicate_rows(docs)
+        first = found.where((F.col("doc_id") == F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row")))
+        kept = keep(first.groupBy(F.col("doc_id").alias("kept id"), F.col("row").alias("kept row")).agg(F.count("*").alias("rows")))
 
     def rows_of(keys: DataFrame) -> DataFrame:
         same = (docs["doc_id"] == keys["kept id"]) & (F.xxhash64(docs["text"]) == keys["kept row"])
@@ -78,6 +79,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
