@@ -5,15 +5,18 @@ Edges are (project, child, parent): child depends on parent. Nodes are (project,
 
 from __future__ import annotations
 
-import heapq
+from functools import reduce
+from itertools import count
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .relations import materialise
+from .relations import with_position, written
 
 KEY = ["project", "id"]
 
+#: Parts that a loop gathers before they are written as one, so that no plan grows with the rounds.
+MOST_PARTS = 16
+
 
 def edges_of(nodes: DataFrame) -> DataFrame:
     """H1: (project, child, parent) of nodes with a `depends` array."""
@@ -54,87 +57,96 @@ def dependents_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(wanted, ["project", "parent"]).select("project", "parent", "child").distinct()
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """Materialised, under column identities of its own, so that unions of a loop's rounds stay apart."""
-    return materialise(df).toDF(*df.columns)
+def _gathered(parts: list[DataFrame], part: DataFrame) -> list[DataFrame]:
+    """The parts and one more; written as one where there are too many."""
+    parts = [*parts, part]
+    return [written(reduce(DataFrame.union, parts))] if len(parts) > MOST_PARTS else parts
+
+
+def _known_edges(known: DataFrame, edges: DataFrame) -> DataFrame:
+    return edges.select("project", "child", "parent").distinct().join(known.withColumnRenamed("id", "parent"), ["project", "parent"], "left_semi")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """H6: (project, id, level): the longest path down to a node without known dependencies; null on or behind a cycle.
 
     Peels all ready nodes of all projects in a round; ordering by (level, id) respects every edge.
     Rounds are as many as levels, and each moves only edges whose parents have just been placed.
     """
     known = nodes.select(*KEY).distinct()
-    inner = edges.select("project", "child", "parent").distinct().join(known.withColumnRenamed("id", "parent"), ["project", "parent"], "left_semi")
-    left = _fresh(inner)
-    degree = _fresh(left.groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("waits")))
+    left = written(_known_edges(known, edges))
+    degree = written(left.groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("waits")))
     ready = known.join(degree, KEY, "left_anti")
-    placed = None
-    for level in range(max_rounds):
-        now = _fresh(ready.select(*KEY, F.lit(level).alias("level")))
+    placed: list[DataFrame] = []
+    for level in count():
+        now = written(ready.select(*KEY, F.lit(level).alias("level")))
         if now.isEmpty():
             break
-        placed = now if placed is None else placed.union(now)
+        placed = _gathered(placed, now)
         freed = left.join(now.select("project", F.col("id").alias("parent")), ["project", "parent"]).groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("freed"))
-        degree = _fresh(degree.join(freed, KEY, "left").select(*KEY, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits")))
+        degree = written(degree.join(freed, KEY, "left").select(*KEY, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits")))
         ready = degree.where("waits = 0")
         degree = degree.where("waits > 0")
-    else:
-        raise RuntimeError(f"more than {max_rounds} levels")
-    if placed is None:
+    if not placed:
         return known.withColumn("level", F.lit(None).cast("int"))
-    return known.join(placed, KEY, "left")
+    return known.join(reduce(DataFrame.union, placed), KEY, "left")
+
+
+def _highest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with `top`: the greatest id among each node and all it depends on, by edges within nodes."""
+    values, raised = nodes.withColumn("top", F.col("id")), None
+    while True:
+        senders = (values if raised is None else raised).select("project", F.col("id").alias("parent"), "top")
+        sent = edges.join(senders, ["project", "parent"]).groupBy("project", F.col("child").alias("id")).agg(F.max("top").alias("sent"))
+        raised = written(values.join(sent, KEY).where("sent > top").select(*KEY, F.col("sent").alias("top")))
+        if raised.isEmpty():
+            return values
+        higher = raised.withColumnRenamed("top", "higher")
+        values = written(values.join(higher, KEY, "left").select(*nodes.columns, F.coalesce("higher", "top").alias("top")))
 
 
 def deployment_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """H7: (project, id, position): of all ready nodes the least id goes next.
 
-    The order within a project is sequential by definition, so projects are what runs side by side; for
-    one huge project use topological_levels. Nodes on or behind a cycle have no position.
+    Let a node's top be the greatest id among it and all it depends on. No node goes before all nodes of a
+    lesser top are gone: of those that are left one is always ready, and its id is less than the node's top.
+    So nodes go by their tops; the node that is a top itself leads those that have it, and these follow by
+    the same rule among themselves. A round places the leaders of all groups of all projects by a
+    range-partitioned sort; where ids grow along the edges (as ids made by time do) one round is enough, while a
+    chain whose ids fall takes a round for each of its nodes. No task sees a whole project. Nodes on or behind a cycle have no position.
     """
-    known = nodes.select(*KEY).distinct()
-    inner = edges.select("project", "child", "parent").distinct().join(known.withColumnRenamed("id", "parent"), ["project", "parent"], "left_semi")
-    parents = inner.groupBy("project", F.col("child").alias("id")).agg(F.collect_list("parent").alias("parents"))
-    full = known.join(parents, KEY, "left")
-    kind = nodes.schema["project"].dataType.simpleString(), nodes.schema["id"].dataType.simpleString()
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["id"].tolist()
-        waits = {i: len(p) if p is not None else 0 for i, p in zip(ids, rows["parents"])}
-        children: dict = {}
-        for i, p in zip(ids, rows["parents"]):
-            for parent in p if p is not None else ():
-                children.setdefault(parent, []).append(i)
-        ready = [i for i in ids if not waits[i]]
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            out.append(i := heapq.heappop(ready))
-            for child in children.get(i, ()):
-                waits[child] -= 1
-                if not waits[child]:
-                    heapq.heappush(ready, child)
-        return pd.DataFrame({"project": rows["project"].iloc[0], "id": out, "position": range(1, len(out) + 1)})
-
-    return full.groupBy("project").applyInPandas(order, f"project {kind[0]}, id {kind[1]}, position long")
-
-
-def closure(edges: DataFrame, targets: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    left = written(topological_levels(nodes, edges).where("level IS NOT NULL").select(*KEY, F.lit(0).cast("long").alias("at")))
+    inner = written(_known_edges(left.select(*KEY), edges).join(left.select("project", F.col("id").alias("child")), ["project", "child"], "left_semi"))
+    placed: list[DataFrame] = []
+    while not left.isEmpty():
+        ranked = with_position(_highest(left, inner).withColumn("follows", F.col("id") != F.col("top")), ["project", "at", "top", "follows"], "rank")
+        ranked = written(ranked.select(*KEY, "at", "top", "follows", "rank"))
+        begin = ranked.groupBy("project", "at").agg(F.min("rank").alias("begin"))
+        leads = written(ranked.where("NOT follows").join(begin, ["project", "at"]).select(*KEY, "at", (F.col("at") + F.col("rank") - F.col("begin")).alias("place")))
+        placed = _gathered(placed, leads.select(*KEY, (F.col("place") + 1).alias("position")))
+        behind = leads.select("project", "at", F.col("id").alias("top"), (F.col("place") + 1).alias("next"))
+        left = written(ranked.where("follows").join(behind, ["project", "at", "top"]).select(*KEY, F.col("next").alias("at")))
+        ends = [left.select("project", F.col("id").alias(side), F.col("at").alias(f"{side} at")) for side in ("child", "parent")]
+        inner = written(inner.join(ends[0], ["project", "child"]).join(ends[1], ["project", "parent"]).where("`child at` = `parent at`").select("project", "child", "parent"))
+    if not placed:
+        return nodes.limit(0).select(*KEY, F.lit(0).cast("long").alias("position"))
+    return reduce(DataFrame.union, placed)
+
+
+def closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """H8: (project, target, id): every target with all it depends on, directly or not, once each.
 
     A frontier moves one edge a round and never visits a pair twice, so diamonds cost nothing extra.
     """
     steps = edges.select("project", F.col("child").alias("id"), "parent").distinct()
-    frontier = _fresh(targets.select("project", F.col("id").alias("target"), "id").distinct())
+    frontier = written(targets.select("project", F.col("id").alias("target"), "id").distinct())
     seen = frontier
-    for _ in range(max_rounds):
+    while True:
         step = frontier.join(steps, KEY).select("project", "target", F.col("parent").alias("id")).distinct()
-        frontier = _fresh(step.join(seen, ["project", "target", "id"], "left_anti"))
+        frontier = written(step.join(seen, ["project", "target", "id"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _fresh(seen.union(frontier))
-    raise RuntimeError(f"more than {max_rounds} rounds")
+        seen = written(seen.union(frontier))
 
 
 def closure_of(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -150,25 +162,30 @@ def stuck_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """H9: (project, stuck, cycle): for each project with stuck nodes their number and one cycle's ids.
 
-    Only the stuck nodes reach Python, a project at a time; the cycle starts at its least id.
+    The cycle starts at its least id, and each of its nodes depends on the next one. It is the one that is
+    met from the least stuck id by always taking the least stuck dependency. Such walks go by doubled steps:
+    a join gives the node 2, 4, 8, ... steps on for all nodes at once, so rounds grow with the logarithm of
+    a project's stuck nodes, and no task follows a walk.
     """
-    stuck = _fresh(stuck_nodes(nodes, edges))
-    inner = edges.select("project", "child", "parent").distinct().join(stuck.withColumnRenamed("id", "parent"), ["project", "parent"], "left_semi").join(stuck.withColumnRenamed("id", "child"), ["project", "child"], "left_semi")
+    stuck = written(stuck_nodes(nodes, edges))
+    inner = _known_edges(stuck, edges).join(stuck.withColumnRenamed("id", "child"), ["project", "child"], "left_semi")
     # any stuck node has a stuck dependency, so following the least one must come round
-    least = inner.groupBy("project", F.col("child").alias("id")).agg(F.min("parent").alias("next"))
-    kind = nodes.schema["project"].dataType.simpleString(), nodes.schema["id"].dataType.simpleString()
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        follow = dict(zip(rows["id"].tolist(), rows["next"].tolist()))
-        at, seen = min(follow), {}
-        while at not in seen:
-            seen[at] = len(seen)
-            at = follow[at]
-        ring = [i for i, n in seen.items() if n >= seen[at]]
-        turn = ring.index(min(ring))
-        return pd.DataFrame({"project": [rows["project"].iloc[0]], "stuck": [len(follow)], "cycle": [ring[turn:] + ring[:turn]]})
-
-    return least.groupBy("project").applyInPandas(walk, f"project {kind[0]}, stuck long, cycle array<{kind[1]}>")
+    jumps = [written(inner.groupBy("project", F.col("child").alias("id")).agg(F.min("parent").alias("next")))]
+    start = written(jumps[0].groupBy("project").agg(F.min("id").alias("id"), F.count("*").alias("stuck")))
+    most = start.agg(F.max("stuck")).first()[0] or 0
+    for _ in range(most.bit_length()):
+        on = jumps[-1].select("project", F.col("id").alias("next"), F.col("next").alias("further"))
+        jumps.append(written(jumps[-1].join(on, ["project", "next"]).select(*KEY, F.col("further").alias("next"))))
+    # as many steps as there are nodes lead onto the cycle, and as many again go round it
+    ring = written(start.join(jumps[-1], KEY).select("project", F.col("next").alias("id"), F.lit(0).cast("long").alias("step")))
+    for k, jump in enumerate(jumps):
+        further = ring.join(jump, KEY).select("project", F.col("next").alias("id"), F.col("step") + (1 << k))
+        ring = written(ring.union(further).groupBy(*KEY).agg(F.min("step").alias("step")))
+    turn = ring.groupBy("project").agg(F.count("*").alias("n"), F.min_by("step", "id").alias("turn"))
+    placed = ring.join(turn, "project").select("project", F.struct(((F.col("step") - F.col("turn") + F.col("n")) % F.col("n")).alias("at"), "id").alias("node"))
+    found = placed.groupBy("project").agg(F.transform(F.sort_array(F.collect_list("node")), lambda x: x["id"]).alias("cycle"))
+    kind = nodes.schema["project"].dataType
+    return start.join(found, "project").select(F.col("project").cast(kind).alias("project"), "stuck", "cycle")
 
 
 def below_head(nodes: DataFrame, edges: DataFrame, requested: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ paired by position, whatever their names, and equality is null-safe.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -23,6 +26,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the folder that all machines share and read back; it goes when the driver's JVM ends.
+
+    For loops: unlike checkpoint() this leaves no constraints behind, which double from round to round. The
+    folder is spark.checkpoint.dir; a local one is made only where that is unset.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    path = f"{context.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def relation_of(spark: SparkSession, values: list) -> DataFrame:
     """A list of expected values as a relation of one column, `value`."""
     if not values:

@@ -55,6 +55,7 @@ QUERIES = {
     "h6_topological_levels": _g(H.topological_levels),
     "h7_deployment_order": _g(H.deployment_order),
     "h8_closure_of": lambda spark, d: H.closure(table(spark, d, "edges"), _targets(spark, d)),
+    "h8_closure_order": lambda spark, d: H.closure_of(table(spark, d, "nodes"), table(spark, d, "edges"), _targets(spark, d)),
     "h9_cycles": lambda spark, d: H.cycles(table(spark, d, "nodes"), table(spark, d, "edges_bad")).select("project", "stuck", F.array_join("cycle", ",").alias("cycle")),
     "h9_stuck_nodes": _g(H.stuck_nodes, edges="edges_bad"),
     "h10_below_head": lambda spark, d: H.below_head(table(spark, d, "nodes"), table(spark, d, "edges"), table(spark, d, "nodes").where("id % 3 = 0").select("project", "id").union(_targets(spark, d).select("project", "id"))),
@@ -85,6 +86,12 @@ _TARGETS = "(SELECT project, id FROM {nodes} WHERE id % 131 = 7)"
 _ATTEMPTS = "(SELECT project, id FROM {nodes} WHERE id % 43 = 0 UNION ALL SELECT project, id + 20000000 FROM {nodes} WHERE id % 401 = 0)"
 _LEVELS = """WITH RECURSIVE l AS (SELECT DISTINCT CAST(project AS BIGINT) AS project, id, 0 AS level FROM {nodes} UNION SELECT e.project, e.child, l.level + 1 FROM l JOIN {edges} e ON e.project = l.project AND e.parent = l.id)"""
 _CLOSURE = f"""WITH RECURSIVE c AS (SELECT CAST(project AS BIGINT) AS project, id AS target, id FROM {_TARGETS} t UNION SELECT e.project, c.target, e.parent FROM c JOIN {{edges}} e ON e.project = c.project AND e.child = c.id)"""
+_ORDER = """WITH RECURSIVE p AS (SELECT n.project, n.id, coalesce(d, []) AS d FROM {nodes} n LEFT JOIN (SELECT e.project, e.child AS id, list(e.parent) AS d FROM {edges} e JOIN {nodes} m ON m.project = e.project AND m.id = e.parent GROUP BY e.project, e.child) x ON x.project = n.project AND x.id = n.id),
+    k AS (SELECT project, CAST(0 AS BIGINT) AS position, CAST([] AS BIGINT[]) AS done, CAST(NULL AS BIGINT) AS id FROM (SELECT DISTINCT project FROM p) q
+    UNION ALL SELECT k.project, k.position + 1, list_append(k.done, min(p.id)), min(p.id) FROM k JOIN p ON p.project = k.project WHERE NOT list_contains(k.done, p.id) AND list_has_all(k.done, p.d) GROUP BY k.project, k.position, k.done)"""
+_STUCK = """WITH RECURSIVE b AS (SELECT DISTINCT project, child, parent FROM {edges_bad} e WHERE EXISTS (SELECT 1 FROM {nodes} n WHERE n.project = e.project AND n.id = e.parent)),
+            r AS (SELECT project, child AS a, parent AS b FROM b UNION SELECT r.project, r.a, b.parent FROM r JOIN b ON b.project = r.project AND b.child = r.b),
+            k AS (SELECT DISTINCT project, a AS id FROM r WHERE a = b)"""
 _EFFECT = "CASE WHEN action IN ('deploy', 'baseline') AND outcome = 'succeeded' OR action = 'resolve' AND outcome = 'asserted_applied' THEN 'applied' WHEN action = 'revert' AND outcome = 'succeeded' OR action = 'resolve' AND outcome = 'asserted_not_applied' THEN 'absent' WHEN action = 'deploy' AND outcome = 'attempted' THEN 'blocked' END"
 _FOLD = f"e AS (SELECT *, {_EFFECT} AS e FROM {{run_log}}), r AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY recorded_at DESC, run_id DESC, sequence DESC) AS k FROM e WHERE e IS NOT NULL)"
 _DEPENDS = "(SELECT project, child AS id, string_agg(CAST(parent AS VARCHAR), ',' ORDER BY parent) AS d FROM {%s} GROUP BY project, child)"
@@ -107,12 +114,18 @@ ORACLE = {
         "h5_dependents_of": "SELECT DISTINCT project, parent, child FROM {edges} WHERE parent % 131 = 7",
         "h6_topological_levels": f"{_LEVELS} SELECT CAST(project AS INTEGER) AS project, id, max(level) AS level FROM l GROUP BY project, id",
         "h8_closure_of": f"{_CLOSURE} SELECT CAST(project AS INTEGER) AS project, target, id FROM c",
-        "h9_stuck_nodes": """WITH RECURSIVE b AS (SELECT DISTINCT project, child, parent FROM {edges_bad} e WHERE EXISTS (SELECT 1 FROM {nodes} n WHERE n.project = e.project AND n.id = e.parent)),
-            r AS (SELECT project, child AS a, parent AS b FROM b UNION SELECT r.project, r.a, b.parent FROM r JOIN b ON b.project = r.project AND b.child = r.b),
-            k AS (SELECT DISTINCT project, a AS id FROM r WHERE a = b)
-            SELECT CAST(project AS INTEGER) AS project, id FROM k UNION SELECT CAST(r.project AS INTEGER), r.a FROM r JOIN k ON k.project = r.project AND k.id = r.b""",
+        "h7_deployment_order": f"{_ORDER} SELECT project, id, position FROM k WHERE id IS NOT NULL",
+        "h8_closure_order": f"{_CLOSURE}, {_ORDER.removeprefix('WITH RECURSIVE ')} SELECT CAST(c.project AS INTEGER) AS project, c.target, c.id, k.position FROM c LEFT JOIN k ON k.project = c.project AND k.id = c.id",
+        "h9_cycles": f"""{_STUCK}, s AS (SELECT project, id FROM k UNION SELECT r.project, r.a FROM r JOIN k ON k.project = r.project AND k.id = r.b),
+            f AS (SELECT b.project, b.child AS id, min(b.parent) AS next FROM b JOIN s c ON c.project = b.project AND c.id = b.child JOIN s p ON p.project = b.project AND p.id = b.parent GROUP BY b.project, b.child),
+            w AS (SELECT project, min(id) AS id, [min(id)] AS path FROM f GROUP BY project UNION ALL SELECT w.project, f.next, list_append(w.path, f.next) FROM w JOIN f ON f.project = w.project AND f.id = w.id WHERE len(list_distinct(w.path)) = len(w.path)),
+            o AS (SELECT project, path[list_position(path, id):len(path) - 1] AS ring FROM w WHERE len(list_distinct(path)) < len(path)),
+            t AS (SELECT project, ring, list_position(ring, list_min(ring)) AS m FROM o)
+            SELECT CAST(t.project AS INTEGER) AS project, (SELECT count(*) FROM f WHERE f.project = t.project) AS stuck, array_to_string(list_concat(ring[m:], ring[:m - 1]), ',') AS cycle FROM t""",
+        "h9_stuck_nodes": f"{_STUCK} SELECT CAST(project AS INTEGER) AS project, id FROM k UNION SELECT CAST(r.project AS INTEGER), r.a FROM r JOIN k ON k.project = r.project AND k.id = r.b",
         "h10_below_head": f"SELECT DISTINCT project, id FROM (SELECT project, id FROM {{nodes}} WHERE id % 3 = 0 UNION ALL SELECT * FROM {_TARGETS} t) q WHERE EXISTS (SELECT 1 FROM {{edges}} e WHERE e.project = q.project AND e.parent = q.id)",
         "i1_definition_hash": "SELECT s.project, s.id, sha('definition-v1' || chr(10) || 'id=' || s.id || chr(10) || 'transaction=' || mode || chr(10) || 'depends=' || coalesce(d, '') || chr(10) || 'deploy_sha256=' || deploy_sha256 || chr(10)) AS definition_sha256 FROM {defs_source} s LEFT JOIN (SELECT project, child AS id, string_agg(CAST(parent AS VARCHAR), ',' ORDER BY CAST(parent AS VARCHAR)) AS d FROM {edges} GROUP BY project, child) x ON x.project = s.project AND x.id = s.id",
+        "i2_plan": f"{_ORDER} SELECT s.project, s.id, k.position, CASE WHEN EXISTS (SELECT 1 FROM {{applied}} a WHERE a.project = s.project AND a.id = s.id) THEN 'applied' ELSE 'pending' END AS status FROM {{defs_source}} s JOIN k ON k.project = s.project AND k.id = s.id",
         "i2_plan_status": "SELECT s.project, CASE WHEN EXISTS (SELECT 1 FROM {applied} a WHERE a.project = s.project AND a.id = s.id) THEN 'applied' ELSE 'pending' END AS status, count(*) AS n FROM {defs_source} s GROUP BY ALL",
         "i3_missing_from_source": "SELECT project, id FROM {applied} EXCEPT SELECT project, id FROM {defs_source}",
         "i4_changed_definitions": _CHANGED,
