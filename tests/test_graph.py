@@ -1,9 +1,7 @@
-from hypothesis import HealthCheck, given, settings, strategies as st
+import random
 
 from relcheck.operators import graph as H
 
-quick = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-
 
 def frames(spark, nodes, edges):
     return spark.createDataFrame([(1, n) for n in nodes], "project int, id long"), spark.createDataFrame([(1, c, p) for c, p in edges], "project int, child long, parent long")
@@ -17,33 +15,36 @@ def kahn(nodes, edges):
     return out
 
 
-@st.composite
-def dags(draw):
-    n = draw(st.integers(1, 7))
-    ids = draw(st.permutations(range(100, 100 + n)))
-    return list(ids), [(ids[i], ids[p]) for i in range(1, n) for p in draw(st.sets(st.integers(0, i - 1), max_size=3))]
-
-
-@quick
-@given(dags())
-def test_random_graphs(spark, dag):
-    nodes, edges = dag
-    n, e = frames(spark, nodes, edges)
-    order = [r["id"] for r in sorted(H.deployment_order(n, e).collect(), key=lambda r: r["position"])]
-    assert order == kahn(nodes, edges)
-    level = {r["id"]: r["level"] for r in H.topological_levels(n, e).collect()}
-    for x in nodes:
-        parents = [level[p] for c, p in edges if c == x]
-        assert level[x] == (max(parents) + 1 if parents else 0)
-    assert {r["id"] for r in H.heads(n, e).collect()} == set(nodes) - {p for _, p in edges}
-    target = nodes[-1]
-    want, todo = set(), [target]
-    while todo:
-        x = todo.pop()
-        if x not in want:
-            want.add(x)
-            todo += [p for c, p in edges if c == x]
-    assert {r["id"] for r in H.closure(e, n.where(f"id = {target}")).collect()} == want
+def dag(rng):
+    n = rng.randint(1, 11)
+    ids = rng.sample(range(100, 100 + n), n)
+    return ids, [(ids[i], ids[p]) for i in range(1, n) for p in rng.sample(range(i), rng.randint(0, min(i, 3)))]
+
+
+def test_random_graphs(spark):
+    # a project for each graph, so that one run covers all
+    rng = random.Random(11)
+    graphs = [dag(rng) for _ in range(20)]
+    n = spark.createDataFrame([(k, i) for k, (ids, _) in enumerate(graphs) for i in ids], "project int, id long")
+    e = spark.createDataFrame([(k, c, p) for k, (_, edges) in enumerate(graphs) for c, p in edges], "project int, child long, parent long")
+    order = sorted((r["project"], r["position"], r["id"]) for r in H.deployment_order(n, e).collect())
+    levels = {(r["project"], r["id"]): r["level"] for r in H.topological_levels(n, e).collect()}
+    heads = {tuple(r) for r in H.heads(n, e).collect()}
+    targets = spark.createDataFrame([(k, ids[-1]) for k, (ids, _) in enumerate(graphs)], "project int, id long")
+    closed = {(r["project"], r["id"]) for r in H.closure(e, targets).collect()}
+    for k, (nodes, edges) in enumerate(graphs):
+        assert [(p, i) for q, p, i in order if q == k] == [(p + 1, i) for p, i in enumerate(kahn(nodes, edges))]
+        for x in nodes:
+            parents = [levels[k, p] for c, p in edges if c == x]
+            assert levels[k, x] == (max(parents) + 1 if parents else 0)
+        assert {i for q, i in heads if q == k} == set(nodes) - {p for _, p in edges}
+        want, todo = set(), [nodes[-1]]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want.add(x)
+                todo += [p for c, p in edges if c == x]
+        assert {i for q, i in closed if q == k} == want
 
 
 def test_least_id_goes_next_not_level(spark):
