@@ -5,8 +5,8 @@ of `length` words, the k words with the least hash. Equal windows have equal min
 of a passage of `length` words or more keep suffixes that begin alike. Suffixes are brought together by
 their first k words. Where the whole context that a suffix answers for (all words of the windows it is
 the minimiser of) is equal, its copies match as a whole, left and right; where contexts differ, one
-suffix of each context is extended word by word, by hashes of each of its windows. Nothing is
-compared pair by pair. Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.
+suffix of each context is extended word by word, by two independent 64-bit hashes of each of its windows.
+Nothing is compared pair by pair. Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .packing import expand
-from .textscan import ALNUM, LOWER, cut_spans, discard, map_batches, scratch, set_apart, slices, span_hashes, staged, text_bytes, word_hashes, words
+from .textscan import ALNUM, LOWER, cut_spans, discard, map_batches, mix, scratch, set_apart, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 LENGTH = 50
 K = 8
+#: Word hashes are mixed with it for the second hash of a window.
+SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def anchors_of(hashes: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -95,8 +97,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     whole = met.where(~(is_first & F.col("parts"))).select("row", "doc_id", begin.alias("a"), (F.col("hi") + length).alias("b"), (~is_first).alias("removable"), F.col("f.doc_id").alias("first_doc"))
 
     # contexts that begin alike but differ: extend one suffix of each, window by window
-    ranges = contexts.where("mixed").groupBy(F.col("f.row").alias("row")).agg(F.collect_list(F.array(F.col("f.lo").cast("long"), F.col("f.hi").cast("long"), "n")).alias("ranges"))
-    needed = keyed.join(ranges, "row")
+    ranges = contexts.where("mixed").groupBy(F.col("f.row").alias("row"), F.col("f.doc_id").alias("of")).agg(F.collect_list(F.array(F.col("f.lo").cast("long"), F.col("f.hi").cast("long"), "n")).alias("ranges"))
+    needed = keyed.join(ranges.withColumnRenamed("row", "its row"), (F.col("row") == F.col("its row")) & F.col("doc_id").eqNullSafe(F.col("of")))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -107,13 +109,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             text = np.repeat(np.arange(len(per)), per)
             count = pairs[:, 1] - pairs[:, 0] + 1
             s, of = expand(pairs[:, 0], count), np.repeat(text, count)
-            h = span_hashes(hashes, at[of] + s, at[of] + s + length)
+            begin = at[of] + s
+            h, check = span_hashes(hashes, begin, begin + length), span_hashes(mix(hashes ^ SECOND), begin, begin + length)
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").cast(pa.int64()).take(take), batch.column("row").take(take), pa.array(s.astype(np.int32)), pa.array(np.repeat(pairs[:, 2], count))], ["window", "doc_id", "row", "s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(check.view(np.int64)), batch.column("doc_id").cast(pa.int64()).take(take), batch.column("row").take(take), pa.array(s.astype(np.int32)), pa.array(np.repeat(pairs[:, 2], count))], ["window", "check", "doc_id", "row", "s", "n"])
 
-    windows = staged(map_batches(needed.select("doc_id", "row", "text", "ranges"), extend, "window long, doc_id long, row long, s int, n long").distinct())
-    twice = staged(windows.groupBy("window").agg(F.min(F.struct("doc_id", "row", "s")).alias("f"), F.sum("n").alias("n")).where("n > 1").select("window", "f"))
-    met = windows.drop("n").join(twice, "window")
+    windows = staged(map_batches(needed.select("doc_id", "row", "text", "ranges"), extend, "window long, check long, doc_id long, row long, s int, n long").distinct())
+    twice = staged(windows.groupBy("window", "check").agg(F.min(F.struct("doc_id", "row", "s")).alias("f"), F.sum("n").alias("n")).where("n > 1").select("window", "check", "f"))
+    met = windows.drop("n").join(twice, ["window", "check"])
     is_first = same & (F.col("s") == F.col("f.s"))
     begin = F.when(~is_first & same, F.greatest("s", F.col("f.s") + length)).otherwise(F.col("s"))
     single = met.select("row", "doc_id", begin.alias("a"), (F.col("s") + length).alias("b"), (~is_first).alias("removable"), F.col("f.doc_id").alias("first_doc"))
@@ -122,12 +125,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
 
 def _merged(spans: DataFrame) -> DataFrame:
     """Spans of a row that overlap or touch become one, for removable and kept ones apart."""
-    w = Window.partitionBy("row", "removable").orderBy("a", "b")
+    w = Window.partitionBy("row", "doc_id", "removable").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     # windows of one row are as many as the row's own words at most, however often the passage occurs
     parted = spans.where("a < b").groupBy("row", "doc_id", "removable", "a", "b").agg(F.min("first_doc").alias("first_doc"))
     parted = parted.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("part", F.sum("new").over(w))
-    return parted.groupBy("row", "removable", "part").agg(F.min("doc_id").alias("doc_id"), F.min("a").alias("first_word"), F.max("b").alias("end_word"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+    return parted.groupBy("row", "doc_id", "removable", "part").agg(F.min("a").alias("first_word"), F.max("b").alias("end_word"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -150,10 +153,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     """
     with scratch(docs.sparkSession) as keep:
         merged = _merged(repeats(docs, length, k)).where("removable")
-        per_row = keep(merged.groupBy("row").agg(F.collect_list(F.array("first_word", "end_word")).alias("cuts")))
+        per_row = keep(merged.groupBy(F.col("row").alias("its row"), F.col("doc_id").alias("of")).agg(F.collect_list(F.array("first_word", "end_word")).alias("cuts")))
     apart, renamed = set_apart(docs, "doc_id", "text", "n_chars")
     names = apart.columns
-    keyed = apart.withColumn("row", F.xxhash64("doc_id", "text")).join(per_row, "row", "left").drop("row")
+    same = (F.xxhash64("doc_id", "text") == F.col("its row")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    keyed = apart.join(per_row, same, "left").select(*names, "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

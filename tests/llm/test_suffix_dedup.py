@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from relcheck.llm import suffix_dedup as S
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -76,8 +78,26 @@ def test_real_texts(spark, sf):
 
 def test_nulls_and_empty(spark):
     t = " ".join(f"x{i}" for i in range(20))
-    docs = spark.createDataFrame([(None, t), (4, t), (2, t + " more")], "doc_id long, text string, row int" if False else "doc_id long, text string")
+    docs = spark.createDataFrame([(None, t), (4, t), (2, t + " more")], "doc_id long, text string")
     got = {(r["doc_id"], r["removable"]) for r in S.repeated_spans(docs, 10, 3).collect()}
     assert got == {(None, False), (2, True), (4, True)}
     assert S.repeated_spans(docs.limit(0), 10, 3).count() == 0
     assert S.without_repeats(docs.limit(0), 10, 3).count() == 0
+
+
+def test_each_hash_of_a_window_tells_its_words():
+    rng = np.random.default_rng(8)
+    hashes = S.mix(rng.integers(0, 3, 4000).astype(np.uint64))
+    begin = np.arange(len(hashes) - 6)
+    words_of = np.unique(np.lib.stride_tricks.sliding_window_view(hashes, 7), axis=0, return_inverse=True)[1].ravel()
+    for codes in (hashes, S.mix(hashes ^ S.SECOND)):
+        h = np.unique(S.span_hashes(codes, begin, begin + 7), return_inverse=True)[1].ravel()
+        assert len(set(zip(h.tolist(), words_of.tolist(), strict=True))) == len(set(words_of.tolist())) == len(set(h.tolist()))
+
+
+def test_columns_that_clash(spark):
+    t = " ".join(f"x{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, t, 1, 2, "a", 3, 4), (4, t + " z", 5, 6, "b", 7, 8)], "doc_id long, text string, row int, cuts int, of string, `its row` int, first_word int")
+    got = S.without_repeats(docs, 10, 3).collect()
+    assert sorted(tuple(r) for r in got if r["doc_id"] is None) == [(None, t, 1, 2, "a", 3, 4)]
+    assert [tuple(r) for r in got if r["doc_id"] == 4] == [(4, "z", 5, 6, "b", 7, 8)]
