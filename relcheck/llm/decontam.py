@@ -3,20 +3,23 @@
 A task indexes the texts of its shard (a few MB at a time): words that could lie in an occurrence are
 numbered, sorted by suffix, and their Burrows-Wheeler transform is kept in a wavelet matrix, whose
 ranks drive backward search. All test phrases are searched at once; occurrences are located from
-sampled suffix positions and merged to spans. The benchmark is read in blocks of a stated size.
+sampled suffix positions and merged to spans. The benchmark is read in blocks of a stated size, and texts are
+scanned for one block after another, so that only one is broadcast at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 
 from .packing import expand
-from .textscan import ALNUM, LOWER, cut_spans, map_batches, per_text, slices, span_hashes, staged, text_bytes, word_hashes, words
+from .textscan import ALNUM, LOWER, cut_spans, discard, map_batches, per_text, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 WINDOW = 10
 SAMPLE = 8
@@ -46,7 +49,7 @@ class Windows:
         pairs = np.unique(np.stack([which, item], axis=1), axis=0) if len(which) else np.zeros((0, 2), np.int64)
         self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(where) + 1))
         self.items = pairs[:, 1]
-        self.item_ids = np.array([str(x) for x in ids], object)
+        self.item_ids = np.array([None if x is None else str(x) for x in ids], object)
         use = np.arange(window - 1)[None, :] < (self.length - 1)[:, None]
         left, right = self.symbols[:, :-1][use], self.symbols[:, 1:][use]
         self.bigrams = np.unique(left * (len(self.vocabulary) + 1) + right)
@@ -186,21 +189,31 @@ def _runs(hit: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = 16_000_000) -> list[Windows]:
+def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = 16_000_000) -> Iterator[Windows]:
     """Reads the benchmark in blocks of at most `block_chars` characters (one item at least).
 
-    Items stream to the driver block by block and leave it as broadcasts of that bounded size; items
-    with null ids count under the id "null", repeated items once.
+    Items stream to the driver block by block and leave it as broadcasts of that bounded size. The last
+    block, the only one of an empty benchmark, may be empty.
     """
-    blocks, ids, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         if ids and size + len(r[1]) > block_chars:
-            blocks.append(Windows(ids, texts, window))
+            yield Windows(ids, texts, window)
             ids, texts, size = [], [], 0
-        ids.append("null" if r[0] is None else r[0])
+        ids.append(r[0])
         texts.append(r[1])
         size += len(r[1])
-    return [*blocks, Windows(ids, texts, window)]
+    yield Windows(ids, texts, window)
+
+
+def _marked(spans: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Which words lie in the spans (first word, last word + 1) of their text."""
+    counts = pc.list_value_length(spans).to_numpy(zero_copy_only=False)
+    pairs = spans.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2) + np.repeat(at[:-1], counts)[:, None]
+    change = np.zeros(at[-1] + 1, np.int64)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 1], -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -208,43 +221,62 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated,
     spans (list of [first word, last word + 1]); with clean_text also clean: the text without the spans.
-    Null and empty texts have no words; repeated rows stay; an empty benchmark hits nothing. `keep`
-    names further columns of docs to carry along.
+    Null and empty texts have no words; repeated rows stay; an empty benchmark hits nothing. Words of items
+    with a null id are hit, but such items are neither counted nor named; repeated items count once. `keep`
+    names further columns of docs to carry along. For each block of the benchmark but the last what was found
+    so far is written, with the texts, to the shared folder.
     """
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, window)]
     extra = [c for c in keep if c not in ("doc_id", "text")]
     kinds = {f.name: f for f in docs.schema.fields}
+    carried = "".join(f", `{c}` {kinds[c].dataType.simpleString()}" for c in extra)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"
-    schema += ", clean string" * clean_text + "".join(f", `{c}` {kinds[c].dataType.simpleString()}" for c in extra)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):  # one index a slice
-            data, off = text_bytes(batch.column("text"))
-            n = len(off) - 1
-            hit, pairs, base = None, [set() for _ in range(n)], None
-            for block in blocks:
-                base = scan(data, off, block.value)
-                hit = base["hit"] if hit is None else hit | base["hit"]
+    schema += ", clean string" * clean_text + carried
+    so_far = ["spans so far", "items so far"]
+
+    def run(shared: Broadcast, last: bool) -> Callable:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):  # one index a slice
+                data, off = text_bytes(batch.column("text"))
+                n = len(off) - 1
+                base = scan(data, off, shared.value)
+                at, hit, items = base["at"], base["hit"], [set() for _ in range(n)]
+                if so_far[0] in batch.schema.names:
+                    hit = hit | _marked(batch.column(so_far[0]), at)
+                    items = [set(x) for x in batch.column(so_far[1]).to_pylist()]
                 for text, item in base["pairs"].tolist():
-                    pairs[text].add(block.value.item_ids[item])
-            first, last = _runs(hit, base["text_of"])
-            spans = np.stack([first, last], axis=1) - base["at"][base["text_of"][first]][:, None] if len(first) else np.zeros((0, 2), np.int64)
-            per = np.bincount(base["text_of"][first], minlength=n)
-            n_hit = per_text(hit, base["at"])
-            inner = ragged_pairs(spans, per)
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in pairs]
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(base["at"])), pa.array(n_hit), pa.array([len(x) for x in pairs], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0), inner]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-            if clean_text:
-                # a span goes with what stands between it and the next word of its text
-                nxt = np.append(base["starts"], len(data))[last] if len(last) else last
-                texts = cut_spans(data, off, base["starts"][first], np.minimum(nxt, off[1:][base["text_of"][first]]))
-                columns.append(pa.array(texts, pa.string()))
-                names.append("clean")
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in extra)], [*names, *extra])
-
-    return map_batches(docs.select("doc_id", "text", *extra), run, schema)
+                    items[text].add(shared.value.item_ids[item])
+                begin, end = _runs(hit, base["text_of"])
+                of = base["text_of"][begin]
+                spans = ragged_pairs(np.stack([begin, end], axis=1) - at[of][:, None], np.bincount(of, minlength=n))
+                items = [sorted(x - {None}) for x in items]
+                doc_id, rest = batch.column("doc_id").cast(pa.int64()), [batch.column(c) for c in extra]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([doc_id, batch.column("text"), *rest, spans, pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", *extra, *so_far])
+                    continue
+                n_hit = per_text(hit, at)
+                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+                columns = [doc_id, pa.array(np.diff(at)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0), spans]
+                names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+                if clean_text:
+                    # a span goes with what stands between it and the next word of its text
+                    nxt = np.append(base["starts"], len(data))[end]
+                    columns.append(pa.array(cut_spans(data, off, base["starts"][begin], np.minimum(nxt, off[1:][of])), pa.string()))
+                    names.append("clean")
+                yield pa.RecordBatch.from_arrays([*columns, *rest], [*names, *extra])
+
+        return each
+
+    found, before = docs.select("doc_id", "text", *extra), None
+    blocks = benchmark_blocks(benchmark, window)
+    block = next(blocks)
+    for following in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        found = staged(map_batches(found, run(shared, False), f"doc_id long, text string{carried}, `spans so far` array<array<int>>, `items so far` array<string>"))
+        shared.destroy()
+        if before is not None:
+            discard(before)
+        block, before = following, found
+    return map_batches(found, run(docs.sparkSession.sparkContext.broadcast(block), True), schema)
 
 
 def ragged_pairs(spans: np.ndarray, per: np.ndarray) -> pa.Array:

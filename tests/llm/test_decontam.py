@@ -91,4 +91,17 @@ def test_blocks_give_what_one_block_gives(spark, sf, monkeypatch):
     whole = sorted(map(str, D.contamination(docs, bench).collect()))
     real = D.benchmark_blocks
     monkeypatch.setattr(D, "benchmark_blocks", lambda b, w: real(b, w, block_chars=2000))
+    assert len(list(D.benchmark_blocks(bench, 10))) >= 3
     assert sorted(map(str, D.contamination(docs, bench).collect())) == whole
+
+
+def test_items_without_an_id_hit_but_have_no_name(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four", 7), (2, "five six", 8), (None, "null seven", 9)], "doc_id long, text string, `items so far` int")
+    items = spark.createDataFrame([(None, "two three"), ("null", "null seven"), ("b", "five six"), ("b", "five six")], "item_id string, text string")
+    name = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(1, 2, 0, name(""), True), (2, 2, 1, name("b"), True), (None, 2, 1, name("null"), True)]
+    real = D.benchmark_blocks
+    for chars in (1000, 5):
+        monkeypatch.setattr(D, "benchmark_blocks", lambda b, w, c=chars: real(b, w, block_chars=c))
+        got = D.contamination(docs, items, 2).select("doc_id", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[0] or 99) == want
