@@ -188,14 +188,16 @@ def reconcile_checksums(recorded: DataFrame, actual: DataFrame) -> DataFrame:
 def checksum_rollup(recorded: DataFrame, tree: Column) -> DataFrame:
     """I16: per tree the recorded paths' count and a digest of its checksum lines.
 
-    The digest is that of the 256 digests of the lines whose path hash has the same first byte, each
-    sorted by path, so that no task gathers a tree's whole list.
+    The digest is built in three levels, so that no task gathers a tree's whole list: of the lines, sorted by
+    path, whose path hash has the same first two bytes (65,536 lists a tree, of equal size whatever the paths
+    are), of those digests by first byte, and of these 256.
     """
     line = F.struct("path", F.concat("sha256", F.lit("  "), "path", F.lit("\n")).alias("line"))
-    bucket = F.substring(F.sha2("path", 256), 1, 2)
+    bucket = F.substring(F.sha2("path", 256), 1, 4)
     parts = recorded.groupBy(tree.alias("tree"), bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), ""), 256).alias("d"))
     digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256)
-    return parts.groupBy("tree").agg(F.sum("n").alias("recorded"), digest.alias("digest"))
+    bytes_ = parts.groupBy("tree", F.substring("bucket", 1, 2).alias("bucket")).agg(F.sum("n").alias("n"), digest.alias("d"))
+    return bytes_.groupBy("tree").agg(F.sum("n").alias("recorded"), digest.alias("digest"))
 
 
 def resolve_selectors(packages: DataFrame, selectors: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ ORACLE = {
         "i14_single_owner": "WITH r AS (SELECT DISTINCT db, schema_name, 'p' || substr(owner, 6, 1) AS project FROM {catalog_snapshot} WHERE schema_name <> 's2'), f AS (SELECT db, count(*) AS owners, min(schema_name) AS s, min(project) AS p FROM r GROUP BY db) SELECT c.db, coalesce(owners, 0) AS owners, CASE WHEN owners IS NULL THEN 'none' WHEN owners > 1 THEN 'several' WHEN p <> 'p0' THEN 'other_project' WHEN s <> 's0' THEN 'other_schema' ELSE 'owned' END AS verdict FROM (SELECT DISTINCT db FROM {catalog_snapshot}) c LEFT JOIN f ON f.db = c.db",
         "i15_format_gate": "SELECT db, CASE WHEN v IS NULL THEN 'uninitialised' WHEN v > 4 THEN 'too_new' WHEN v = 4 THEN 'current' ELSE 'upgrade' END AS gate, CASE WHEN v < 4 THEN array_to_string(range(v + 1, 5), ',') ELSE '' END AS steps FROM (SELECT s_suppkey AS db, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey % 6 END AS v FROM {supplier}) t",
         "i16_reconcile_checksums": "SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'unrecorded' ELSE 'modified' END AS status FROM {recorded_sums} a FULL JOIN {actual_sums} b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.sha256 <> b.sha256",
-        "i16_checksum_rollup": "WITH p AS (SELECT split_part(path, '/', 2) AS tree, left(sha(path), 2) AS bucket, count(*) AS n, sha256(string_agg(sha256 || '  ' || path || chr(10), '' ORDER BY path)) AS d FROM {recorded_sums} GROUP BY ALL) SELECT tree, CAST(sum(n) AS BIGINT) AS recorded, sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM p GROUP BY tree",
+        "i16_checksum_rollup": "WITH p AS (SELECT split_part(path, '/', 2) AS tree, left(sha(path), 4) AS bucket, count(*) AS n, sha256(string_agg(sha256 || '  ' || path || chr(10), '' ORDER BY path)) AS d FROM {recorded_sums} GROUP BY ALL), b AS (SELECT tree, left(bucket, 2) AS bucket, sum(n) AS n, sha256(string_agg(d, '' ORDER BY bucket)) AS d FROM p GROUP BY tree, left(bucket, 2)) SELECT tree, CAST(sum(n) AS BIGINT) AS recorded, sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM b GROUP BY tree",
         "i17_resolve_selectors": "WITH p AS (SELECT DISTINCT sha(p_name) AS id, p_name AS slug FROM {part}), s AS (SELECT p_name AS selector FROM {part} WHERE p_partkey % 257 = 5 UNION SELECT left(sha(p_name), 3) FROM {part} WHERE p_partkey % 257 = 6 UNION SELECT 'nothing-like-it'), m AS (SELECT selector, count(DISTINCT id) AS n FROM s LEFT JOIN p ON starts_with(id, selector) OR slug = selector GROUP BY selector) SELECT selector, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS outcome, n FROM m",
         "i18_run_history": "SELECT run_id, count(*) AS events, count(*) AS joined, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM {run_log} GROUP BY run_id UNION ALL SELECT DISTINCT run_id + 1000000, 0, 0, 0 FROM {run_log}",
         "i19_sequence_of_steps": "SELECT run_id, sequence, package_id, CASE WHEN coalesce(max(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'skipped' ELSE outcome END AS status FROM {run_log}",

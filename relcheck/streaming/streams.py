@@ -70,21 +70,33 @@ def stream_dedup(events: DataFrame, watermark: str) -> DataFrame:
     return timed(events, watermark).dropDuplicatesWithinWatermark(["run_id", "sequence"])
 
 
-def stream_gaps(events: DataFrame, watermark: str) -> DataFrame:
-    """(run_id, expected, found) where a run's sequence jumps ahead of what has been seen; state is one number a run."""
+def stream_gaps(events: DataFrame, watermark: str, forget_ms: int = 30 * 86_400_000) -> DataFrame:
+    """(run_id, expected, found) where a run's sequence jumps ahead of what has been seen; state is one number a run.
+
+    A run without an event for `forget_ms` of event time is forgotten, so that state is held for recent runs only;
+    if it goes on after that, its sequence counts from 1 again. Rows later than the watermark, or without a time or sequence, are dropped.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        found = sorted({int(s) for b in batches for s in b["sequence"]})
-        out = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, newest = state.get if state.exists else (0, 0)
+        seen, out = set(), []
+        for b in batches:
+            seen.update(b["sequence"].tolist())
+            newest = max(newest, int(b["at"].max()))
+        found = sorted(seen)
         for s in found:
             if s > last + 1:
                 out.append((key[0], last + 1, s))
             last = max(last, s)
-        state.update((last,))
+        state.update((last, newest))
+        state.setTimeoutTimestamp(max(newest + forget_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["run_id", "expected", "found"])
 
-    return timed(events, watermark).select("run_id", "sequence").groupBy("run_id").applyInPandasWithState(step, "run_id long, expected long, found long", "last long", "append", GroupStateTimeout.NoTimeout)
+    small = timed(events, watermark).where("recorded_at IS NOT NULL AND sequence IS NOT NULL").select("run_id", "sequence", F.unix_millis("recorded_at").alias("at"), "recorded_at")
+    return small.groupBy("run_id").applyInPandasWithState(step, "run_id long, expected long, found long", "last long, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_checks(events: DataFrame, rules: dict[str, Column], path: str, checkpoint: str) -> Any:

@@ -105,3 +105,29 @@ def test_checks_are_idempotent_by_batch(spark, sf, tmp_path):
     for checkpoint in ("c1", "c2"):  # the second run starts anew and overwrites each batch
         T.stream_checks(stream, {"r": F.col("duration_ms") < 60}, f"{tmp_path}/out", f"{tmp_path}/{checkpoint}").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("rows")).first()[0] == events.count()
+
+
+def test_gaps_forget_runs_that_are_long_over(spark, tmp_path):
+    rows = [(1, 1, 0), (1, 2, 1), (1, 4, 2), (2, 1, 40), (2, 2, 41), (2, 3, 42), (1, 5, 80), (1, None, 81), (3, 2, None)]
+    events = spark.createDataFrame(rows, "run_id long, sequence long, day int").select("run_id", "sequence", F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, day)").alias("recorded_at"))
+    for days, want in ((30, [(1, 1, 5), (1, 3, 4)]), (365, [(1, 3, 4)])):
+        found = T.replay(events, f"{tmp_path}/g{days}", lambda s, d=days: T.stream_gaps(s, "1 hour", d * 86_400_000), 6, f"{tmp_path}/gc{days}")
+        assert sorted(map(tuple, found.collect())) == want
+
+
+def test_rollup_digest_by_hand(spark):
+    import hashlib
+    from collections import defaultdict
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(f"src/{i % 3}/{i}", sha(str(i))) for i in range(400)]
+    got = {r["tree"]: (r["recorded"], r["digest"]) for r in I.checksum_rollup(spark.createDataFrame(rows, "path string, sha256 string"), F.split_part("path", F.lit("/"), F.lit(2))).collect()}
+    trees = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
+    for path, s in rows:
+        h = sha(path)
+        trees[path.split("/")[1]][h[:2]][h[:4]].append((path, s))
+    for tree, firsts in trees.items():
+        level = lambda parts: sha("".join(d for _, d in sorted(parts)))
+        lists = lambda part: sha("".join(f"{s}  {path}\n" for path, s in sorted(part)))
+        digest = level((k, level((b, lists(x)) for b, x in parts.items())) for k, parts in firsts.items())
+        assert got[tree] == (sum(len(x) for parts in firsts.values() for x in parts.values()), digest)
