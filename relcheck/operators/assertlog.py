@@ -6,17 +6,18 @@ of order; files run side by side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import glob_to_regex, is_glob
+from .scans import MOST_ROWS, dealt, running
 
 #: Globs that a broadcast may hold.
 MOST_GLOBS = 10_000
 
 
-def _so_far():
-    """A file's events up to this one."""
-    return Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _in_order(log: DataFrame, most_rows: int, **wanted: tuple[str, Column]) -> DataFrame:
+    """The log with running values of each file's events; a file of more than `most_rows` events is dealt over tasks."""
+    return running(dealt(log, ["file_id"], ["seq"], most_rows), ["file_id"], ["seq"], **wanted)
 
 
 def _results(n: Column, op: Column) -> Column:
@@ -24,14 +25,14 @@ def _results(n: Column, op: Column) -> Column:
     return F.when(op == "assert", 1).when(op == "skip", F.greatest(F.coalesce(n, F.lit(1)), F.lit(0))).otherwise(0)
 
 
-def number_assertions(log: DataFrame) -> DataFrame:
+def number_assertions(log: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """A1: (file_id, seq, op, first_number, results): the number, from 1 in each file, of the first result of an event."""
     results = _results(F.col("n"), F.col("op"))
-    total = F.sum(results).over(_so_far())
-    return log.withColumn("results", results).withColumn("first_number", total - F.col("results") + 1).where("results > 0").select("file_id", "seq", "op", F.col("first_number").cast("long"), F.col("results").cast("long"))
+    placed = _in_order(log.select("file_id", "seq", "op", results.alias("results")), most_rows, upto=("sum", F.col("results")))
+    return placed.withColumn("first_number", F.col("upto") - F.col("results") + 1).where("results > 0").select("file_id", "seq", "op", F.col("first_number").cast("long"), F.col("results").cast("long"))
 
 
-def apply_todo(log: DataFrame) -> DataFrame:
+def apply_todo(log: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """A2: assertions with directive and reason.
 
     todo_start covers until todo_end or the next directive; todo covers the next max(n, 1) assertions (a null
@@ -40,10 +41,12 @@ def apply_todo(log: DataFrame) -> DataFrame:
     is_directive = F.col("op").isin("todo_start", "todo", "todo_end")
     left = F.when(F.col("op") == "todo", F.greatest(F.col("n"), F.lit(1)))
     left = F.when((F.col("op") == "todo") & F.col("n").isNull(), F.lit(None)).otherwise(left)
-    made = F.when(is_directive, F.struct("op", left.alias("limit"), F.coalesce("text", F.lit("")).alias("reason"), "seq"))
-    marked = log.withColumn("d", F.last(made, ignorenulls=True).over(_so_far()))
-    segment = Window.partitionBy("file_id", "d.seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nth = F.count_if(F.col("op") == "assert").over(segment)
+    # a directive carries how many assertions its file had before it
+    is_assert = F.when(F.col("op") == "assert", 1)
+    made = F.when(is_directive, F.struct("op", left.alias("limit"), F.coalesce("text", F.lit("")).alias("reason"), F.col("asserts").alias("before")))
+    counted = _in_order(log.select("file_id", "seq", "op", "passed", "n", "text"), most_rows, asserts=("sum", is_assert))
+    marked = running(counted, ["file_id"], ["seq"], d=("last", made))
+    nth = F.col("asserts") - F.col("d.before")
     covered = F.col("d").isNotNull() & (F.col("d.op") != "todo_end") & ((F.col("d.op") == "todo_start") | F.col("d.limit").isNull() | (nth <= F.col("d.limit")))
     todo = F.coalesce(covered, F.lit(False)) & (F.col("op") == "assert")
     out = marked.withColumn("todo", todo).where("op = 'assert'")
@@ -65,20 +68,20 @@ def assertions(log: DataFrame) -> DataFrame:
     return both.join(numbers, ["file_id", "seq"]).select("file_id", (F.col("first_number") + F.col("nth") - 1).alias("number"), "passed", "directive", "directive_reason")
 
 
-def attach_notes(log: DataFrame) -> DataFrame:
+def attach_notes(log: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """A4: each note with the number of the last result before it; null if there is none."""
-    total = F.sum(_results(F.col("n"), F.col("op"))).over(_so_far())
-    return log.withColumn("t", total).where("op IN ('note', 'diag')").select("file_id", "seq", F.when(F.col("t") > 0, F.col("t")).cast("long").alias("after_assertion"), F.col("text").alias("message"))
+    placed = _in_order(log.select("file_id", "seq", "op", "n", "text"), most_rows, t=("sum", _results(F.col("n"), F.col("op"))))
+    return placed.where("op IN ('note', 'diag')").select("file_id", "seq", F.when(F.col("t") > 0, F.col("t")).cast("long").alias("after_assertion"), F.col("text").alias("message"))
 
 
-def validate_document(results: DataFrame, plans: DataFrame) -> DataFrame:
+def validate_document(results: DataFrame, plans: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """A5: (file_id, problem, expected, found) of numbered results and declared plans.
 
     lost: the first gap in the numbers; plan_count: another number than declared (a null plan declares none);
     plan_twice: more than one plan. Files without a plan are fine.
     """
-    w = Window.partitionBy("file_id").orderBy("number")
-    gap = results.withColumn("want", F.coalesce(F.lag("number").over(w), F.lit(0)) + 1).where("number <> want")
+    numbers = dealt(results.select("file_id", "number"), ["file_id"], ["number"], most_rows)
+    gap = running(numbers, ["file_id"], ["number"], last=("before", F.col("number"))).withColumn("want", F.coalesce("last", F.lit(0)) + 1).where("number <> want")
     lost = gap.groupBy("file_id").agg(F.min(F.struct("number", "want")).alias("m")).select("file_id", F.lit("lost").alias("problem"), F.col("m.want").cast("long").alias("expected"), F.col("m.number").cast("long").alias("found"))
     ran = results.groupBy("file_id").agg(F.count("*").alias("ran"))
     declared = plans.groupBy("file_id").agg(F.count("*").alias("plans"), F.max("declared").alias("declared"))
@@ -140,7 +143,7 @@ def _met(paths: DataFrame, selectors: DataFrame, root: str) -> DataFrame:
     normal = F.regexp_replace(F.regexp_replace("selector", r"^(\./)+", ""), "/+$", "")
     asked = selectors.select("selector").distinct().select("selector", normal.alias("s"), glob_to_regex(normal).alias("re"), is_glob(normal).alias("glob"))
     p, s = F.col("path"), F.col("s")
-    within = F.when(p.startswith(root + "/"), F.substring(p, len(root) + 2, 1_000_000)).otherwise(p)
+    within = F.when(p.startswith(root + "/"), F.substring(p, F.lit(len(root) + 2), F.length(p))).otherwise(p)
     # a path meets a name by itself and its folders, so that names are an equi-join
     folders = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/", -1))), lambda i: F.array_join(F.slice(F.split(c, "/", -1), 1, i), "/"))
     named = paths.select("path", F.explode(F.array_union(folders(p), folders(within))).alias("s")).join(asked.select("selector", "s"), "s").select("path", "selector")

@@ -6,7 +6,9 @@ expectation can't be used) and column_property (the data don't have the property
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .scans import MOST_ROWS, dealt, running
 
 
 def _nulls(df: DataFrame, columns: list[str], want_null: bool) -> DataFrame:
@@ -166,9 +168,11 @@ def validate_check(df: DataFrame, predicate: Column) -> DataFrame:
     return facts.select("rows", "failures", (F.col("failures") == 0).alias("passed"))
 
 
-def validate_exclusion(df: DataFrame, key: str, start: str, end: str, identity: str) -> DataFrame:
-    """Rows whose range [start, end) overlaps an earlier one of their key, by sorting; no self-join."""
-    w = Window.partitionBy(key).orderBy(start, end, identity)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.dropna(subset=[key, start, end]).where(F.col(start) < F.col(end))
-    return rows.withColumn("__reach", reach).where(F.col(start) < F.col("__reach")).select(key, identity, start, end)
+def validate_exclusion(df: DataFrame, key: str, start: str, end: str, identity: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Rows whose range [start, end) overlaps an earlier one of their key, by sorting; no self-join.
+
+    Rows with a null key or bound, or an empty range, overlap nothing. A key of more than `most_rows` rows is dealt over tasks.
+    """
+    rows = df.dropna(subset=[key, start, end]).where(F.col(start) < F.col(end)).select(key, identity, start, end)
+    order = [start, end, identity]
+    return running(dealt(rows, [key], order, most_rows), [key], order, __reach=("reach", F.col(end))).where(F.col(start) < F.col("__reach")).select(key, identity, start, end)

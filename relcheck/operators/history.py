@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import KEY, closure, deployment_order
+from .scans import MOST_ROWS, dealt, running
 
 HEADER = "definition-v1"
 
@@ -133,11 +134,14 @@ def revertible(packages: DataFrame, edges: DataFrame, applied: DataFrame) -> Dat
     return rows.select(*KEY, reason.isNull().alias("revertible"), reason.alias("reason"), F.coalesce("dependents", F.array().cast("array<bigint>")).alias("dependents"))
 
 
-def audit_append_only(history: DataFrame) -> DataFrame:
-    """(run_id, problem, sequence): duplicates, gaps, runs that do not start at 1, time running backwards."""
+def audit_append_only(history: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(run_id, problem, sequence): duplicates, gaps, runs that do not start at 1, time running backwards.
+
+    A run of more than `most_rows` sequence numbers is dealt over tasks.
+    """
     distinct = history.groupBy("run_id", "sequence").agg(F.count("*").alias("n"), F.min("recorded_at").alias("first"), F.max("recorded_at").alias("last"))
-    w = Window.partitionBy("run_id").orderBy("sequence")
-    seen = distinct.select("run_id", "sequence", "n", "first", F.lag("sequence").over(w).alias("before"), F.lag("last").over(w).alias("earlier"))
+    placed = running(dealt(distinct, ["run_id"], ["sequence"], most_rows), ["run_id"], ["sequence"], before=("before", F.col("sequence")), earlier=("before", F.col("last")))
+    seen = placed.select("run_id", "sequence", "n", "first", "before", "earlier")
     problems = F.array_compact(F.array(
         F.when(F.col("n") > 1, F.lit("duplicate")),
         F.when(F.col("before").isNull() & (F.col("sequence") != 1), F.lit("start")),

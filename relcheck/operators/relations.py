@@ -1,4 +1,4 @@
-"""Comparison of relations as sets, bags and ordered results.
+"""Comparison of relations as sets, bags and ordered results.
 
 Every comparison returns one row: kind, passed, description and the evidence columns. Columns are
 paired by position, whatever their names, and equality is null-safe.
@@ -218,17 +218,3 @@ def is_empty(df: DataFrame, description: str | None = None) -> DataFrame:
 def isnt_empty(df: DataFrame, description: str | None = None) -> DataFrame:
     """At least one row; stops at the first."""
     return df.limit(1).agg(F.count("*").alias("n")).select(F.lit("isnt_empty").alias("kind"), (F.col("n") > 0).alias("passed"), F.lit(description).cast("string").alias("description"))
-
-
-def keyed_diff(have: DataFrame, want: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose rows are missing, extra or changed, and the names of the columns that changed."""
-    others = [c for c in have.columns if c not in keys]
-    left = have.select(*(F.col(c) for c in keys), F.struct(*others).alias("h"))
-    right = want.select(*(F.col(c).alias(f"__{c}") for c in keys), F.struct(*others).alias("w"))
-    condition = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
-    both = left.join(right, condition, "full")
-    here, there = F.col("h").isNotNull(), F.col("w").isNotNull()
-    changed = F.filter(F.array(*(F.when(~F.col(f"h.{c}").eqNullSafe(F.col(f"w.{c}")), F.lit(c)) for c in others)), lambda x: x.isNotNull())
-    status = F.when(~here, "missing").when(~there, "extra").when(F.size(changed) > 0, "changed")
-    found = both.select(*(F.coalesce(c, f"__{c}").alias(c) for c in keys), status.alias("status"), F.when(here & there, changed).otherwise(F.array().cast("array<string>")).alias("changed_columns"))
-    return found.where(F.col("status").isNotNull())

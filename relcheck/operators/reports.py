@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import human_duration
+from .scans import MOST_ROWS, dealt, running
 
 # Error codes and their exit codes; any other code is 70.
 EXIT_CODES = {
@@ -149,14 +150,13 @@ def over_budget(metrics: DataFrame, budgets: dict[str, float], keys: list[str])
     return metrics.select(*keys, each.alias("e")).select(*keys, "e.*").where("value > budget")
 
 
-def rank_percentile(metrics: DataFrame, value: str, percents: list[int], by: list[str]) -> DataFrame:
+def rank_percentile(metrics: DataFrame, value: str, percents: list[int], by: list[str], most_rows: int = MOST_ROWS) -> DataFrame:
     """sorted[(n - 1) * p / 100], rounded down; never between two values.
 
-    Values are counted first, so a group's task sees its distinct values, not its rows.
+    Values are counted first, so a group's task sees its distinct values, not its rows; more than `most_rows` of them are dealt over tasks.
     """
     counts = metrics.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("n").over(w))
+    ranked = running(dealt(counts, by, [value], most_rows), by, [value], upto=("sum", F.col("n")))
     total = counts.groupBy(*by).agg(F.sum("n").alias("rows"))
     wanted = total.withColumn("p", F.explode(F.array(*map(F.lit, percents)))).withColumn("place", F.floor((F.col("rows") - 1) * F.col("p") / 100))
     hit = ranked.join(wanted, by).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))

@@ -44,6 +44,7 @@ DERIVED: dict[str, str] = {
             CASE WHEN event_id % 41 = 0 THEN 'todo_start' WHEN event_id % 43 = 0 THEN 'todo_end' WHEN event_id % 47 = 0 THEN 'todo' WHEN event_id % 53 = 0 THEN 'skip'
                 WHEN event_type = 'view' THEN 'note' ELSE 'assert' END AS op,
             event_type <> 'error' AS passed, CAST(event_id % 4 AS INT) AS n, concat('reason ', CAST(event_id % 5 AS VARCHAR(10))) AS text FROM {events}""",
+    "one_log": "SELECT CAST(0 AS BIGINT) AS file_id, seq * CAST(100000000 AS BIGINT) + file_id AS seq, op, passed, n, text FROM {assertion_log}",
     "grants": """
         SELECT DISTINCT concat('obj', CAST(s_suppkey % 20 AS VARCHAR(20))) AS object,
             CASE WHEN s_suppkey % 11 = 0 THEN 'PUBLIC' WHEN s_suppkey % 3 = 0 THEN concat('region', CAST(s_nationkey % 5 AS VARCHAR(20))) ELSE concat('nation', CAST(s_nationkey AS VARCHAR(20))) END AS grantee,

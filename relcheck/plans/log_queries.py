@@ -44,6 +44,7 @@ def _throws(f, *args):
 QUERIES = {
     "a1_number_assertions": _log(A.number_assertions),
     "a2_apply_todo": _log(A.apply_todo),
+    "a2_todo_of_one_file": lambda spark, d: A.apply_todo(table(spark, d, "one_log"), most_rows=5000),
     "a3_expand_skips": _log(A.expand_skips),
     "a4_attach_notes": _log(A.attach_notes),
     "a5_validate_document": lambda spark, d: A.validate_document(A.assertions(table(spark, d, "assertion_log")).where("(file_id * 31 + number) % 97 <> 0"), table(spark, d, "plans").union(table(spark, d, "plans").where("file_id % 50 = 1"))),
@@ -103,6 +104,7 @@ ORACLE = {
     for k, v in {
         "a1_number_assertions": f"SELECT file_id, seq, op, CAST(upto - results + 1 AS BIGINT) AS first_number, CAST(results AS BIGINT) AS results FROM (SELECT *, {_RESULTS} AS results, sum({_RESULTS}) OVER (PARTITION BY file_id ORDER BY seq) AS upto FROM {{assertion_log}}) t WHERE results > 0",
         "a2_apply_todo": f"WITH {_assertions()} SELECT file_id, seq, passed, CASE WHEN todo THEN 'todo' END AS directive, CASE WHEN todo THEN why END AS directive_reason FROM cov WHERE op = 'assert'",
+        "a2_todo_of_one_file": f"WITH {_assertions('{one_log}')} SELECT file_id, seq, passed, CASE WHEN todo THEN 'todo' END AS directive, CASE WHEN todo THEN why END AS directive_reason FROM cov WHERE op = 'assert'",
         "a3_expand_skips": "SELECT file_id, seq, CAST(k AS INTEGER) AS nth, true AS passed, 'skip' AS directive, coalesce(text, '') AS directive_reason FROM {assertion_log}, unnest(range(1, coalesce(n, 1) + 1)) t(k) WHERE op = 'skip'",
         "a4_attach_notes": f"SELECT file_id, seq, CAST(nullif(upto, 0) AS BIGINT) AS after_assertion, text AS message FROM (SELECT *, sum({_RESULTS}) OVER (PARTITION BY file_id ORDER BY seq) AS upto FROM {{assertion_log}}) t WHERE op = 'note'",
         "a5_validate_document": f"""WITH {_assertions()}, r AS (SELECT * FROM res WHERE (file_id * 31 + number) % 97 <> 0), g AS (SELECT file_id, number, coalesce(lag(number) OVER (PARTITION BY file_id ORDER BY number), 0) + 1 AS want FROM r),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import relations as R
+from ..operators.keyed import keyed_diff
 from .fixtures import oracle, table
 
 FLAT = ["kind", "passed", "missing_count", "extra_count"]
@@ -18,6 +19,10 @@ def _counts(f):
     return lambda spark, d: f(*_pair(spark, d), samples=False).select(*FLAT)
 
 
+def _keyed(diff):
+    return diff.withColumn("changed_columns", F.array_join("changed_columns", ","))
+
+
 QUERIES = {
     "s1_materialise": lambda spark, d: R.materialise(table(spark, d, "events").where("event_type = 'error'")).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top")),
     "s2_relation_of": lambda spark, d: R.set_has(table(spark, d, "events").select("event_type"), R.relation_of(spark, ["view", "click", "refund"]), samples=False).select(*FLAT),
@@ -34,7 +39,8 @@ QUERIES = {
     "c10_isnt_empty": lambda spark, d: R.isnt_empty(table(spark, d, "orders_expected").where("o_totalprice IS NULL")).select("kind", "passed"),
     "c11_comparable": lambda spark, d: R.comparable(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), table(spark, d, "orders_expected").select("o_orderkey", "o_orderstatus")).select("kind", "passed", "have_rows", "want_rows", F.size("have_columns").alias("have_arity"), F.element_at("want_columns", 2)["type"].alias("want_type")),
     "c12_diff_sample": lambda spark, d: R.set_eq(*(x.select("o_orderkey", "o_orderstatus") for x in _pair(spark, d))).select("kind", "truncated", "sample_limit", F.explode("missing_sample").alias("row")),
-    "c13_keyed_diff": lambda spark, d: R.keyed_diff(*_pair(spark, d), keys=["o_orderkey", "o_custkey"]).select("o_orderkey", "o_custkey", "status", F.array_join("changed_columns", ",").alias("changed_columns")),
+    "c13_keyed_diff": lambda spark, d: _keyed(keyed_diff(*_pair(spark, d), keys=["o_orderkey", "o_custkey"])),
+    "c13_keyed_diff_bags": lambda spark, d: _keyed(keyed_diff(*_pair(spark, d), keys=["o_custkey"], most_rows=20)),
 }
 
 _COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
@@ -51,6 +57,20 @@ _BAG = ("greatest(w - h, 0)", "greatest(h - w, 0)")
 _POSITION = f"row_number() OVER (ORDER BY o_orderkey NULLS FIRST, o_custkey NULLS FIRST, o_orderstatus NULLS FIRST, o_totalprice NULLS FIRST, o_orderdate NULLS FIRST, o_orderpriority NULLS FIRST) AS position, {_COLUMNS}"
 _DIFFERS = " OR ".join(f"h.{c} IS DISTINCT FROM w.{c}" for c in _COLUMNS.split(", "))
 
+
+
+def _keyed_sql(keys: list[str]) -> str:
+    """Surplus copies of each side, one row a copy, numbered within the key and paired by number."""
+    key, others = ", ".join(keys), [c for c in _COLUMNS.split(", ") if c not in keys]
+    order = ", ".join(f"{c} NULLS FIRST" for c in others)
+    side = lambda n: f"(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS place FROM s, unnest(range(1, CAST(greatest({n}, 0) + 1 AS BIGINT))) t(copy))"
+    named = ", ".join(f"CASE WHEN h.{c} IS DISTINCT FROM w.{c} THEN '{c}' END" for c in others)
+    both = "h.place IS NOT NULL AND w.place IS NOT NULL"
+    return f"""{_SIGNED}, p AS (SELECT {", ".join(f"coalesce(h.{c}, w.{c}) AS {c}" for c in keys)}, CASE WHEN h.place IS NULL THEN 'missing' WHEN w.place IS NULL THEN 'extra' ELSE 'changed' END AS status,
+            CASE WHEN {both} THEN concat_ws(',', {named}) ELSE '' END AS changed_columns FROM {side("h - w")} h FULL JOIN {side("w - h")} w ON h.place = w.place AND {" AND ".join(f"h.{c} = w.{c}" for c in keys)})
+        SELECT {key}, status, changed_columns, count(*) AS copies FROM p GROUP BY ALL"""
+
+
 ORACLE = {
     k: oracle(v)
     for k, v in {
@@ -73,10 +93,7 @@ ORACLE = {
         "c12_diff_sample": """WITH m AS (SELECT DISTINCT w.o_orderkey, w.o_orderstatus FROM {orders_expected} w WHERE NOT EXISTS (SELECT 1 FROM {orders} h WHERE h.o_orderkey = w.o_orderkey AND h.o_orderstatus IS NOT DISTINCT FROM w.o_orderstatus)),
             x AS (SELECT count(*) AS n FROM (SELECT o_orderkey, o_orderstatus FROM {orders} EXCEPT SELECT o_orderkey, o_orderstatus FROM {orders_expected}) e)
             SELECT 'set_eq' AS kind, (SELECT count(*) FROM m) > 20 OR (SELECT n FROM x) > 20 AS truncated, CAST(20 AS INTEGER) AS sample_limit, '["' || o_orderkey || '","' || o_orderstatus || '"]' AS row FROM (SELECT * FROM m ORDER BY o_orderkey, o_orderstatus LIMIT 20) t""",
-        "c13_keyed_diff": """SELECT coalesce(h.o_orderkey, w.o_orderkey) AS o_orderkey, coalesce(h.o_custkey, w.o_custkey) AS o_custkey,
-                CASE WHEN h.o_orderkey IS NULL THEN 'missing' WHEN w.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS status,
-                CASE WHEN h.o_orderkey IS NULL OR w.o_orderkey IS NULL THEN '' ELSE concat_ws(',', CASE WHEN h.o_orderstatus IS DISTINCT FROM w.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN h.o_totalprice IS DISTINCT FROM w.o_totalprice THEN 'o_totalprice' END) END AS changed_columns
-            FROM {orders} h FULL JOIN {orders_expected} w ON h.o_orderkey = w.o_orderkey AND h.o_custkey = w.o_custkey
-            WHERE h.o_orderkey IS NULL OR w.o_orderkey IS NULL OR h.o_orderstatus IS DISTINCT FROM w.o_orderstatus OR h.o_totalprice IS DISTINCT FROM w.o_totalprice""",
+        "c13_keyed_diff": _keyed_sql(["o_orderkey", "o_custkey"]),
+        "c13_keyed_diff_bags": _keyed_sql(["o_custkey"]),
     }.items()
 }

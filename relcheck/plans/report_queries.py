@@ -103,6 +103,7 @@ QUERIES = {
     "j8_diff_reports": lambda spark, d: J.diff_reports(_reports(spark, d), _reports(spark, d).where("report.run.id % 10 <> 3")).select(F.sha2("report", 256).alias("report"), "in_a", "in_b").agg(F.sum(C("in_a") - C("in_b")).alias("only_in_a")),
     "j9_exit_code_of": lambda spark, d: table(spark, d, "run_log").select("run_id", "sequence", J.exit_code_of(F.when(C("outcome") == "failed", F.concat("action", F.lit(".failed"))).when(C("outcome") == "attempted", F.lit("registry.blocked"))).alias("exit_code")),
     "j10_over_budget": lambda spark, d: J.over_budget(table(spark, d, "documents").select("doc_id", "n_chars", F.size(F.split("text", "\n")).alias("lines")), {"n_chars": 4000, "lines": 20}, ["doc_id"]),
+    "j11_percentile_of_one_group": lambda spark, d: J.rank_percentile(table(spark, d, "lineitem").withColumn("g", F.lit("all")), "l_extendedprice", [1, 50, 99], ["g"], most_rows=5000),
     "j11_rank_percentile": lambda spark, d: J.rank_percentile(table(spark, d, "documents"), "n_chars", [50, 90], ["source"]),
     "j12_top_n": lambda spark, d: J.top_n(table(spark, d, "documents"), "n_chars", ["doc_id"]),
     "j12_totals": lambda spark, d: J.totals(table(spark, d, "documents"), "n_chars", "doc_id", ["source"]),
@@ -138,6 +139,7 @@ ORACLE = {
         "j8_diff_reports": f"SELECT CAST(count(DISTINCT run_id) AS BIGINT) AS only_in_a FROM {_READ} r WHERE run_id % 10 = 3",
         "j9_exit_code_of": "SELECT run_id, sequence, CAST(CASE WHEN outcome = 'failed' THEN 9 WHEN outcome = 'attempted' THEN 8 ELSE 0 END AS INTEGER) AS exit_code FROM {run_log}",
         "j10_over_budget": "SELECT doc_id, 'n_chars' AS measure, CAST(n_chars AS DOUBLE) AS value, CAST(4000 AS DOUBLE) AS budget FROM {documents} WHERE n_chars > 4000 UNION ALL SELECT doc_id, 'lines', CAST(l AS DOUBLE), 20 FROM (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS l FROM {documents}) t WHERE l > 20",
+        "j11_percentile_of_one_group": "SELECT 'all' AS g, CAST(p AS INTEGER) AS p, l_extendedprice AS value FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) - 1 AS k, count(*) OVER () AS n FROM {lineitem}) t, (VALUES (1), (50), (99)) v(p) WHERE k = (n - 1) * p // 100",
         "j11_rank_percentile": "SELECT source, CAST(p AS INTEGER) AS p, n_chars AS value FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM {documents}) t, (VALUES (50), (90)) v(p) WHERE k = (n - 1) * p // 100",
         "j12_top_n": "SELECT doc_id, n_chars FROM {documents} ORDER BY n_chars DESC, doc_id LIMIT 10",
         "j12_totals": "SELECT source, count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS total, max(n_chars) AS largest, (array_agg(doc_id ORDER BY n_chars DESC, doc_id DESC))[1] AS largest_key FROM {documents} GROUP BY source",

@@ -67,6 +67,7 @@ QUERIES = {
     "k9_validate_foreign_key": lambda spark, d: K.validate_foreign_key(table(spark, d, "documents"), table(spark, d, "labels"), {"doc_id": "doc_id"}),
     "k9_lineitem_orders": lambda spark, d: K.validate_foreign_key(table(spark, d, "lineitem"), table(spark, d, "orders"), {"l_orderkey": "o_orderkey"}),
     "k10_validate_check": _rows("orders_expected", lambda o: K.validate_check(o, C("o_totalprice") > 1000)),
+    "k11_exclusion_of_one_key": _rows("spans", lambda s: K.validate_exclusion(s.withColumn("k", F.lit(0)), "k", "start_ts", "end_ts", "id", most_rows=5000)),
     "k11_validate_exclusion": _rows("spans", lambda s: K.validate_exclusion(s, "k", "start_ts", "end_ts", "id")),
 }
 
@@ -138,6 +139,7 @@ ORACLE = {
         "k9_validate_foreign_key": "SELECT count(DISTINCT doc_id) AS unresolved_keys, count(*) AS unresolved_rows, count(*) = 0 AS passed FROM {documents} WHERE doc_id NOT IN (SELECT doc_id FROM {labels})",
         "k9_lineitem_orders": "SELECT count(DISTINCT l_orderkey) AS unresolved_keys, count(*) AS unresolved_rows, count(*) = 0 AS passed FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_orderkey = l_orderkey)",
         "k10_validate_check": "SELECT count(*) AS rows, count(*) FILTER (WHERE NOT o_totalprice > 1000) AS failures, count(*) FILTER (WHERE NOT o_totalprice > 1000) = 0 AS passed FROM {orders_expected}",
+        "k11_exclusion_of_one_key": "SELECT CAST(0 AS INTEGER) AS k, id, start_ts, end_ts FROM (SELECT *, max(end_ts) OVER (ORDER BY start_ts, end_ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {spans}) t WHERE start_ts < reach",
         "k11_validate_exclusion": "SELECT k, id, start_ts, end_ts FROM (SELECT *, max(end_ts) OVER (PARTITION BY k ORDER BY start_ts, end_ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {spans}) t WHERE start_ts < reach",
     }.items()
 }
