@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textscan import map_batches, slices, span_hashes, staged, text_bytes, _BYTE_CODE
+from .textscan import map_batches, slices, staged, text_bytes, word_hashes
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -96,7 +96,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         starts = self._chunks(data, off)
         ends = np.append(starts[1:], len(data))
-        keys = span_hashes(_BYTE_CODE[data], starts, ends)
+        keys = word_hashes(data, starts, ends)
         unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
         new = ~np.isin(unique, self.hashes, assume_unique=True)
         if new.any():
@@ -152,13 +152,13 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     return map_batches(docs.select("doc_id", "text"), run, PIECES)
 
 
-def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences follow each, using counts[length] pieces of every length.
+Plan = list[tuple[tuple[int, ...], int]]
 
-    counts has capacity + 1 entries. Its size bounds all work here; the corpus does not.
-    """
+
+def exact_fills(counts: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
+    """Patterns of one to four pieces that fill a sequence exactly, the largest piece first, and the counts of what is left."""
     left = counts.astype(np.int64).copy()
-    plan: list[tuple[tuple[int, ...], int]] = []
+    plan: Plan = []
 
     def pair_sums() -> np.ndarray:
         here = (left > 0).astype(np.float64)
@@ -203,9 +203,13 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, .
                 left[length] = 0
             if (now := int((left > 0).sum())) != alive:
                 sums, alive = pair_sums(), now
+    return plan, rest
 
-    # best fit of what is left, in groups of equal sequences: by the gap that they have
-    open_by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+def best_fit(counts: np.ndarray, capacity: int) -> Plan:
+    """Best fit, the largest pieces first: each goes where it leaves the least room. Equal sequences are handled as one."""
+    plan: Plan = []
+    open_by_gap: dict[int, Plan] = {}
     gaps = np.zeros(capacity + 1, bool)
 
     def put(lengths: tuple[int, ...], times: int) -> None:
@@ -217,34 +221,51 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, .
             gaps[gap] = True
 
     for length in range(capacity, 0, -1):
-        todo = int(rest[length])
+        todo = int(counts[length])
         while todo:
             fit = np.flatnonzero(gaps[length:])
             if len(fit):
                 gap = length + int(fit[0])
                 lengths, times = open_by_gap[gap].pop()
                 gaps[gap] = bool(open_by_gap[gap])
-                each = min(gap // length, max(todo // times, 1))
+                each = min(gap // length, todo)
                 used = min(times, todo // each)
                 put(lengths + (length,) * each, used)
                 if used < times:
                     put(lengths, times - used)
-                todo -= used * each
             else:
                 each = min(capacity // length, todo)
                 put((length,) * each, used := todo // each)
-                todo -= used * each
+            todo -= used * each
     return plan + [x for group in open_by_gap.values() for x in group]
 
 
+def plan_sequences(counts: np.ndarray, capacity: int) -> Plan:
+    """Patterns of lengths and how many sequences follow each, using counts[length] pieces of every length.
+
+    counts has capacity + 1 entries. Its size bounds all work here; the corpus does not. Exact fills, then
+    best fit of the rest; but exact fills can use up the small pieces that large ones need. So fills are
+    also tried among the pieces over a half, a third and a quarter only, and none at all, and the plan of the
+    fewest sequences is kept: never more than best fit alone needs.
+    """
+    def planned(least: int) -> Plan:
+        held = np.where(np.arange(capacity + 1) < least, counts, 0)
+        plan, rest = exact_fills(counts - held, capacity)
+        return plan + best_fit(rest + held, capacity)
+
+    plans = [planned(least) for least in (1, capacity // 4 + 1, capacity // 3 + 1, capacity // 2 + 1)] + [best_fit(counts, capacity)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to capacity tokens, each sequence gapless from 0.
 
     The plan has a bounded size (see plan_sequences), and so has its broadcast. Pieces are numbered
-    within (length, salt), so a length that a third of all pieces have is shared by many tasks.
+    within (length, salt), so a length that a third of all pieces have is shared by many tasks. The salt is
+    a row's place, written with the pieces: equal rows, however many, are dealt apart.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = staged(pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")))
     found = salted.groupBy("length", "salt").count().collect()
     counts, base = np.zeros(capacity + 1, np.int64), []
     for r in sorted(found):
@@ -297,4 +318,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    return pack(staged(pieces_of(docs, tokenizer_path, capacity)), capacity)
+    return pack(pieces_of(docs, tokenizer_path, capacity), capacity)

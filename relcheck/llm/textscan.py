@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 1 << 20
 #: Rows that Spark hands to a task's Python at once, so that a worker holds a few MB of usual texts.
 BATCH_ROWS = 1000
+#: Bytes of a word up to which power sums serve as its hash.
+LONG_WORD = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -120,7 +123,14 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE_CODE[data], starts, ends)
+    """A 64-bit hash of the bytes data[start:end] of each pair.
+
+    Spans beyond LONG_WORD bytes are hashed by BLAKE2b: power sums can't tell some long texts of two letters apart.
+    """
+    out = span_hashes(_BYTE_CODE[data], starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -28,6 +28,14 @@ def brute(text, items, window=10):
     return len(w), sum(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
+def test_long_words_are_told_apart(spark):
+    x = "a"
+    while len(x) < 2048:  # power sums modulo 2^64 can't tell these apart
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, x), (2, y), (3, x + " " + y)], [(1, x)])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.lists(st.lists(st.integers(1, 5), min_size=1, max_size=5), min_size=1, max_size=6))
 def test_index_counts_and_locates(text, patterns):

@@ -95,12 +95,41 @@ def fewest(sizes, capacity):
 @settings(max_examples=1000, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 64), st.integers(1, 50)), max_size=30))
 @example([(22, 15), (43, 16)])
+@example([(2, 6), (30, 6), (33, 7)])
 def test_plan_uses_each_piece_once_and_packs_well(found):
     counts = np.zeros(65, np.int64)
     for n, c in found:
         counts[n] += c
     least = least_bound(counts)
     assert least <= sequences(counts) <= 11 / 9 * least + 1
+    assert sequences(counts) <= sum(times for _, times in P.best_fit(counts, 64))
+
+
+def test_small_pieces_are_held_back_for_large_ones():
+    counts = np.bincount([2] * 6 + [30] * 6 + [33] * 7, minlength=65)
+    assert sequences(counts) == 7
+
+
+def thue_morse(n):
+    """Two texts of n letters that differ everywhere, which power sums modulo 2^64 can't tell apart."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 65536])
+def test_long_chunks_are_told_apart(encode, plain, n):
+    x, y = thue_morse(n)
+    check_ids(encode, plain, [x, y, x + " " + y, y])
+
+
+def test_rows_that_repeat_are_dealt_apart(spark):
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "'x y z' AS text")
+    rows = P.pack_documents(docs).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    n = rows[0]["length"]
+    assert len(rows) == len(places) == 3000 and len({s for s, _ in places}) == -(-3000 // (2048 // n))
 
 
 @settings(max_examples=300, deadline=None)
