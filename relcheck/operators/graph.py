@@ -6,11 +6,11 @@ Edges are (project, child, parent): child depends on parent. Nodes are (project,
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
-from .relations import with_position, written
+from .relations import written
+from .scans import dealt, running
 
 KEY = ["project", "id"]
 
@@ -67,70 +67,164 @@ def _known_edges(known: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("project", "child", "parent").distinct().join(known.withColumnRenamed("id", "parent"), ["project", "parent"], "left_semi")
 
 
+def _rooted(singles: DataFrame) -> DataFrame:
+    """singles (project, id, up, w: each waits for `up` alone, w levels below) with `up` at the end of each run of them.
+
+    Pointers double, so rounds grow with the logarithm of the longest run. What goes round in a ring, or hangs
+    on one, is left out.
+    """
+    bound = singles.count().bit_length()
+    for _ in range(bound + 1):
+        on = singles.select("project", F.col("id").alias("up"), F.col("up").alias("further"), F.col("w").alias("more"))
+        moved = F.col("further").isNotNull().alias("moved")
+        both = written(singles.join(on, ["project", "up"], "left").select(*KEY, F.coalesce("further", "up").alias("up"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), moved))
+        singles = both.drop("moved")
+        if both.where("moved").isEmpty():
+            return singles
+    return written(singles.join(singles.select("project", F.col("id").alias("up")), ["project", "up"], "left_anti").select(*singles.columns))
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """H6: (project, id, level): the longest path down to a node without known dependencies; null on or behind a cycle.
 
-    Peels all ready nodes of all projects in a round; ordering by (level, id) respects every edge.
-    Rounds are as many as levels, and each moves only edges whose parents have just been placed.
+    Ordering by (level, id) respects every edge. A node that waits for one other alone is so many levels above it, whatever
+    else there is, so runs of such nodes are contracted first: edges go to the runs' ends and
+    carry their lengths. That is repeated as long as it pays, since diamonds become runs. Then all
+    ready nodes of all projects are peeled in a round, and each round moves only edges whose parents have just been
+    placed. Rounds are as many as junctions follow each other, and the logarithm of the longest run.
     """
     known = nodes.select(*KEY).distinct()
-    left = written(_known_edges(known, edges))
-    degree = written(left.groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("waits")))
-    ready = known.join(degree, KEY, "left_anti")
+    kept, aside = known, []
+    left = written(_known_edges(known, edges).withColumn("w", F.lit(1)))
+    while True:
+        counted = written(left.groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("waits"), F.min("parent").alias("up"), F.max("w").alias("w")))
+        waiting, singles = counted.agg(F.count("*"), F.count_if(F.col("waits") == 1)).first()
+        if not singles or aside and singles * 8 < waiting:
+            break
+        alone = counted.where("waits = 1").select(*KEY, "up", "w")
+        aside.append(_rooted(alone))
+        kept = kept.join(alone, KEY, "left_anti")
+        ends = aside[-1].select("project", F.col("id").alias("parent"), "up", F.col("w").alias("more"))
+        on = left.join(counted.where("waits > 1").select("project", F.col("id").alias("child")), ["project", "child"], "left_semi").join(ends, ["project", "parent"], "left")
+        onto = on.select("project", "child", F.coalesce("up", "parent").alias("parent"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        left = written(onto.groupBy("project", "child", "parent").agg(F.max("w").alias("w")))
+
+    start = kept.join(counted, KEY, "left_anti").select(*KEY, F.lit(0).cast("long").alias("waits"), F.lit(0).alias("level"))
+    state = written(start.union(counted.select(*KEY, "waits", F.lit(0))))
     placed: list[DataFrame] = []
-    for level in count():
-        now = written(ready.select(*KEY, F.lit(level).alias("level")))
-        if now.isEmpty():
+    while True:
+        ready = state.where("waits = 0")
+        if ready.isEmpty():
             break
-        placed = _gathered(placed, now)
-        freed = left.join(now.select("project", F.col("id").alias("parent")), ["project", "parent"]).groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("freed"))
-        degree = written(degree.join(freed, KEY, "left").select(*KEY, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits")))
-        ready = degree.where("waits = 0")
-        degree = degree.where("waits > 0")
+        placed = _gathered(placed, ready.select(*KEY, "level"))
+        sent = left.join(ready.select("project", F.col("id").alias("parent"), "level"), ["project", "parent"]).groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("freed"), F.max(F.col("level") + F.col("w")).alias("at"))
+        state = written(state.where("waits > 0").join(sent, KEY, "left").select(*KEY, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"), F.greatest("level", "at").alias("level")))
     if not placed:
         return known.withColumn("level", F.lit(None).cast("int"))
-    return known.join(reduce(DataFrame.union, placed), KEY, "left")
+    levels = reduce(DataFrame.union, placed)
+    for ends in reversed(aside):
+        levels = levels.union(ends.join(levels.select("project", F.col("id").alias("up"), "level"), ["project", "up"]).select(*KEY, (F.col("level") + F.col("w")).alias("level")))
+    return known.join(levels, KEY, "left")
 
 
-def _highest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with `top`: the greatest id among each node and all it depends on, by edges within nodes."""
-    values, raised = nodes.withColumn("top", F.col("id")), None
+def _lifts(up: DataFrame) -> list[DataFrame]:
+    """For paths along (project, id, up): tables of the ids 1, 2, 4, ... steps on, as long as there are any.
+
+    `top` is the greatest of the ids that are passed, the first included. A path ends at an id that has no row.
+    """
+    tables = [written(up.select(*KEY, "up", F.col("id").alias("top")))]
+    while not tables[-1].isEmpty():
+        on = tables[-1].select("project", F.col("id").alias("up"), F.col("up").alias("further"), F.col("top").alias("more"))
+        tables.append(written(tables[-1].join(on, ["project", "up"]).select(*KEY, F.col("further").alias("up"), F.greatest("top", "more").alias("top"))))
+    return tables[:-1]
+
+
+def _greater_on_runs(singles: DataFrame) -> DataFrame:
+    """(project, id, ahead, root) of singles (project, id, up): the nearest greater id on the run up from each; where there is none, the run's end.
+
+    Binary search on doubled steps: a step is taken where all ids that it passes are less.
+    """
+    at = singles.select(*KEY, F.col("up").alias("at"))
+    for k, table in enumerate(reversed(_lifts(singles))):
+        step = table.select("project", F.col("id").alias("at"), "up", "top")
+        at = at.join(step, ["project", "at"], "left").select(*KEY, F.when(F.col("top") < F.col("id"), F.col("up")).otherwise(F.col("at")).alias("at"))
+        at = written(at) if k % 4 == 3 else at
+    inside = singles.select("project", F.col("id").alias("at"), F.lit(True).alias("inside"))
+    return written(at.join(inside, ["project", "at"], "left").select(*KEY, F.when(F.col("inside"), F.col("at")).alias("ahead"), F.when(F.col("inside").isNull(), F.col("at")).alias("root")))
+
+
+def _tails(asked: DataFrame, runs: DataFrame) -> DataFrame:
+    """(project, id, root, tail) of asked ids within runs: the run's end, and the ids from there to the id that are greater than all after them."""
+    pairs = asked.select(*KEY, F.col("id").alias("member"))
+    for table in _lifts(runs.where("ahead IS NOT NULL").select(*KEY, F.col("ahead").alias("up"))):
+        further = pairs.join(table.select("project", F.col("id").alias("member"), "up"), ["project", "member"]).select(*KEY, F.col("up").alias("member"))
+        pairs = written(pairs.union(further))
+    tails = pairs.groupBy(*KEY).agg(F.sort_array(F.collect_list("member"), asc=False).alias("tail"), F.max("member").alias("first"))
+    return tails.join(runs.select("project", F.col("id").alias("first"), "root"), ["project", "first"]).select(*KEY, "root", "tail")
+
+
+def _leaders(here: DataFrame, inner: DataFrame) -> DataFrame:
+    """(project, id, ahead): of a node's path, the nearest id that is greater; null if there is none.
+
+    The path of a node goes through the dependency that is deployed last. Of several dependencies that is the
+    one with the greatest list of leaders, the node's own id being the last of its list, and lists fall. So only
+    junctions, which have several dependencies, are followed in rounds; runs of nodes with one dependency are searched by doubled steps.
+    """
+    counted = written(inner.groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("waits"), F.min("parent").alias("up")))
+    singles = written(counted.where("waits = 1").select(*KEY, "up"))
+    runs = _greater_on_runs(singles)
+    junctions = counted.where("waits > 1").select(*KEY, "waits")
+    links = inner.join(junctions.select("project", F.col("id").alias("child")), ["project", "child"], "left_semi")
+    asked = links.select("project", F.col("parent").alias("id")).distinct().join(singles.select(*KEY), KEY, "left_semi")
+    none = F.array().cast(f"array<{dict(here.dtypes)['id']}>")
+    tails = _tails(asked, runs).select("project", F.col("id").alias("parent"), "root", "tail")
+    links = written(links.join(tails, ["project", "parent"], "left").select("project", "child", F.coalesce("root", "parent").alias("base"), F.coalesce("tail", none).alias("tail")))
+    sources = here.join(counted, KEY, "left_anti").select(*KEY, F.lit(0).cast("long").alias("waits"), none.alias("most"))
+    state = written(sources.union(junctions.select(*KEY, "waits", none)))
+    led = lambda c: F.filter(c, lambda x: x > F.col("id"))
+    lists: list[DataFrame] = []
     while True:
-        senders = (values if raised is None else raised).select("project", F.col("id").alias("parent"), "top")
-        sent = edges.join(senders, ["project", "parent"]).groupBy("project", F.col("child").alias("id")).agg(F.max("top").alias("sent"))
-        raised = written(values.join(sent, KEY).where("sent > top").select(*KEY, F.col("sent").alias("top")))
-        if raised.isEmpty():
-            return values
-        higher = raised.withColumnRenamed("top", "higher")
-        values = written(values.join(higher, KEY, "left").select(*nodes.columns, F.coalesce("higher", "top").alias("top")))
+        ready = state.where("waits = 0")
+        if ready.isEmpty():
+            break
+        now = ready.select(*KEY, F.concat(led("most"), F.array("id")).alias("list"))
+        lists = _gathered(lists, now)
+        whole = F.when(F.size("tail") == 0, F.col("list")).otherwise(F.concat(F.filter("list", lambda x: x > F.element_at("tail", 1)), F.col("tail")))
+        sent = links.join(now.select("project", F.col("id").alias("base"), "list"), ["project", "base"]).groupBy("project", F.col("child").alias("id")).agg(F.count("*").alias("freed"), F.max(whole).alias("sent"))
+        state = written(state.where("waits > 0").join(sent, KEY, "left").select(*KEY, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"), F.greatest("most", "sent").alias("most")))
+    every = reduce(DataFrame.union, lists) if lists else here.limit(0).select(*KEY, none.alias("list"))
+    last = lambda c: F.element_at(c, -1)
+    own = every.select(*KEY, F.try_element_at("list", F.lit(-2)).alias("ahead"))
+    ends = runs.where("ahead IS NULL").join(every.select("project", F.col("id").alias("root"), "list"), ["project", "root"])
+    above = ends.withColumn("over", led("list")).select(*KEY, F.when(F.size("over") > 0, last("over")).alias("ahead"))
+    return own.union(above).union(runs.where("ahead IS NOT NULL").select(*KEY, "ahead"))
 
 
 def deployment_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """H7: (project, id, position): of all ready nodes the least id goes next.
 
-    Let a node's top be the greatest id among it and all it depends on. No node goes before all nodes of a
-    lesser top are gone: of those that are left one is always ready, and its id is less than the node's top.
-    So nodes go by their tops; the node that is a top itself leads those that have it, and these follow by
-    the same rule among themselves. A round places the leaders of all groups of all projects by a
-    range-partitioned sort; where ids grow along the edges (as ids made by time do) one round is enough, while a
-    chain whose ids fall takes a round for each of its nodes. No task sees a whole project. Nodes on or behind a cycle have no position.
+    A node that has become ready goes before all greater ones, so it follows its leader, the nearest greater id on its
+    path (see _leaders), and all of what smaller nodes led by that one lead. The order is thus the
+    leaders' forest, depth first, the children of a leader by id: a node comes after its leader and all that the
+    leader's smaller children lead. How many each leads, and the sums along its leaders, are found by doubled
+    steps; the children of one leader (and those that have none) are summed in their order however many they are. Rounds grow with the
+    junctions that follow each other and with logarithms; no task sees a whole project. Nodes on or behind a cycle have no position.
     """
-    left = written(topological_levels(nodes, edges).where("level IS NOT NULL").select(*KEY, F.lit(0).cast("long").alias("at")))
-    inner = written(_known_edges(left.select(*KEY), edges).join(left.select("project", F.col("id").alias("child")), ["project", "child"], "left_semi"))
-    placed: list[DataFrame] = []
-    while not left.isEmpty():
-        ranked = with_position(_highest(left, inner).withColumn("follows", F.col("id") != F.col("top")), ["project", "at", "top", "follows"], "rank")
-        ranked = written(ranked.select(*KEY, "at", "top", "follows", "rank"))
-        begin = ranked.groupBy("project", "at").agg(F.min("rank").alias("begin"))
-        leads = written(ranked.where("NOT follows").join(begin, ["project", "at"]).select(*KEY, "at", (F.col("at") + F.col("rank") - F.col("begin")).alias("place")))
-        placed = _gathered(placed, leads.select(*KEY, (F.col("place") + 1).alias("position")))
-        behind = leads.select("project", "at", F.col("id").alias("top"), (F.col("place") + 1).alias("next"))
-        left = written(ranked.where("follows").join(behind, ["project", "at", "top"]).select(*KEY, F.col("next").alias("at")))
-        ends = [left.select("project", F.col("id").alias(side), F.col("at").alias(f"{side} at")) for side in ("child", "parent")]
-        inner = written(inner.join(ends[0], ["project", "child"]).join(ends[1], ["project", "parent"]).where("`child at` = `parent at`").select("project", "child", "parent"))
-    if not placed:
-        return nodes.limit(0).select(*KEY, F.lit(0).cast("long").alias("position"))
-    return reduce(DataFrame.union, placed)
+    here = written(topological_levels(nodes, edges).where("level IS NOT NULL").select(*KEY))
+    inner = written(_known_edges(here, edges).join(here.withColumnRenamed("id", "child"), ["project", "child"], "left_semi"))
+    led = written(_leaders(here, inner))
+    lifts = _lifts(led.where("ahead IS NOT NULL").select(*KEY, F.col("ahead").alias("up")))
+    sizes = led.select(*KEY, "ahead", F.lit(1).cast("long").alias("size"))
+    for table in lifts:
+        below = table.join(sizes.select(*KEY, "size"), KEY).groupBy("project", F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        sizes = written(sizes.join(below, KEY, "left").select(*KEY, "ahead", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+    by = ["project", "ahead"]
+    at = running(dealt(sizes, by, ["id"]), by, ["id"], upto=("sum", F.col("size"))).select(*KEY, (F.col("upto") - F.col("size") + 1).alias("position"))
+    for table in lifts:
+        at = written(at)
+        before = table.select(*KEY, "up").join(at.select("project", F.col("id").alias("up"), F.col("position").alias("more")), ["project", "up"]).select(*KEY, "more")
+        at = at.join(before, KEY, "left").select(*KEY, (F.col("position") + F.coalesce("more", F.lit(0))).alias("position"))
+    return at
 
 
 def closure(edges: DataFrame, targets: DataFrame) -> DataFrame:

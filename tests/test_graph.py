@@ -87,3 +87,24 @@ def test_bad_edges(spark):
     assert [(r["child"], r["parent"]) for r in H.unknown_dependencies(n, e).collect()] == [(1, 9)]
     assert [(r["id"], r["n"]) for r in H.duplicate_ids(n).collect()] == [(2, 2)]
     assert H.cycles(*frames(spark, [1], [])).count() == 0
+
+
+def test_long_chains_take_rounds_by_their_logarithm(spark, monkeypatch):
+    # 1: ids fall along a chain, 2: they rise, 3: diamonds one below the other, 4: ids of a chain in any order
+    n, rounds = 10_000, []
+    monkeypatch.setattr(H, "written", lambda df, f=H.written: rounds.append(1) or f(df))
+    mixed = random.Random(2).sample(range(1, 2001), 2000)
+    rows = spark.range(1, n + 1)
+    diamonds = [(3, 3 * i + j, 3 * i if j < 3 else 3 * i + k) for i in range(400) for j, k in ((1, 0), (2, 0), (3, 1), (3, 2))]
+    nodes = rows.selectExpr("1 AS project", "id").union(rows.selectExpr("2", "id")).union(spark.range(1201).selectExpr("3", "id")).union(spark.range(1, 2001).selectExpr("4", "id"))
+    edges = rows.where(f"id < {n}").selectExpr("1 AS project", "id AS child", "id + 1 AS parent").union(rows.where("id > 1").selectExpr("2", "id", "id - 1"))
+    edges = edges.union(spark.createDataFrame(diamonds + [(4, c, p) for p, c in zip(mixed, mixed[1:])], "project int, child long, parent long"))
+    levels = {(r["project"], r["id"]): r["level"] for r in H.topological_levels(nodes, edges).collect()}
+    assert len(rounds) < 60
+    assert all(levels[1, i] == n - i and levels[2, i] == i - 1 for i in range(1, n + 1))
+    assert all(levels[3, 3 * i] == 2 * i for i in range(401)) and all(levels[4, x] == i for i, x in enumerate(mixed))
+    chains = [x.where("project <> 3") for x in (nodes, edges)]
+    rounds.clear()
+    got = {(r["project"], r["id"]): r["position"] for r in H.deployment_order(*chains).collect()}
+    assert len(rounds) < 160
+    assert all(got[1, i] == n + 1 - i and got[2, i] == i for i in range(1, n + 1)) and all(got[4, x] == i + 1 for i, x in enumerate(mixed))
