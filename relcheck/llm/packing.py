@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,12 @@ class Encoder:
         return self.ids[expand(first, counts)], np.diff(total)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a file, for as long as a Python worker lives: loading one takes as long as a few MB of text."""
+    return Encoder(path)
+
+
 def expand(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... counts[0] of them, then those of the next."""
     at = np.cumsum(counts) - counts
@@ -137,7 +144,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     """One row for each piece of each text: doc_id, piece, start, length, ids_crc32. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
+        encode = encoder_of(tokenizer_path)
         for batch in slices(batches, "text"):
             data, off = text_bytes(batch.column("text"))
             flat, counts = encode(data, off)
