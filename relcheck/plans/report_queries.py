@@ -110,7 +110,7 @@ QUERIES = {
     "t1_stream_failures": lambda spark, d: _stream(spark, d, lambda s: T.stream_failures(s, "1 day", "1 hour")).groupBy("action", "outcome", "sqlstate").agg(F.sum("n").alias("n")),
     "t2_stream_attempts": lambda spark, d: _stream(spark, d, lambda s: T.stream_attempts(s, 3_600_000, "1 hour")),
     "t3_stream_dedup_audit": lambda spark, d: _stream(spark, d, lambda s: T.stream_dedup(s, "60 days"), "run_log_bad").groupBy("run_id").agg(F.count("*").alias("n")),
-    "t3_stream_gaps": lambda spark, d: _stream(spark, d, lambda s: T.stream_gaps(s, "1 hour"), "run_log_bad"),
+    "t3_stream_gaps": lambda spark, d: T.standing_gaps(_stream(spark, d, lambda s: T.stream_gaps(s, "1 hour"), "run_log_bad")),
     "t4_stream_checks": _checks,
     "t5_stream_run_sessions": lambda spark, d: _stream(spark, d, lambda s: T.stream_run_sessions(s, "2 hours", "1 hour")),
 }
@@ -144,6 +144,14 @@ ORACLE = {
         "j12_top_n": "SELECT doc_id, n_chars FROM {documents} ORDER BY n_chars DESC, doc_id LIMIT 10",
         "j12_totals": "SELECT source, count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS total, max(n_chars) AS largest, (array_agg(doc_id ORDER BY n_chars DESC, doc_id DESC))[1] AS largest_key FROM {documents} GROUP BY source",
         "t1_stream_failures": "SELECT action, outcome, sqlstate, CAST(count(*) AS BIGINT) AS n FROM {run_log} WHERE date_trunc('day', recorded_at) + INTERVAL '1' DAY <= (SELECT max(recorded_at) - INTERVAL '1' HOUR FROM {run_log}) GROUP BY ALL",
+        "t2_stream_attempts": """WITH k AS (SELECT package_id, run_id, sequence, outcome <> 'attempted' AS closes, epoch_us(recorded_at) // 1000 AS ms FROM {run_log}
+                WHERE action IN ('deploy', 'resolve', 'baseline') AND outcome IN ('attempted', 'succeeded', 'asserted_applied', 'asserted_not_applied')),
+            w AS (SELECT max(ms) - 3600000 AS w FROM k),
+            e AS (SELECT k.*, coalesce(sum(CAST(closes AS INTEGER)) OVER (PARTITION BY package_id ORDER BY ms, run_id, sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM k, w WHERE ms <= w),
+            s AS (SELECT package_id, min(ms) FILTER (WHERE NOT closes) AS opened, min(ms) FILTER (WHERE closes) AS closed FROM e GROUP BY package_id, turn HAVING count(*) FILTER (WHERE NOT closes) > 0)
+            SELECT package_id, 'opened' AS change, opened AS "at" FROM s
+            UNION ALL SELECT package_id, CASE WHEN closed >= opened + 3600000 THEN 'retracted' ELSE 'closed' END, closed FROM s WHERE closed IS NOT NULL
+            UNION ALL SELECT package_id, 'alert', opened + 3600000 FROM s, w WHERE coalesce(closed, w) >= opened + 3600000""",
         "t5_stream_run_sessions": """WITH g AS (SELECT *, CASE WHEN recorded_at >= lag(recorded_at) OVER w + INTERVAL '2' HOUR THEN 1 ELSE 0 END AS new FROM {run_log} WINDOW w AS (PARTITION BY package_id ORDER BY recorded_at)),
             s AS (SELECT *, sum(new) OVER (PARTITION BY package_id ORDER BY recorded_at RANGE UNBOUNDED PRECEDING) AS k FROM g),
             a AS (SELECT package_id, min(recorded_at) AS session_start, max(recorded_at) + INTERVAL '2' HOUR AS session_end, count(*) AS events, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM s GROUP BY package_id, k)

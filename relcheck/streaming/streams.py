@@ -5,12 +5,12 @@ Event times are cast to TIMESTAMP, which watermarks need.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .processors import Attempts, Gaps, rocksdb_state
 
 
 def timed(events: DataFrame, watermark: str) -> DataFrame:
@@ -27,42 +27,14 @@ def stream_failures(events: DataFrame, window: str, watermark: str, slide: str |
 def stream_attempts(events: DataFrame, timeout_ms: int, watermark: str) -> DataFrame:
     """(package_id, change, at): opened by an attempt, closed by a success or resolution, alert when still open after the timeout.
 
-    Timers run on event time; an event that closes a package after its alert gives `retracted`. State is one
-    opening time and one flag a package.
+    Timers run on event time; an event that closes a package at its deadline or later gives `retracted` after the `alert`.
+    Changes come once the watermark has passed them and don't depend on the order or the batches in which events
+    come in: events go by time, run and sequence (null first). Events without a time are dropped. Needs rocksdb_state().
     """
-    kept = timed(events, watermark).where("action IN ('deploy', 'resolve', 'baseline') AND outcome IN ('attempted', 'succeeded', 'asserted_applied', 'asserted_not_applied')")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, alerted = state.get if state.exists else (None, False)
-        out: list[tuple[int, str, int]] = []
-        if state.hasTimedOut:
-            if opened is not None and not alerted:
-                out.append((key[0], "alert", opened + timeout_ms))
-                state.update((opened, True))
-        else:
-            rows = pd.concat(list(batches), ignore_index=True).sort_values(["at", "run_id", "sequence"])
-            for at, outcome in zip(rows["at"].tolist(), rows["outcome"].tolist()):
-                if opened is not None and not alerted and at >= opened + timeout_ms:
-                    out.append((key[0], "alert", opened + timeout_ms))
-                    alerted = True
-                if outcome == "attempted":
-                    if opened is None:
-                        opened, alerted = at, False
-                        out.append((key[0], "opened", at))
-                elif opened is not None:
-                    out.append((key[0], "retracted" if alerted else "closed", at))
-                    opened, alerted = None, False
-            if opened is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((opened, alerted))
-                if not alerted:
-                    state.setTimeoutTimestamp(max(opened + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["package_id", "change", "at"])
-
-    small = kept.select("package_id", "run_id", "sequence", "outcome", F.unix_millis("recorded_at").alias("at"), "recorded_at")
-    return small.groupBy("package_id").applyInPandasWithState(step, "package_id long, change string, at long", "opened long, alerted boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = events.where("recorded_at IS NOT NULL AND action IN ('deploy', 'resolve', 'baseline') AND outcome IN ('attempted', 'succeeded', 'asserted_applied', 'asserted_not_applied')")
+    low = F.lit(-(1 << 63)).cast("long")
+    small = timed(kept, watermark).select("package_id", F.coalesce(F.col("run_id").cast("long"), low).alias("run_id"), F.coalesce(F.col("sequence").cast("long"), low).alias("sequence"), (F.col("outcome") != "attempted").alias("closes"), F.unix_millis("recorded_at").alias("at"), "recorded_at")
+    return small.groupBy("package_id").transformWithStateInPandas(Attempts(timeout_ms), "package_id long, change string, at long", "append", "eventTime")
 
 
 def stream_dedup(events: DataFrame, watermark: str) -> DataFrame:
@@ -71,32 +43,22 @@ def stream_dedup(events: DataFrame, watermark: str) -> DataFrame:
 
 
 def stream_gaps(events: DataFrame, watermark: str, forget_ms: int = 30 * 86_400_000) -> DataFrame:
-    """(run_id, expected, found) where a run's sequence jumps ahead of what has been seen; state is one number a run.
+    """(run_id, change, expected, found): a `gap` where a run's sequence jumps, `filled` where a late number changes or closes a gap.
 
+    A gap is the first number that is missing and the next one that was seen; numbers count from 1. What stands
+    in the end (see standing_gaps) doesn't depend on the order in which events come in within the watermark.
     A run without an event for `forget_ms` of event time is forgotten, so that state is held for recent runs only;
-    if it goes on after that, its sequence counts from 1 again. Rows later than the watermark, or without a time or sequence, are dropped.
+    if it goes on after that, its sequence counts from 1 again. Rows later than the watermark, or without a time or
+    sequence, are dropped. Needs rocksdb_state().
     """
+    small = timed(events.where("recorded_at IS NOT NULL AND sequence IS NOT NULL"), watermark).select("run_id", F.col("sequence").cast("long").alias("sequence"), F.unix_millis("recorded_at").alias("at"), "recorded_at")
+    return small.groupBy("run_id").transformWithStateInPandas(Gaps(forget_ms), "run_id long, change string, expected long, found long", "append", "eventTime")
+
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, newest = state.get if state.exists else (0, 0)
-        seen, out = set(), []
-        for b in batches:
-            seen.update(b["sequence"].tolist())
-            newest = max(newest, int(b["at"].max()))
-        found = sorted(seen)
-        for s in found:
-            if s > last + 1:
-                out.append((key[0], last + 1, s))
-            last = max(last, s)
-        state.update((last, newest))
-        state.setTimeoutTimestamp(max(newest + forget_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["run_id", "expected", "found"])
-
-    small = timed(events, watermark).where("recorded_at IS NOT NULL AND sequence IS NOT NULL").select("run_id", "sequence", F.unix_millis("recorded_at").alias("at"), "recorded_at")
-    return small.groupBy("run_id").applyInPandasWithState(step, "run_id long, expected long, found long", "last long, newest long", "append", GroupStateTimeout.EventTimeTimeout)
+def standing_gaps(changes: DataFrame) -> DataFrame:
+    """The gaps (run_id, expected, found) that have been reported and not been filled."""
+    net = changes.groupBy("run_id", "expected", "found").agg(F.sum(F.when(F.col("change") == "gap", 1).otherwise(-1)).alias("n"))
+    return net.where("n > 0").select("run_id", "expected", "found")
 
 
 def stream_checks(events: DataFrame, rules: dict[str, Column], path: str, checkpoint: str) -> Any:
@@ -129,6 +91,7 @@ def replay(events: DataFrame, path: str, build: Callable[[DataFrame], DataFrame]
     for i, file in enumerate(files):
         fs.setTimes(file, 1_600_000_000_000 + 60_000 * i, -1)
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    query = build(source).writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", f"{path}/out").trigger(availableNow=True).start()
+    with rocksdb_state(spark):
+        query = build(source).writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", f"{path}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out")

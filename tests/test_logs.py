@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from relcheck.operators import assertlog as A, history as I
@@ -77,23 +79,49 @@ def test_sources(spark, tmp_path):
 def test_streams_equal_batches_however_the_log_is_split(spark, sf, tmp_path):
     from relcheck.plans.fixtures import table
 
-    events = table(spark, sf, "run_log")
     bad = table(spark, sf, "run_log_bad")
-    results = []
     for parts in (1, 4):
         out = T.replay(bad, f"{tmp_path}/d{parts}", lambda s: T.stream_dedup(s, "60 days"), parts, f"{tmp_path}/dc{parts}")
         assert out.count() == bad.select("run_id", "sequence").distinct().count()
-        changes = T.replay(events, f"{tmp_path}/a{parts}", lambda s: T.stream_attempts(s, 3_600_000, "1 hour"), parts, f"{tmp_path}/ac{parts}")
-        results.append(sorted((r["package_id"], r["at"], r["change"]) for r in changes.collect() if r["change"] in ("opened", "closed", "retracted")))
-    opened = [{(p, at, "c" if c != "opened" else c) for p, at, c in r} for r in results]
-    assert opened[0] == opened[1]
-    state = {r["package_id"] for r in I.current_state(events).where("state = 'blocked'").collect()}
-    last = {}
-    for p, at, c in results[1]:
-        last[p] = max(last.get(p, (0, "")), (at, c))
-    still = {p for p, (_, c) in last.items() if c == "opened"}
-    reverted = {r["package_id"] for r in events.where("action = 'revert' AND outcome = 'succeeded'").select("package_id").distinct().collect()}
-    assert still - reverted == state - reverted
+
+    # attempts: out of order within the watermark, in few or many batches, against a plain replay
+    rng, rows = random.Random(9), []
+    for i in range(400):
+        rows.append((rng.choice([1, 2, 3, None]), rng.randint(1, 3), i, rng.choice(["deploy", "resolve", "verify"]), rng.choice(["attempted", "attempted", "succeeded", "asserted_applied", "failed"]), 10 * i + rng.randint(0, 300)))
+    rows += [(1, 9, 901, "deploy", "attempted", 9000), (2, 9, 901, "deploy", "succeeded", 9000), (1, 9, 902, "deploy", "attempted", None)]
+    log = spark.createDataFrame(rows, "package_id long, run_id long, sequence int, action string, outcome string, s int").selectExpr("* EXCEPT (s)", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, s) AS recorded_at", "package_id * 1000 + sequence AS file")
+    start = 1_704_067_200_000
+    kept = sorted((s, run, seq, p, o) for p, run, seq, a, o, s in rows if s is not None and a != "verify" and o != "failed")
+    end, timeout, want = kept[-1][0] - 3600, 200, set()
+    for package in (1, 2, 3, None):
+        opened = None
+        mine = [k for k in kept if k[3] == package and k[0] <= end]
+        for s, *_, o in [*mine, (end, None, None, None, None)]:
+            if opened is not None and s >= opened + timeout:
+                want.add((package, "alert", opened + timeout))
+            if o == "attempted" and opened is None:
+                opened = s
+                want.add((package, "opened", s))
+            elif o not in ("attempted", None) and opened is not None:
+                want.add((package, "retracted" if s >= opened + timeout else "closed", s))
+                opened = None
+    # a file a batch: by time, or dealt by place in the log, whose times overlap by 300 s
+    for parts, order in ((1, "recorded_at"), (3, "sequence")):
+        out = T.replay(log, f"{tmp_path}/a{parts}", lambda s: T.stream_attempts(s, timeout * 1000, "1 hour"), parts, f"{tmp_path}/ac{parts}", order_by=order).collect()
+        assert len(out) == len(want)
+        assert {(r["package_id"], r["change"], (r["at"] - start) // 1000) for r in out} == want
+
+
+def test_gaps_of_rows_in_any_order_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(4)
+    seen = {run: sorted(rng.sample(range(1, 60), 35)) for run in (1, 2, 3)}
+    rows = [(run, s, rng.randint(0, 1000)) for run, found in seen.items() for s in found]
+    rows += rng.sample(rows, 20) + [(1, 0, 5), (1, None, 5)]
+    events = spark.createDataFrame(rows, "run_id long, sequence long, s int").selectExpr("run_id", "sequence", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, s) AS recorded_at", "s")
+    want = {(run, a + 1, b) for run, found in seen.items() for a, b in zip([0, *found], found) if b > a + 1}
+    changes = T.replay(events, f"{tmp_path}/g", lambda s: T.stream_gaps(s, "1 hour"), 4, f"{tmp_path}/gc", order_by="s")
+    assert {tuple(r) for r in T.standing_gaps(changes).collect()} == want
+    assert changes.where("change = 'filled'").count() > 0
 
 
 def test_checks_are_idempotent_by_batch(spark, sf, tmp_path):
@@ -112,7 +140,7 @@ def test_gaps_forget_runs_that_are_long_over(spark, tmp_path):
     events = spark.createDataFrame(rows, "run_id long, sequence long, day int").select("run_id", "sequence", F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, day)").alias("recorded_at"))
     for days, want in ((30, [(1, 1, 5), (1, 3, 4)]), (365, [(1, 3, 4)])):
         found = T.replay(events, f"{tmp_path}/g{days}", lambda s, d=days: T.stream_gaps(s, "1 hour", d * 86_400_000), 6, f"{tmp_path}/gc{days}")
-        assert sorted(map(tuple, found.collect())) == want
+        assert sorted(map(tuple, T.standing_gaps(found).collect())) == want
 
 
 def test_rollup_digest_by_hand(spark):
