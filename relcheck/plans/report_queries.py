@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as J
 from ..sources import logs as S
+from ..sources.commits import committed
 from ..streaming import streams as T
 from .fixtures import oracle, table
 
@@ -68,6 +69,17 @@ def _history_sink(spark, d):
     return S.read_history(spark, path).groupBy(C("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.count_distinct("run_id").alias("runs"))
 
 
+def _history_stream(spark, d):
+    """The log as a stream into the sink, started twice over."""
+    path = _folder(spark)
+    log = table(spark, d, "run_log")
+    log.repartitionByRange(3, "recorded_at").write.parquet(f"{path}/in")
+    for _ in range(2):
+        source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        S.history_sink(source, f"{path}/out", f"{path}/checkpoint", "runs").trigger(availableNow=True).start().awaitTermination()
+    return S.read_history(spark, f"{path}/out").groupBy("action", "outcome").agg(F.count("*").alias("n"), F.count_distinct("date").alias("days"))
+
+
 def _checksum_lines(spark, d):
     docs = table(spark, d, "documents").select(C("doc_id").alias("line"), F.concat(F.when(C("doc_id") % 19 == 0, F.lit("zz")).otherwise(F.sha2("text", 256)), F.lit("  "), C("source"), F.lit("/"), (C("doc_id") - F.when(C("doc_id") % 23 == 0, 20).otherwise(0)).cast("string")).alias("value"))
     return docs.union(docs.select(-C("line") - 1, F.lit("  ")))
@@ -84,11 +96,12 @@ def _checks(spark, d):
     log.repartitionByRange(4, "recorded_at").write.parquet(f"{path}/in")
     source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     T.stream_checks(source, {"fast": C("duration_ms") < 60, "coded": C("sqlstate").isNull()}, f"{path}/out", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("rule").agg(F.sum("rows").alias("rows"), F.sum("failures").alias("failures"))
+    return committed(spark, f"{path}/out", "checks").groupBy("rule").agg(F.sum("rows").alias("rows"), F.sum("failures").alias("failures"))
 
 
 QUERIES = {
     "s4_append_history": _history_sink,
+    "s4_history_stream": _history_stream,
     "s5_read_reports": lambda spark, d: S.parse_reports(report_documents(spark, d))[1].groupBy("reason").agg(F.count("*").alias("n")),
     "s6_parse_checksum_lines": lambda spark, d: S.parse_checksum_lines(_checksum_lines(spark, d))[1].select("line", "problem"),
     "s6_checksums": lambda spark, d: S.parse_checksum_lines(_checksum_lines(spark, d))[0],
@@ -122,6 +135,7 @@ _READ = "(SELECT * FROM {run_log} WHERE run_id % 13 <> 0 AND run_id % 17 <> 0)"
 ORACLE = {
     k: oracle(v)
     for k, v in {
+        "s4_history_stream": "SELECT action, outcome, count(*) AS n, count(DISTINCT CAST(recorded_at AS DATE)) AS days FROM {run_log} GROUP BY ALL",
         "s4_append_history": "SELECT CAST(CAST(recorded_at AS DATE) AS VARCHAR) AS date, count(*) AS n, count(DISTINCT run_id) AS runs FROM {run_log} GROUP BY 1",
         "s5_read_reports": "SELECT CASE WHEN run_id % 17 = 0 THEN 'malformed' ELSE 'unknown version 9' END AS reason, count(DISTINCT run_id) AS n FROM {run_log} WHERE run_id % 13 = 0 OR run_id % 17 = 0 GROUP BY 1",
         "s6_parse_checksum_lines": "WITH l AS (SELECT doc_id AS line, doc_id % 19 = 0 AS bad, source || '/' || (doc_id - CASE WHEN doc_id % 23 = 0 THEN 20 ELSE 0 END) AS path FROM {documents}), g AS (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM l WHERE NOT bad) SELECT line, 'malformed' AS problem FROM l WHERE bad UNION ALL SELECT line, 'listed_twice' FROM g WHERE n > 1",

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from .commits import commit, committed
 
 #: The report versions that read_reports accepts.
 VERSIONS = (1,)
@@ -17,15 +22,30 @@ REPORT = (
 )
 
 
-def append_history(history: DataFrame, path: str) -> None:
-    """Appends events to a log partitioned by day; one write is one commit, state and evidence together."""
+def append_history(history: DataFrame, path: str, batch: str | None = None, evidence: DataFrame | None = None) -> bool:
+    """Appends events to a log partitioned by day, and their evidence with them; one call is one commit.
+
+    Readers see all of it or nothing. A batch that has been committed is not written again (False);
+    without a name each call is a batch of its own.
+    """
     dated = history.withColumn("date", F.to_date("recorded_at"))
-    dated.repartition("date", F.pmod(F.xxhash64("run_id"), F.lit(16))).write.mode("append").partitionBy("date").parquet(path)
+    tables = {"history": dated.repartition("date", F.pmod(F.xxhash64("run_id"), F.lit(16)))}
+    if evidence is not None:
+        tables["evidence"] = evidence
+    return commit(tables, path, batch or uuid.uuid4().hex, {"history": ["date"]})
+
+
+def history_sink(events: DataFrame, path: str, checkpoint: str, name: str) -> DataStreamWriter:
+    """S4 for a stream: each micro-batch is one commit, `<name>-<number>`, written once also after a restart.
+
+    A stream that starts anew, with another checkpoint, needs another name.
+    """
+    return events.writeStream.foreachBatch(lambda rows, number: append_history(rows, path, f"{name}-{number}")).option("checkpointLocation", checkpoint)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The log as appended; filters on `date` prune folders."""
-    return spark.read.parquet(path)
+def read_history(spark: SparkSession, path: str, table: str = "history") -> DataFrame:
+    """The committed log, or the evidence; filters on `date` prune folders."""
+    return committed(spark, path, table).drop("batch")
 
 
 def parse_reports(documents: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,11 @@ Event times are cast to TIMESTAMP, which watermarks need.
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from ..sources.commits import commit
 from .processors import Attempts, Gaps, rocksdb_state
 
 
@@ -61,15 +62,16 @@ def standing_gaps(changes: DataFrame) -> DataFrame:
     return net.where("n > 0").select("run_id", "expected", "found")
 
 
-def stream_checks(events: DataFrame, rules: dict[str, Column], path: str, checkpoint: str) -> Any:
-    """T4: runs the rules on every micro-batch and writes result rows under batch_id=<n>.
+def stream_checks(events: DataFrame, rules: dict[str, Column], path: str, checkpoint: str, name: str = "checks") -> DataStreamWriter:
+    """T4: runs the rules on every micro-batch and commits its result rows, as batch `<name>-<number>` of the table `checks`.
 
-    A batch that is run again overwrites its own folder, so results are the same after a restart.
+    Readers (see commits.committed) see whole batches only. A batch that is run again after a restart has been
+    committed or is written anew, so results are the same; a stream with another checkpoint needs another name.
     """
     from ..operators.rows import check_all
 
     def write(batch: DataFrame, number: int) -> None:
-        check_all(batch, rules).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+        commit({"checks": check_all(batch, rules)}, path, f"{name}-{number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

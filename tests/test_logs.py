@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from relcheck.operators import assertlog as A, history as I
-from relcheck.sources import logs as S
+from relcheck.sources import commits as M, logs as S
 from relcheck.streaming import streams as T
 
 
@@ -130,9 +131,42 @@ def test_checks_are_idempotent_by_batch(spark, sf, tmp_path):
     events = table(spark, sf, "run_log")
     events.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    for checkpoint in ("c1", "c2"):  # the second run starts anew and overwrites each batch
+    for checkpoint in ("c1", "c2"):  # the second run loses its place and starts anew
         T.stream_checks(stream, {"r": F.col("duration_ms") < 60}, f"{tmp_path}/out", f"{tmp_path}/{checkpoint}").trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("rows")).first()[0] == events.count()
+    found = M.committed(spark, f"{tmp_path}/out", "checks")
+    assert found.agg(F.sum("rows")).first()[0] == events.count()
+    assert {r[0] for r in found.select("batch").collect()} == {"checks-0", "checks-1", "checks-2"}
+
+
+def test_a_write_that_breaks_off_is_not_seen_and_is_made_once(spark, tmp_path):
+    log = spark.createDataFrame([(1, 1, "2024-01-01 10:00:00"), (1, 2, "2024-01-02 10:00:00")], "run_id long, sequence int, at string").select("run_id", "sequence", F.col("at").cast("timestamp").alias("recorded_at"))
+    proof = spark.createDataFrame([(1, "seen")], "run_id long, note string")
+    path = f"{tmp_path}/log"
+    # one task of the second table fails after the first table, and a part of the second, have been written
+    broken = spark.range(0, 8, 1, 4).select("id", F.when(F.col("id") == 7, F.raise_error(F.lit("lost"))).otherwise(F.lit("x")).alias("note"))
+    with pytest.raises(Exception, match="lost"):
+        S.append_history(log, path, "b-1", broken)
+    with pytest.raises(ValueError, match="nothing"):
+        S.read_history(spark, path)
+    assert S.append_history(log, path, "b-1", proof)
+    assert not S.append_history(log.union(log), path, "b-1", proof)
+    assert S.append_history(log, path, "b-2")
+    with pytest.raises(Exception, match="lost"):
+        S.append_history(log, path, "b-3", broken)
+    rows = S.read_history(spark, path)
+    assert rows.count() == 4 and rows.where("date = DATE '2024-01-02'").count() == 2 and set(rows.columns) == {"run_id", "sequence", "recorded_at", "date"}
+    assert [tuple(r) for r in S.read_history(spark, path, "evidence").collect()] == [(1, "seen")]
+    assert {r[0] for r in M.committed(spark, path, "history").select("batch").collect()} == {"b-1", "b-2"}
+    # a record is made once, even by writers that do not see each other's
+    hidden = M.is_committed
+    try:
+        M.is_committed, calls = lambda *a: calls.append(1) or len(calls) > 1, []
+        assert not M.commit({"history": log.limit(0)}, path, "b-2") and len(calls) == 2
+    finally:
+        M.is_committed = hidden
+    assert S.read_history(spark, path).count() == 4
+    with pytest.raises(ValueError, match="batch name"):
+        M.commit({"history": log}, path, "../b")
 
 
 def test_gaps_forget_runs_that_are_long_over(spark, tmp_path):
