@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalars import glob_to_regex, is_glob
 from .scans import MOST_ROWS, dealt, running
 
-#: Globs that a broadcast may hold.
+#: Globs without a whole word that a broadcast may hold.
 MOST_GLOBS = 10_000
 
+_WORD = r"\w+"
+
 
 def _in_order(log: DataFrame, most_rows: int, **wanted: tuple[str, Column]) -> DataFrame:
     """The log with running values of each file's events; a file of more than `most_rows` events is dealt over tasks."""
@@ -147,11 +149,24 @@ def _met(paths: DataFrame, selectors: DataFrame, root: str) -> DataFrame:
     # a path meets a name by itself and its folders, so that names are an equi-join
     folders = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/", -1))), lambda i: F.array_join(F.slice(F.split(c, "/", -1), 1, i), "/"))
     named = paths.select("path", F.explode(F.array_union(folders(p), folders(within))).alias("s")).join(asked.select("selector", "s"), "s").select("path", "selector")
-    # only globs are held against every path; few are broadcast, more take the plan that Spark finds
-    globs = asked.where("glob").select("selector", "re")
-    few = F.broadcast(globs) if globs.limit(MOST_GLOBS + 1).count() <= MOST_GLOBS else globs
-    globbed = paths.select("path").join(few, F.regexp_like(p, F.col("re")) | F.regexp_like(within, F.col("re"))).select("path", "selector")
-    return named.union(globbed)
+    globs = asked.where("glob").select("selector", "re", _whole_word(s).alias("word"))
+    fits = F.regexp_like(p, F.col("re")) | F.regexp_like(within, F.col("re"))
+    # a path that fits has the glob's whole word among its own, so they meet in an equi-join
+    said = paths.select("path", F.explode(F.array_distinct(F.regexp_extract_all(p, F.lit(_WORD), F.lit(0)))).alias("word"))
+    met = named.union(said.join(globs, "word").where(fits).select("path", "selector"))
+    # only what has no whole word, like `*` and `a*b`, is held against every path
+    loose = globs.where("word IS NULL").select("selector", "re")
+    n = loose.limit(MOST_GLOBS + 1).count()
+    if n:
+        met = met.union(paths.select("path").join(F.broadcast(loose) if n <= MOST_GLOBS else loose, fits).select("path", "selector"))
+    return met
+
+
+def _whole_word(glob: Column) -> Column:
+    """The longest word of a glob that no wildcard touches, which any path that fits has as a word of its own; null for none."""
+    plain = F.regexp_replace(glob, r"\[[^\]]*\]?", "*")
+    words = F.regexp_extract_all(plain, F.lit(rf"(?<![\w*?]){_WORD}(?![\w*?])"), F.lit(0))
+    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
 
 
 def select_paths(paths: DataFrame, selectors: DataFrame, root: str = "tests") -> DataFrame:

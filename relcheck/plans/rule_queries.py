@@ -24,6 +24,21 @@ _UUID_TEXT = "concat(substr(sha(url), 1, 8), '-', substr(sha(url), 9, 4), '-7',
 _PACKAGE = f"CASE page_id % 3 WHEN 0 THEN concat({_UUID_TEXT}, '-page-', page_id) WHEN 1 THEN {_UUID_TEXT} ELSE concat('page-', page_id) END"
 
 
+def _sample(check, by):
+    """The failing rows that a check shows, one row each, by their place in the sample."""
+    shown = check.select(by, "failures", F.posexplode("sample").alias("place", "v"))
+    names = [f.name for f in shown.schema["v"].dataType.fields]
+    return shown.select(by, "failures", (C("place") + 1).alias("place"), *(C(f"v.{n}.{part}").alias(f"{n}_{part}") for n in names for part in ("display", "type", "is_null")))
+
+
+def _sample_sql(source: str, by: str, failing: str, identity: str, **shown: tuple[str, str]) -> str:
+    """The 20 failing rows of each group with the least MD5 of their identity; shown: of each value its text and type."""
+    values = ", ".join(f"{x} AS {n}_display, '{kind}' AS {n}_type, {x} IS NULL AS {n}_is_null" for n, (x, kind) in shown.items())
+    ties = ", ".join(f"{x} NULLS FIRST" for x, _ in shown.values())
+    rows = f"SELECT {by}, count(*) OVER (PARTITION BY {by}) AS failures, CAST(row_number() OVER (PARTITION BY {by} ORDER BY md5(concat_ws('|', {identity})), {ties}) AS INTEGER) AS place, {values} FROM {{{source}}} WHERE {failing}"
+    return f"SELECT * FROM ({rows}) t WHERE place <= 20"
+
+
 def _spark_sql(text: str) -> str:
     import re
 
@@ -49,6 +64,14 @@ QUERIES = {
     "p6_doesnt_match": _rows("orders_expected", lambda o: P.doesnt_match(o, C("o_totalprice"), "9$", ["o_orderstatus"])),
     "p7_cmp_ok": _rows("lineitem", lambda t: P.cmp_ok(t, C("l_discount"), "<=", F.lit(0.05), ["l_returnflag", "l_linestatus"])),
     "p8_isa_ok": _rows("events", lambda e: P.isa_ok(e, C("props"), "BIGINT", ["event_type"], "$.k")),
+    "p1_ok_sample": _rows("orders_expected", lambda o: _sample(P.ok(o, C("o_totalprice") > 50000, ["o_orderpriority"], 20, ["o_orderkey"]), "o_orderpriority")),
+    "p2_is_equal_sample": _rows("orders_expected", lambda o: _sample(P.is_equal(o, C("o_orderstatus"), F.lit("O"), ["o_orderpriority"], 20, ["o_orderkey"]), "o_orderpriority")),
+    "p3_isnt_equal_sample": _rows("part", lambda p: _sample(P.isnt_equal(p, C("p_size"), F.lit(7), ["p_size"], 20, ["p_partkey"]), "p_size")),
+    "p4_matches_sample": _rows("part", lambda p: _sample(P.matches(p, C("p_name"), "[aeiou]{2}", ["p_size"], 20, ["p_partkey"]), "p_size")),
+    "p5_imatches_sample": _rows("part", lambda p: _sample(P.imatches(p, C("p_brand"), "BRAND#[12]", ["p_size"], 20, ["p_partkey"]), "p_size")),
+    "p6_doesnt_match_sample": _rows("part", lambda p: _sample(P.doesnt_match(p, C("p_type"), "E", ["p_brand"], 20, ["p_partkey"]), "p_brand")),
+    "p7_cmp_ok_sample": _rows("lineitem", lambda t: _sample(P.cmp_ok(t, C("l_linenumber"), "<=", F.lit(3), ["l_returnflag"], 20, ["l_orderkey", "l_linenumber"]), "l_returnflag")),
+    "p8_isa_ok_sample": _rows("events", lambda e: _sample(P.isa_ok(e, C("props"), "STRING", ["event_type"], "$.k", 20, ["event_id"]), "event_type")),
     "p9_describe": _rows("orders_expected", lambda o: o.select("o_orderkey", "o_custkey", P.describe(C("o_orderstatus"), "string").alias("d"), P.describe(C("o_totalprice"), "double").alias("e")).select("o_orderkey", "o_custkey", C("d.json").alias("status_json"), C("d.display").alias("status_display"), C("e.type").alias("price_type"), C("e.is_null").alias("price_is_null"))),
     "p_check_all": _rows("lineitem", lambda t: P.check_all(t, {"discount": C("l_discount") <= 0.05, "quantity": C("l_quantity") > 1, "tax": C("l_tax") < 1}, ["l_returnflag"])),
     "k1_col_not_null": _rows("orders_expected", lambda o: K.col_not_null(o, ["o_orderkey", "o_totalprice", "o_comment"])),
@@ -111,6 +134,14 @@ ORACLE = {
         "p6_doesnt_match": _check("doesnt_match", "orders_expected", "NOT regexp_matches(CAST(o_totalprice AS VARCHAR), '9$')", "o_orderstatus"),
         "p7_cmp_ok": _check("cmp_ok", "lineitem", "l_discount <= 0.05", "l_returnflag, l_linestatus"),
         "p8_isa_ok": _check("isa_ok", "events", "json_type(props, '$.k') IN ('BIGINT', 'UBIGINT')", "event_type"),
+        "p1_ok_sample": _sample_sql("orders_expected", "o_orderpriority", "NOT coalesce(o_totalprice > 50000, false)", "o_orderkey", have=("CASE WHEN o_totalprice > 50000 THEN 'true' WHEN o_totalprice <= 50000 THEN 'false' END", "boolean")),
+        "p2_is_equal_sample": _sample_sql("orders_expected", "o_orderpriority", "o_orderstatus IS DISTINCT FROM 'O'", "o_orderkey", have=("o_orderstatus", "string"), want=("'O'", "string")),
+        "p3_isnt_equal_sample": _sample_sql("part", "p_size", "p_size = 7", "p_partkey", have=("CAST(p_size AS VARCHAR)", "int"), unwanted=("'7'", "int")),
+        "p4_matches_sample": _sample_sql("part", "p_size", "NOT regexp_matches(p_name, '[aeiou][aeiou]')", "p_partkey", have=("p_name", "string"), pattern=("'[aeiou]{2}'", "string")),
+        "p5_imatches_sample": _sample_sql("part", "p_size", "NOT regexp_matches(p_brand, '(?i)BRAND#[12]')", "p_partkey", have=("p_brand", "string"), pattern=("'BRAND#[12]'", "string")),
+        "p6_doesnt_match_sample": _sample_sql("part", "p_brand", "regexp_matches(p_type, 'E')", "p_partkey", have=("p_type", "string"), pattern=("'E'", "string")),
+        "p7_cmp_ok_sample": _sample_sql("lineitem", "l_returnflag", "l_linenumber > 3", "l_orderkey, l_linenumber", have=("CAST(l_linenumber AS VARCHAR)", "int"), operator=("'<='", "string"), want=("'3'", "int")),
+        "p8_isa_ok_sample": _sample_sql("events", "event_type", "coalesce(json_type(props, '$.k'), '') <> 'VARCHAR'", "event_id", have=("CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN 'BIGINT' ELSE json_type(props, '$.k') END", "string"), want=("'STRING'", "string")),
         "p9_describe": """SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus IS NULL THEN 'null' ELSE '"' || o_orderstatus || '"' END AS status_json, o_orderstatus AS status_display, 'double' AS price_type, o_totalprice IS NULL AS price_is_null FROM {orders_expected}""",
         "p_check_all": " UNION ALL ".join(f"SELECT l_returnflag, '{n}' AS rule, count(*) AS rows, count(*) FILTER (WHERE NOT coalesce({p}, false)) AS failures, count(*) FILTER (WHERE NOT coalesce({p}, false)) = 0 AS passed FROM {{lineitem}} GROUP BY l_returnflag" for n, p in (("discount", "l_discount <= 0.05"), ("quantity", "l_quantity > 1"), ("tax", "l_tax < 1"))),
         "k1_col_not_null": f"SELECT \"column\", rows, nulls, coalesce(nulls = 0, false) AS passed, CASE WHEN nulls IS NULL THEN 'missing_object' WHEN nulls > 0 THEN 'column_property' END AS failure_kind FROM ({_NULLS}) x",

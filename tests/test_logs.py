@@ -50,6 +50,31 @@ def test_selectors(spark):
     assert [r["selector"] for r in un.collect()] == ["nope"]
 
 
+def test_globs_meet_paths_by_a_whole_word(spark):
+    rng = random.Random(6)
+    parts = ["a", "b.sql", "x_1", "é", "db-2", "10.x", "a.b"]
+    paths = {"/".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(60)} | {"tests/a/b.sql", "tests/x_1"}
+    pieces = ["a", "b", "*", "?", "**/", "/", ".sql", "x_", "1", "[ab]", "[!a]", "é", "-2", "db"]
+    globs = {"".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(150)}
+    globs = sorted(g for g in globs if set(g) & set("*?["))
+    df = spark.createDataFrame([(x,) for x in sorted(paths)], "path string")
+    asked = spark.createDataFrame([(g,) for g in globs], "selector string")
+    got = {(r["path"], r["selector"]) for r in A._met(df, asked, "tests").collect()}
+    s = F.regexp_replace(F.regexp_replace("selector", r"^(\./)+", ""), "/+$", "")
+    held = df.crossJoin(asked).withColumn("s", s).withColumn("re", A.glob_to_regex(F.col("s"))).withColumn("within", F.regexp_replace("path", "^tests/", ""))
+    assert got == {(r["path"], r["selector"]) for r in held.where(A.is_glob(F.col("s")) & (F.regexp_like("path", F.col("re")) | F.regexp_like("within", F.col("re")))).collect()}
+
+
+def test_many_globs_need_no_nested_loop(spark):
+    paths = spark.range(2000).selectExpr("concat('team', id % 500, '/q', id, '/run.sql') AS path")
+    globs = spark.range(100_000).selectExpr("concat('team', id, '/**/*.sql') AS selector")
+    found = A.select_paths(paths, globs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found.count() == 2000
+    assert A.unmatched_selectors(paths, globs).count() == 100_000 - 500
+
+
 def test_history_causes(spark):
     package = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "project int, id long, mode string, deploy_sha256 string, definition_sha256 string")
     edge = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "project int, child long, parent long")

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,23 @@ def test_privileges_are_inherited(spark):
     got = {r["role"]: r["privileges"] for r in G.effective_privileges(grants, members).collect()}
     assert got == {x: ["INSERT", "SELECT"] for x in "abc"}
     assert {r["role"] for r in G.roles_with_any(members, ["a"]).collect()} == {"a", "b", "c"}
+
+
+def test_samples_of_failing_rows_are_bounded_and_stable(spark):
+    from relcheck.operators import rows as P
+
+    rows = [(i, "hot" if i % 10 else "cold", None if i % 7 == 0 else i) for i in range(500)] + [(1000, "fine", 1), (3, None, -1)]
+    have = [spark.createDataFrame(rows, "id int, g string, v int").repartition(n) for n in (1, 6)]
+    found = [{r["g"]: r for r in P.cmp_ok(df, df["v"], "<", F.lit(1).cast("int"), ["g"], 5, ["id"]).collect()} for df in have]
+    for by_group in found:
+        assert {g: (r["rows"], r["failures"], len(r["sample"])) for g, r in by_group.items()} == {"hot": (450, 450, 5), "cold": (50, 49 if rows[0][2] == 0 else 50, 5), "fine": (1, 1, 1), None: (1, 0, 0)}
+        want = sorted((r for r in rows if r[1] == "hot"), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())[:5]
+        assert [x["have"]["display"] for x in by_group["hot"]["sample"]] == [None if r[2] is None else str(r[2]) for r in want]
+        assert by_group["fine"]["sample"][0]["have"].asDict() == {"json": "1", "display": "1", "type": "int", "is_null": False} and by_group["fine"]["sample"][0]["operator"]["display"] == "<"
+    assert found[0] == found[1]
+    df = have[1]
+    (one,) = P.ok(df, df["v"] >= 0, evidence=3).collect()
+    assert one["failures"] == 73 and len(one["sample"]) == 3
+    assert P.ok(df.limit(0), df["v"] >= 0, evidence=3).collect()[0]["sample"] == []
+    plan = P.ok(df, df["v"] >= 0, ["g"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Cartesian" not in plan
