@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .relations import materialise
+from .relations import materialise, written
 
 # Relation kinds of each object type, and the privileges of each object type.
 KINDS = {"table": ("r", "p"), "view": ("v", "m"), "sequence": ("S",)}
@@ -74,22 +74,28 @@ def membership_closure(memberships: DataFrame) -> DataFrame:
         seen = materialise(seen.union(frontier)).toDF("role", "member_of")
 
 
-def effective_privileges(grants: DataFrame, memberships: DataFrame, kind: str = "table") -> DataFrame:
-    """(object, role, privileges): what each role holds directly, by membership and as PUBLIC, sorted.
+def effective_privileges(grants: DataFrame, memberships: DataFrame, kind: str = "table", asked: DataFrame | None = None) -> DataFrame:
+    """(object, role, privileges): what each role holds on an object directly, by membership and as PUBLIC, sorted.
 
-    grants: object, grantee, privilege; only privileges that the kind of object knows count.
+    grants: object, grantee, privilege; only privileges that the kind of object knows count. A role has a row for
+    an object where it holds something by itself or a membership, and for the pairs (object, role) of `asked` where
+    it holds anything at all. What everyone has is a row of the role PUBLIC and is not spelled out for roles that
+    nobody asked about. Privileges are bits, put together within tasks before each shuffle.
     """
-    known = grants.where(F.col("privilege").isin(*PRIVILEGES[kind]))
-    inside = membership_closure(memberships)
-    named = known.where("grantee <> 'PUBLIC'").select("object", F.col("grantee").alias("member_of"), "privilege")
-    grantees = named.select(F.col("member_of").alias("role")).distinct()
-    everyone = inside.select("role").union(grantees).distinct()
-    own = named.select("object", F.col("member_of").alias("role"), "privilege")
-    inherited = named.join(inside, "member_of").select("object", "role", "privilege")
-    public = known.where("grantee = 'PUBLIC'").select("object", "privilege").distinct()
-    # what PUBLIC holds goes to each role by the role's own definition; the list of roles is a catalog, not data
-    to_all = public.withColumn("roles", F.lit(1)).join(everyone.groupBy(F.lit(1).alias("roles")).agg(F.collect_set("role").alias("all")), "roles").select("object", F.explode("all").alias("role"), "privilege")
-    return own.union(inherited).union(to_all).groupBy("object", "role").agg(F.array_sort(F.collect_set("privilege")).alias("privileges"))
+    names = sorted(PRIVILEGES[kind])
+    bit = F.element_at(F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(1 << i)))), F.col("privilege"))
+    known = grants.where(F.col("privilege").isin(*names)).groupBy("object", "grantee").agg(F.bit_or(bit).alias("bits"))
+    public = known.where("grantee = 'PUBLIC'").select("object", F.col("bits").alias("public"))
+    own = known.where("grantee <> 'PUBLIC'").select("object", F.col("grantee").alias("role"), "bits")
+    inherited = own.withColumnRenamed("role", "member_of").join(membership_closure(memberships), "member_of").select("object", "role", "bits")
+    held = own.union(inherited)
+    if asked is not None:
+        held = held.union(asked.select("object", "role", F.lit(0).alias("bits")).distinct())
+    held = held.groupBy("object", "role").agg(F.bit_or("bits").alias("bits"))
+    with_public = held.join(public, "object", "left").select("object", "role", F.col("bits").bitwiseOR(F.coalesce("public", F.lit(0))).alias("bits"))
+    every = with_public.union(public.select("object", F.lit("PUBLIC").alias("role"), "public"))
+    listed = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.lit(n)) for i, n in enumerate(names))))
+    return every.where("bits <> 0").groupBy("object", "role").agg(F.bit_or("bits").alias("bits")).select("object", "role", listed.alias("privileges"))
 
 
 def privs_are(effective: DataFrame, expected: DataFrame) -> DataFrame:
@@ -109,5 +115,16 @@ def owner_is(snapshot: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def roles_with_any(memberships: DataFrame, privileged: list[str]) -> DataFrame:
-    """Roles that are, or are members of, any of the privileged roles."""
-    return membership_closure(memberships).where(F.col("member_of").isin(*privileged)).select("role").distinct()
+    """Roles that are, or are members of, any of the privileged roles, directly or not.
+
+    Walks down from the privileged ones, so other roles' memberships are never followed; a privileged role that has no membership at all is not listed.
+    """
+    direct = written(memberships.select("role", "member_of").distinct())
+    there = direct.select("role").union(direct.select(F.col("member_of").alias("role"))).distinct()
+    frontier = written(there.where(F.col("role").isin(*privileged)))
+    found = frontier
+    while not frontier.isEmpty():
+        below = direct.join(frontier.select(F.col("role").alias("member_of")), "member_of", "left_semi").select("role").distinct()
+        frontier = written(below.join(found, "role", "left_anti"))
+        found = written(found.union(frontier))
+    return found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import human_duration
 from .scans import MOST_ROWS, dealt, running
@@ -136,6 +136,38 @@ def diff_reports(a: DataFrame, b: DataFrame) -> DataFrame:
     return counted.where("in_a <> in_b")
 
 
+def _leaves(value: Column, kind: T.DataType, path: Column) -> Column:
+    """(path, value as text) of every value within a column that isn't null: `a.b`, `a[0]`, and `a.key` of a map."""
+    none = F.array().cast("array<struct<path:string, value:string>>")
+    within = lambda name: F.concat(path, F.when(path == "", F.lit("")).otherwise(F.lit(".")), name)
+    if isinstance(kind, T.StructType):
+        found = F.concat(*(_leaves(value.getField(f.name), f.dataType, within(F.lit(f.name))) for f in kind.fields))
+    elif isinstance(kind, T.ArrayType):
+        found = F.flatten(F.transform(value, lambda x, i: _leaves(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+    elif isinstance(kind, T.MapType):
+        found = F.flatten(F.transform(F.map_entries(value), lambda e: _leaves(e["value"], kind.valueType, within(e["key"]))))
+    else:
+        found = F.array(F.struct(path.alias("path"), value.cast("string").alias("value")))
+    return F.when(value.isNotNull(), found).otherwise(none)
+
+
+def diff_fields(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(run_id, path, was, now): the fields of redacted reports of one run that differ between a and b, wherever they stand.
+
+    was and now are the sorted values that one side has more often: one where a run has one report, none where
+    a side lacks the field or the run. Reports become (path, value) rows in one pass, which are counted within tasks before one shuffle.
+    """
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        run = df.withColumn("run_id", F.col("report.run.id"))
+        redacted = redact_reports(run)
+        each = F.explode(_leaves(F.col("report"), redacted.schema["report"].dataType, F.lit(""))).alias("leaf")
+        return redacted.select("run_id", each).select("run_id", "leaf.path", "leaf.value", F.lit(sign).alias("n"))
+
+    counted = side(a, 1).union(side(b, -1)).groupBy("run_id", "path", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+    more = lambda sign: F.array_sort(F.flatten(F.collect_list(F.when(F.col("n") * sign > 0, F.array_repeat("value", F.abs("n").cast("int"))))))
+    return counted.groupBy("run_id", "path").agg(more(1).alias("was"), more(-1).alias("now"))
+
+
 def exit_code_of(code: Column) -> Column:
     """The exit code of an error code: 0 for none, 70 for one that is not known."""
     out = F.when(code.isNull(), F.lit(0))

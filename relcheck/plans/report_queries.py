@@ -61,6 +61,15 @@ def _reports(spark, d):
     return S.parse_reports(report_documents(spark, d))[0]
 
 
+def _changed_fields(spark, d):
+    """The reports against others of the same runs, in which some outcomes and the status of every revert are others."""
+    reports = _reports(spark, d)
+    steps = F.transform("report.migrations", lambda m: F.when(m["action"] == "revert", m.withField("status", F.lit("gone"))).otherwise(m))
+    outcome = F.when(C("report.run.id") % 10 == 3, F.lit("changed")).otherwise(C("report.outcome"))
+    later = reports.withColumn("report", C("report").withField("outcome", outcome).withField("migrations", steps))
+    return J.diff_fields(reports, later).select(C("run_id").cast("bigint").alias("run_id"), "path", F.array_join("was", ",").alias("was"), F.array_join("now", ",").alias("now"))
+
+
 def _history_sink(spark, d):
     path = _folder(spark)
     log = table(spark, d, "run_log")
@@ -113,6 +122,9 @@ QUERIES = {
     "j5_report_summary": lambda spark, d: J.report_summary(_reports(spark, d)).select(C("run_id").cast("bigint").alias("run_id"), "applied", "verified", "warnings", "summary"),
     "j6_unshown_errors": lambda spark, d: J.unshown_errors(_reports(spark, d)).select(C("run_id").cast("bigint").alias("run_id"), "code", "message"),
     "j7_flatten_reports": lambda spark, d: J.flatten_reports(_reports(spark, d))["packages"].select(C("run_id").cast("bigint").alias("run_id"), C("id").cast("bigint").alias("package_id"), "action", "status", "duration_ms", "error_code"),
+    "j7_scripts": lambda spark, d: J.flatten_reports(_reports(spark, d))["scripts"].select(C("run_id").cast("bigint").alias("run_id"), C("id").cast("bigint").alias("package_id"), "role", "path", "status"),
+    "j7_diagnostics": lambda spark, d: J.flatten_reports(_reports(spark, d))["diagnostics"].groupBy("run_id").agg(F.count("*").alias("warnings"), F.max("place").alias("last"), F.array_join(F.array_sort(F.collect_set("message")), ",").alias("messages")).withColumn("run_id", C("run_id").cast("bigint")),
+    "j8_diff_fields": _changed_fields,
     "j8_diff_reports": lambda spark, d: J.diff_reports(_reports(spark, d), _reports(spark, d).where("report.run.id % 10 <> 3")).select(F.sha2("report", 256).alias("report"), "in_a", "in_b").agg(F.sum(C("in_a") - C("in_b")).alias("only_in_a")),
     "j9_exit_code_of": lambda spark, d: table(spark, d, "run_log").select("run_id", "sequence", J.exit_code_of(F.when(C("outcome") == "failed", F.concat("action", F.lit(".failed"))).when(C("outcome") == "attempted", F.lit("registry.blocked"))).alias("exit_code")),
     "j10_over_budget": lambda spark, d: J.over_budget(table(spark, d, "documents").select("doc_id", "n_chars", F.size(F.split("text", "\n")).alias("lines")), {"n_chars": 4000, "lines": 20}, ["doc_id"]),
@@ -132,6 +144,8 @@ _JUDGED = """(SELECT f.package_id, f.ordinal, f.code, CASE WHEN a.reason IS NOT
     FROM {findings} f LEFT JOIN (SELECT p_partkey AS package_id, 'lint.destructive' AS code, 'ticket ' || p_partkey AS reason FROM {part} WHERE p_partkey < 97 AND p_partkey % 4 = 0) a ON a.package_id = f.package_id AND a.code = f.code)"""
 _READ = "(SELECT * FROM {run_log} WHERE run_id % 13 <> 0 AND run_id % 17 <> 0)"
 
+_STATUS = "CASE WHEN outcome = 'attempted' THEN 'blocked' WHEN starts_with(outcome, 'asserted') THEN 'succeeded' ELSE outcome END"
+
 ORACLE = {
     k: oracle(v)
     for k, v in {
@@ -150,6 +164,10 @@ ORACLE = {
             SELECT run_id, applied, verified, warnings, CASE WHEN bad = 0 AND s = '' THEN 'Nothing to do' WHEN bad = 0 THEN 'Done: ' || s WHEN s = '' THEN 'Failed' ELSE 'Failed after ' || s END || ' in ' || CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', round_even(ms / 1000.0::DOUBLE, 1)) ELSE (ms // 60000) || 'm' || ((ms % 60000) // 1000) || 's' END AS summary FROM p""",
         "j6_unshown_errors": f"SELECT run_id, 'deploy.failed' AS code, CASE WHEN run_id % 2 = 0 THEN 'division by zero' ELSE 'connection lost' END AS message FROM {_READ} r GROUP BY run_id HAVING count(*) FILTER (WHERE outcome = 'failed') > 0 AND (run_id % 2 = 1 OR count(*) FILTER (WHERE outcome = 'failed' AND message = 'division by zero') = 0)",
         "j7_flatten_reports": f"SELECT run_id, package_id, action, CASE WHEN outcome = 'attempted' THEN 'blocked' WHEN starts_with(outcome, 'asserted') THEN 'succeeded' ELSE outcome END AS status, CAST(round(duration_ms) AS BIGINT) AS duration_ms, CASE WHEN outcome = 'failed' THEN 'deploy.failed' END AS error_code FROM {_READ} r",
+        "j7_scripts": f"SELECT run_id, package_id, 'deploy' AS role, 'deploy.sql' AS path, {_STATUS} AS status FROM {_READ} r",
+        "j7_diagnostics": f"SELECT run_id, count(*) AS warnings, CAST(count(*) - 1 AS INTEGER) AS last, string_agg(DISTINCT action, ',' ORDER BY action) AS messages FROM {_READ} r WHERE outcome = 'attempted' GROUP BY run_id",
+        "j8_diff_fields": f"""SELECT run_id, 'outcome' AS path, CASE WHEN count(*) FILTER (WHERE outcome = 'failed') > 0 THEN 'failure' ELSE 'success' END AS was, 'changed' AS now FROM {_READ} r WHERE run_id % 10 = 3 GROUP BY run_id
+            UNION ALL SELECT run_id, 'migrations[' || CAST(place AS VARCHAR) || '].status', {_STATUS}, 'gone' FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sequence) - 1 AS place FROM {_READ} r) s WHERE action = 'revert'""",
         "j8_diff_reports": f"SELECT CAST(count(DISTINCT run_id) AS BIGINT) AS only_in_a FROM {_READ} r WHERE run_id % 10 = 3",
         "j9_exit_code_of": "SELECT run_id, sequence, CAST(CASE WHEN outcome = 'failed' THEN 9 WHEN outcome = 'attempted' THEN 8 ELSE 0 END AS INTEGER) AS exit_code FROM {run_log}",
         "j10_over_budget": "SELECT doc_id, 'n_chars' AS measure, CAST(n_chars AS DOUBLE) AS value, CAST(4000 AS DOUBLE) AS budget FROM {documents} WHERE n_chars > 4000 UNION ALL SELECT doc_id, 'lines', CAST(l AS DOUBLE), 20 FROM (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS l FROM {documents}) t WHERE l > 20",

@@ -107,11 +107,33 @@ def test_policy_allow_beats_deny(spark):
     assert column(spark, [None, "graph.cycle", "deploy.failed", "who knows"], J.exit_code_of) == [0, 4, 9, 70]
 
 
+def test_reports_are_compared_field_by_field(spark):
+    from relcheck.sources import logs as S
+
+    def parsed(*documents):
+        return S.parse_reports(spark.createDataFrame([(d,) for d in documents], "value string"))[0]
+
+    one = '{"report_version":1,"run":{"id":"%s","started_at":"%s"},"outcome":"%s","migrations":[{"id":"%s","slug":"s","status":"%s","duration_ms":%d}],"tests":[{"path":"p","assertions":[{"number":1,"diagnostics":{"have":"%s"}}]}]}'
+    a = parsed(one % ("r1", "x", "success", "i1", "ok", 5, "1"), one % ("r2", "x", "failure", "i1", "ok", 5, "1"), one % ("r2", "x", "failure", "i1", "ok", 5, "1"), '{"report_version":1,"run":{"id":"gone"}}')
+    b = parsed(one % ("r1", "later", "success", "i2", "bad", 9, "2"), one % ("r2", "x", "failure", "i1", "ok", 5, "1"), one % ("r2", "x", "success", "i1", "ok", 5, "1"))
+    got = {(r["run_id"], r["path"]): (r["was"], r["now"]) for r in J.diff_fields(a, b).collect()}
+    assert got == {
+        ("r1", "migrations[0].status"): (["ok"], ["bad"]), ("r1", "tests[0].assertions[0].diagnostics.have"): (["1"], ["2"]), ("r2", "outcome"): (["failure"], ["success"]),
+        ("gone", "report_version"): (["1"], []), ("gone", "run.id"): (["[id]"], []), ("gone", "run.started_at"): (["[started_at]"], []), ("gone", "run.finished_at"): (["[finished_at]"], []), ("gone", "run.duration_ms"): (["0"], []),
+    }
+    assert J.diff_fields(a, a).count() == 0
+
+
 def test_privileges_are_inherited(spark):
     grants = spark.createDataFrame([("t", "a", "SELECT"), ("t", "PUBLIC", "INSERT"), ("t", "a", "NONSENSE")], "object string, grantee string, privilege string")
     members = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", "c")], "role string, member_of string")
     got = {r["role"]: r["privileges"] for r in G.effective_privileges(grants, members).collect()}
-    assert got == {x: ["INSERT", "SELECT"] for x in "abc"}
+    assert got == {x: ["INSERT", "SELECT"] for x in "abc"} | {"PUBLIC": ["INSERT"]}
+    asked = spark.createDataFrame([("t", "stranger"), ("t", "b"), ("u", "b"), ("t", "b")], "object string, role string")
+    found = G.effective_privileges(grants, members, asked=asked)
+    assert {(r["object"], r["role"]): r["privileges"] for r in found.collect()} == {("t", x): ["INSERT", "SELECT"] for x in "abc"} | {("t", x): ["INSERT"] for x in ("PUBLIC", "stranger")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {r["role"] for r in G.roles_with_any(members, ["a"]).collect()} == {"a", "b", "c"}
 
 
