@@ -6,9 +6,11 @@ puts a quarter of all shingles (by their hash) first, rarest first, and the othe
 meet under it go on, as whole sets. Then all shingles are ordered, rarest among these texts first, so that a text of
 which a fifth is its own meets nobody, however common the rest is. SimHash fingerprints, searched with BK-trees,
 link the closest copies of those; at a similarity of 0.8 fingerprints differ in 4 to 11 bits of 64, beyond any
-radius that shards can be searched for, so the rest is left to the prefixes: first a few leaders of the texts that share a
-shingle with all others, then those not yet in one component with each other. Pairs that meet are held against bounds
-of their sizes, places and 256 parity bits each, and are confirmed on whole sets, SimHash's pairs too.
+radius that shards can be searched for, so the rest is left to the prefixes. Texts meet by a shingle and a band of sizes,
+and only one whose shingle lies in its first ninth can be the smaller of two, so texts that share a page of common text
+but are not similar have nobody to meet: first a few leaders of a large group with all others, then those not yet in one
+component with each other. Pairs that meet are held against bounds of their sizes, places and 256 parity bits each, and
+are confirmed on whole sets, SimHash's pairs too.
 """
 
 from __future__ import annotations
@@ -117,6 +119,20 @@ def _prefixes(sets: DataFrame, nodes: DataFrame, first: int, *bits: str) -> Data
     return placed.withColumn("pos", pos).where("late OR pos < prefix").select("h", "set", "n", F.col("pos").cast("int").alias("pos"), *bits)
 
 
+def _bands(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows (h, n, pos, ...) with each band of sizes that hold a smaller or equal partner, and whether the row may be the smaller.
+
+    Two similar sets that first meet at places pos share n - pos shingles at most, each. So the smaller has no more
+    shingles than (n - pos) (1 + 1/similarity) - n of the larger, and the larger no more than that of the smaller: a
+    row whose own size is beyond that (its place lies behind a ninth of the set at 0.8) is never the smaller one.
+    """
+    n, room = F.col("n"), F.floor((F.col("n") - F.col("pos")) * (1 + 1 / similarity) - F.col("n") + 1e-6)
+    band = lambda size: F.floor(F.log(size.cast("double")) / float(-np.log(similarity)))
+    least, most = F.ceil(n * similarity - 1e-6), F.least(n, room)
+    wide = rows.where(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    return wide.withColumn("smaller", (n <= room) & (F.col("band") == band(n)))
+
+
 def _meeting(rows: DataFrame) -> DataFrame:
     """The sets of which a row has company."""
     company = staged(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h"))
@@ -169,47 +185,52 @@ def near_duplicate_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: flo
         chosen = staged(_meeting(rows).join(nodes.select("set", "row", "n", "prefix", *BITS, "fp"), "set"))
         texts = keyed.select("row", "text").join(fits(chosen.select("row").distinct(), most_broadcast), "row", "left_semi")
         sets = staged(map_batches(texts, whole, "set long, hashes array<long>").join(chosen.select("set"), "set", "left_semi").dropDuplicates(["set"]))
-        links, component = None, None
+        component = None
 
         def settle(met: DataFrame) -> bool:
             """Confirms pairs (a, b) and renews the components if one of them is new."""
-            nonlocal links, component
+            nonlocal component
             pairs = staged(met)
-            if pairs.isEmpty():
+            if not (count := pairs.count()):
                 return False
             need = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
             used = sets.join(fits(need, most_broadcast), "set", "left_semi")
             held = pairs.join(used.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(used.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-            fresh = staged(map_batches(held.select("a", "b", "x", "y"), confirm, "a long, b long"))
-            if fresh.isEmpty():
+            fresh = staged(map_batches(held.select("a", "b", "x", "y"), confirm, "a long, b long"), count)
+            if not (count := fresh.count()):
                 return False
-            links = fresh if links is None else links.union(fresh)
-            component = staged(connected_components(links).withColumnRenamed("node", "set"))
+            if component is not None:  # what is known counts as links to the least of each component
+                count += component.count()
+                fresh = fresh.union(component.where("set <> component").select("set", "component"))
+            component = staged(connected_components(fresh).withColumnRenamed("node", "set"), 2 * count)
             return True
 
         def named_by(rows: DataFrame) -> DataFrame:
-            return rows.drop("comp").join(component, "set", "left").select("h", "set", "n", "pos", *BITS, F.coalesce("component", "set").alias("comp"))
+            return rows.drop("comp").join(component, "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
 
         settle(_simhash_pairs(chosen))
         rows = staged(_prefixes(sets, chosen.withColumn("early", F.col("n")), 1, *BITS))
-        rows = named_by(rows) if component is not None else rows.withColumn("comp", F.col("set"))
+        rows = _bands(named_by(rows) if component is not None else rows.withColumn("comp", F.col("set")), similarity)
         one = F.struct("set", "n", "pos", "comp", *BITS)
-        for turn, limit in enumerate([4, *(pair_limit << 4 * turn for turn in range(rounds)), 1 << 62]):
-            sizes = staged(rows.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "size"))
+        key = ["h", "band"]
+        for turn, limit in enumerate([4, *(pair_limit << 4 * turn for turn in range(rounds)), 1 << 31]):
+            groups = rows.groupBy(key).agg(F.count_if("smaller").alias("smaller ones"), F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            sizes = staged(groups.where("`smaller ones` > 0 AND low <> high").select(*key, (F.col("smaller ones") * F.col("size")).alias("work")))
             if sizes.isEmpty():
                 break
-            rows = staged(rows.join(sizes, "h"))
-            small = F.col("size") <= limit
+            rows = staged(rows.join(sizes, key))
+            small = F.col("work") <= limit * limit
             pair = [F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")]
             apart = (F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity)
-            x, y = (rows.where(small).select("h", one.alias(side)) for side in "xy")
-            few = x.join(y, "h").where((F.col("x.set") < F.col("y.set")) & apart).select(*pair)
+            x, y = rows.where(small & F.col("smaller")).select(*key, one.alias("x")), rows.where(small).select(*key, one.alias("y"))
+            ordered = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.set") < F.col("y.set"))
+            few = x.join(y, key).where(ordered & apart).select(*pair)
             # by another hash each turn, so that leaders are spread over the group
             some = F.array(*(F.min(F.struct(F.xxhash64("set", F.lit(leaders * turn + i)).alias("by"), one.alias("y"))) for i in range(leaders)))
-            heads = staged(rows.where(~small).groupBy("h").agg(some.alias("leaders")))
-            many = rows.where(~small).select("h", one.alias("x")).join(heads, "h").select("x", F.explode("leaders.y").alias("y")).where(apart).select(*pair).union(few)
+            heads = rows.where(~small & F.col("smaller")).groupBy(key).agg(some.alias("leaders"))
+            many = rows.where(~small).select(*key, one.alias("x")).join(heads, key).select("x", F.explode("leaders.y").alias("y")).where(apart).select(*pair).union(few)
             renewed = settle(many.distinct())
-            rows = rows.where(~small).select("h", "set", "n", "pos", *BITS, "comp")
+            rows = rows.where(~small).drop("work")
             rows = named_by(rows) if renewed else rows
         named = nodes.select("set", "rep")
         if component is not None:
@@ -232,8 +253,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     similarity or more. Null texts and texts without words have one, empty, set. Rows with a null doc_id
     keep a row but name no component; repeated rows stay repeated; other columns are not read.
 
-    Of more than four texts that share a shingle a few leaders are paired with all others first. Then up to `pair_limit`
-    texts not in one component are paired with each other; of more, other leaders with all, round by round
-    with sixteen times the limit each; what is in different components after `rounds` is paired in full.
+    Of groups with more than 16 possible pairs a few leaders are paired with all others first. Then groups of up to
+    `pair_limit` squared possible pairs are paired in full; of larger ones other leaders with all, round by round with
+    sixteen times the limit each; after `rounds`, what is still in different components is paired with those texts of
+    its band of sizes that can be the smaller.
     """
     return near_duplicate_rows(docs, shingle, similarity, pair_limit, rounds).select("doc_id", F.col("rep.doc_id").alias("component_id"))

@@ -181,6 +181,8 @@ def fits(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: Narrow rows that one task writes where their number is bounded: small tables in hundreds of files cost more than their rows.
+FILE_ROWS = 10_000
 #: Folders staged within the scratch() at hand; none outside of one.
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
@@ -191,12 +193,15 @@ def _folder(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends there, lost executors cost no rework.
 
-    The folder goes at the end of the scratch() around it, else when the driver's JVM ends.
+    The folder goes at the end of the scratch() around it, else when the driver's JVM ends. Where a bound of the
+    rows is known, df is written in no more files than FILE_ROWS rows each need.
     """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(1 + most_rows // FILE_ROWS)
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target, files = _folder(spark, path)
