@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,23 +33,34 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An open element of the left that the start of one of the right ends.
 ENDS = {"p": {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
+ENDED_BY = {name: [x for x in ENDS if name in ENDS[x]] for name in set().union(*ENDS.values())}
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Marks of elements that often hold articles of their own: comments and teasers.
 OTHERS = {"comment", "comments", "commentlist", "respond", "replies", "disqus", "related", "recommended", "trending"}
+#: Parts of a class or id that make it say a state, a layout or a subject instead of what the element is.
+STATES = {"has", "no", "not", "non", "with", "without", "is", "js", "open", "opened", "closed", "active", "enabled", "disabled", "collapsed", "expanded", "visible", "hidden", "free", "layout", "category", "tag", "type", "topic", "subject"}
+#: Parts beside which a header is the article's own.
+OWN = {"article", "entry", "post", "story", "content", "text", "news"}
 #: What an element is: no article, one (a page may have several), or the main body.
 NONE, ARTICLE, BODY = range(3)
 
 
 def _marks(value: str, allowed: set[str]) -> set[str]:
-    """The marks of a class or id whose whole tokens are marks or compounds of marks alone, with numbers or not."""
+    """The marks of a class or id: whole parts of its tokens, unless another part of the token says a state or a layout.
+
+    So ad-slot, user-comments and comment-list are marks; has-sidebar, nav-open and category-advertising are not, nor
+    is post-header.
+    """
     found: set[str] = set()
     for token in value.replace("_", "-").split():
         parts = {p for x in token.split("-") if (p := x.rstrip("0123456789"))}
-        if parts <= MARKS and parts & allowed:
-            found |= parts
+        marks = parts & MARKS
+        if marks & allowed and not parts & STATES and not (marks == {"header"} and parts & OWN):
+            found |= marks
     return found
 
 
@@ -74,7 +86,9 @@ def _role(name: str, attributes: str, in_article: bool) -> tuple[bool, set[str],
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, in an article) of each block in page order, without furniture.
+    """(text, characters of it in links without white space, in an article) of each block in page order, without furniture.
+
+    Between links, what is neither letter nor digit counts as part of them.
 
     An element that is or holds the article isn't furniture by its class or id. Articles within an
     article, and those under marks of comments and teasers where the page has another, aren't the article.
@@ -95,20 +109,22 @@ def _scan(page: str, holds: dict[int, int], free: bool | None) -> tuple[list[tup
     found_free = again = False
     hard, others, nested = 0, 0, 0
     parts: list[str] = []
-    linked, skip, article, links = 0, 0, 0, 0
+    linked, between, skip, article, links = 0, 0, 0, 0, 0
+    open_now: Counter[str] = Counter()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, between
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append((text, linked, article > 0))
+                out.append((text, linked and linked + between, article > 0))
             parts.clear()
-        linked = 0
+        linked = between = 0
 
     def close(upto: int) -> None:
         nonlocal skip, article, links, hard, others, nested, again
         while len(stack) > upto:
             name, furniture, main, place, is_hard, is_other, kind, marked = stack.pop()
+            open_now[name] -= 1
             hard -= is_hard
             others -= is_other
             nested -= kind == ARTICLE
@@ -127,7 +143,9 @@ def _scan(page: str, holds: dict[int, int], free: bool | None) -> tuple[list[tup
             plain = html.unescape(text)
             parts.append(plain)
             if links:
-                linked += len(plain.strip())
+                linked += len("".join(plain.split()))
+            elif not any(map(str.isalnum, plain)):
+                between += len("".join(plain.split()))
         if not m:
             break
         at = m.end()
@@ -135,16 +153,13 @@ def _scan(page: str, holds: dict[int, int], free: bool | None) -> tuple[list[tup
         if not name:
             continue
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-            else:
-                if name not in INLINE:
-                    flush()
+            if open_now[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            elif name not in INLINE:
+                flush()
             continue
         if name not in INLINE:
-            if stack and name in ENDS["p"] | ENDS["li"] | ENDS["dt"] | ENDS["td"] | ENDS["option"]:
+            if any(open_now[x] for x in ENDED_BY.get(name, ())):
                 for i in range(len(stack) - 1, -1, -1):
                     if name in ENDS.get(stack[i][0], ()):
                         close(i)
@@ -163,7 +178,9 @@ def _scan(page: str, holds: dict[int, int], free: bool | None) -> tuple[list[tup
         is_other = bool(marks & OTHERS)
         if free is None and kind:
             holds[m.start()] = holds.get(m.start(), 0) | 1 << kind
-            for x in stack:
+            for x in reversed(stack):
+                if holds.get(x[3], 0) & 1 << kind:  # so have all around it
+                    break
                 holds[x[3]] = holds.get(x[3], 0) | 1 << kind
             found_free |= not (hard or is_hard or others or is_other)
         held = holds.get(m.start(), 0) if free is not None else 0
@@ -171,6 +188,7 @@ def _scan(page: str, holds: dict[int, int], free: bool | None) -> tuple[list[tup
         furniture = is_hard or bool(marks) and not spared
         main = kind != NONE
         stack.append((name, furniture, main, m.start(), is_hard, is_other, kind, bool(marks)))
+        open_now[name] += 1
         hard += is_hard
         others += is_other
         nested += kind == ARTICLE
@@ -182,26 +200,51 @@ def _scan(page: str, holds: dict[int, int], free: bool | None) -> tuple[list[tup
     return out, again, found_free
 
 
+def _weights(lines: list[tuple[str, int, bool]]) -> list[int]:
+    """The length of each line that may be main text, else 0.
+
+    Where the page marks an article, its lines alone have weight. Without one, a line of links alone has none, and
+    one of which half or more is links has none if that holds of it together with the line before or after it, too.
+    """
+    if any(inside for _, _, inside in lines):
+        return [len(text) if inside else 0 for text, _, inside in lines]
+    size = [0, *(len(text.replace(" ", "")) for text, _, _ in lines), 0]
+    linked = [0, *(n for _, n, _ in lines), 0]
+    out = []
+    for i, (text, n, _) in enumerate(lines):
+        near = any(2 * sum(linked[j : j + 2]) >= sum(size[j : j + 2]) for j in (i, i + 1))
+        out.append(0 if n >= size[i + 1] or 2 * n >= size[i + 1] and near else len(text))
+    return out
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
     """The main text of one page; blocks joined by a space. Empty for null and where nothing is kept.
 
-    Where the page marks an article, its lines alone have weight, and any of them is a surge. Without
-    one, a line of which half or more is links has none, and a surge needs `surge` characters in a
-    window that begins with weight; a dive is a window of weightless lines.
+    Any line of a marked article is a surge; without one, a surge needs `surge` characters in a window that begins
+    with weight. The lines with weight right before a surge are kept with it, however short; a dive is a window of
+    weightless lines. A page without a surge keeps every line that has weight.
     """
     lines = lines_of(page or "")
-    marked = any(a for _, _, a in lines)
-    weight = [(len(t) if a else 0) if marked else (0 if 2 * linked >= len(t) else len(t)) for t, linked, a in lines]
-    need = 1 if marked else surge
+    weight = _weights(lines)
     total = [sum(weight[i : i + window]) for i in range(len(weight))]
-    if not marked and weight and sum(weight) < need:
-        need = 1
+    surges = any(w and t >= surge for w, t in zip(weight, total))
+    need = surge if surges and not any(inside for _, _, inside in lines) else 1
     kept: list[str] = []
+    before: list[str] = []
     inside = False
     for (text, _, _), w, t in zip(lines, weight, total):
-        inside = (inside and t > 0) or (not inside and w > 0 and t >= need)
+        if inside and t == 0:
+            inside = False
+        if not inside and w and t >= need:
+            inside = True
+            kept += before
+            before = []
         if inside and w:
             kept.append(text)
+        elif w:
+            before.append(text)
+        else:
+            before = []
     return " ".join(kept)
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from relcheck.llm.html_text import extract, main_text
@@ -83,3 +85,46 @@ def test_given_pages(spark, sf):
 )
 def test_marks_never_hide_the_article(page):
     assert main_text(page) == "Main words"
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "advert-box", "user-comments", "comment-list", "comment-section", "google_ad", "cookie-bar", "site-nav", "related-posts", "ad-1"])
+def test_compounds_of_marks_are_furniture(name):
+    text = "The council met on Monday to settle the plan for the old harbour and its cranes."
+    for tag in ("div", "ol", "section"):
+        assert main_text(f"<div><p>{text}</p><{tag} class='{name}'><p>{text} Else.</p></{tag}><p>End</p></div>") == f"{text} End"
+        assert main_text(f"<main><p>{text}</p><{tag} id='{name}'><p>{text} Else.</p></{tag}><p>End</p></main>") == f"{text} End"
+    if {"comment", "comments", "related"} & set(name.split("-")):
+        assert main_text(f"<main><p>{text}</p><div class='{name}'><article>I disagree</article></div></main>") == text
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "nav-open", "category-advertising", "post-header", "ad-free", "adventure", "tag-cookies topic-social"])
+def test_states_and_subjects_are_no_furniture(name):
+    assert main_text(f"<div class='{name}'><p>Main words of a page</p></div>") == "Main words of a page"
+
+
+def test_short_blocks_around_a_surge_stay():
+    long = "A sentence of the story that is long enough to be a surge of text by itself."
+    page = f"<nav>Menu</nav><div><h2>T</h2><p>word word word word word</p><p>x</p><p>y</p><p>{long}</p><p>z</p><p>{long}</p></div><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul><p>Short</p>"
+    assert main_text(page) == f"T word word word word word x y {long} z {long}"
+
+
+def test_links_weigh_with_their_neighbours():
+    long = "A sentence of the story that is long enough to be a surge of text by itself."
+    linked = "<p>See <a href=/r>the full report of the commission on trade</a>.</p>"
+    assert main_text(f"<div><p>{long}</p>{linked}<p>{long}</p></div>") == f"{long} See the full report of the commission on trade. {long}"
+    menu = "<p><a>Home page</a> | <a>About us</a> | <a>Contact and help</a></p>"
+    assert main_text(f"<div>{menu}<p>{long}</p>{menu}<p>* * *</p><p>{long}</p>{menu}</div>") == f"{long} * * * {long}"
+
+
+@pytest.mark.parametrize(
+    "page,n",
+    [
+        ("<div>" * 100_000 + "</span>" * 100_000 + "words", 5),
+        ("<article>" * 50_000 + "words", 5),
+        ("<b>" * 50_000 + "<p>w" * 50_000, 2 * 50_000 - 1),
+    ],
+)
+def test_odd_nesting_takes_linear_time(page, n):
+    start = time.process_time()
+    assert len(main_text(page)) == n
+    assert time.process_time() - start < 20
