@@ -16,13 +16,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .packing import expand
-from .textscan import ALNUM, LOWER, cut_spans, discard, map_batches, per_text, slices, span_hashes, staged, text_bytes, word_hashes, words
+from .textscan import ALNUM, LOWER, cut_spans, fits, map_batches, per_text, scratch, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 WINDOW = 10
 SAMPLE = 8
+#: Columns inside contamination(): two hashes that name a text, and what earlier blocks of the benchmark hit in it.
+SAME_TEXT = ("text hash", "other text hash")
+SO_FAR = ("spans so far", "items so far")
 
 
 class Windows:
@@ -216,67 +219,86 @@ def _marked(spans: pa.Array, at: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean_text: bool = False, keep: tuple[str, ...] = (), most_broadcast: int = 2_000_000) -> DataFrame:
     """Benchmark windows in every whole text of docs: one row per row of docs.
 
     doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated,
     spans (list of [first word, last word + 1]); with clean_text also clean: the text without the spans.
     Null and empty texts have no words; repeated rows stay; an empty benchmark hits nothing. Words of items
     with a null id are hit, but such items are neither counted nor named; repeated items count once. `keep`
-    names further columns of docs to carry along. For each block of the benchmark but the last what was found
-    so far is written, with the texts, to the shared folder.
+    names further columns of docs to carry along. docs is read once for each block of the benchmark; of every
+    block but the last the spans and items of the texts it hits are written, once for equal texts, and join
+    those texts in the last pass. Texts are never written again, and only those hit are shuffled (all of them
+    if more than `most_broadcast` different ones are hit). Equal texts are told by 128 bits of their hashes.
     """
     extra = [c for c in keep if c not in ("doc_id", "text")]
     kinds = {f.name: f for f in docs.schema.fields}
-    carried = "".join(f", `{c}` {kinds[c].dataType.simpleString()}" for c in extra)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"
-    schema += ", clean string" * clean_text + carried
-    so_far = ["spans so far", "items so far"]
+    schema += ", clean string" * clean_text + "".join(f", `{c}` {kinds[c].dataType.simpleString()}" for c in extra)
+
+    def hits(batch: pa.RecordBatch, block: Windows) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, pa.Array, list[set]]:
+        """A scan of the batch's texts and, with what earlier blocks hit, its hit words, its runs, their spans, and the items of each text."""
+        data, off = text_bytes(batch.column("text"))
+        base = scan(data, off, block)
+        at, hit, items = base["at"], base["hit"], [set() for _ in range(len(off) - 1)]
+        if SO_FAR[0] in batch.schema.names:
+            hit = hit | _marked(batch.column(SO_FAR[0]), at)
+            items = [set(x) for x in batch.column(SO_FAR[1]).to_pylist()]
+        for text, item in base["pairs"].tolist():
+            items[text].add(block.item_ids[item])
+        begin, end = _runs(hit, base["text_of"])
+        of = base["text_of"][begin]
+        spans = ragged_pairs(np.stack([begin, end], axis=1) - at[of][:, None], np.bincount(of, minlength=len(off) - 1))
+        return base | {"hit": hit, "data": data, "off": off}, begin, end, spans, [x - {None} for x in items]
+
+    def part(shared: Broadcast) -> Callable:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                base, _, _, spans, items = hits(batch, shared.value)
+                columns = [*(batch.column(c) for c in SAME_TEXT), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*SAME_TEXT, *SO_FAR]).filter(pa.array(per_text(base["hit"], base["at"]) > 0))
+
+        return each
 
-    def run(shared: Broadcast, last: bool) -> Callable:
+    def whole(shared: Broadcast) -> Callable:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):  # one index a slice
-                data, off = text_bytes(batch.column("text"))
-                n = len(off) - 1
-                base = scan(data, off, shared.value)
-                at, hit, items = base["at"], base["hit"], [set() for _ in range(n)]
-                if so_far[0] in batch.schema.names:
-                    hit = hit | _marked(batch.column(so_far[0]), at)
-                    items = [set(x) for x in batch.column(so_far[1]).to_pylist()]
-                for text, item in base["pairs"].tolist():
-                    items[text].add(shared.value.item_ids[item])
-                begin, end = _runs(hit, base["text_of"])
-                of = base["text_of"][begin]
-                spans = ragged_pairs(np.stack([begin, end], axis=1) - at[of][:, None], np.bincount(of, minlength=n))
-                items = [sorted(x - {None}) for x in items]
-                doc_id, rest = batch.column("doc_id").cast(pa.int64()), [batch.column(c) for c in extra]
-                if not last:
-                    yield pa.RecordBatch.from_arrays([doc_id, batch.column("text"), *rest, spans, pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", *extra, *so_far])
-                    continue
-                n_hit = per_text(hit, at)
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                columns = [doc_id, pa.array(np.diff(at)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0), spans]
+                base, begin, end, spans, items = hits(batch, shared.value)
+                data, off, n_hit = base["data"], base["off"], per_text(base["hit"], base["at"])
+                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+                columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(base["at"])), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0), spans]
                 names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
                 if clean_text:
                     # a span goes with what stands between it and the next word of its text
                     nxt = np.append(base["starts"], len(data))[end]
-                    columns.append(pa.array(cut_spans(data, off, base["starts"][begin], np.minimum(nxt, off[1:][of])), pa.string()))
+                    columns.append(pa.array(cut_spans(data, off, base["starts"][begin], np.minimum(nxt, off[1:][base["text_of"][begin]])), pa.string()))
                     names.append("clean")
-                yield pa.RecordBatch.from_arrays([*columns, *rest], [*names, *extra])
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in extra)], [*names, *extra])
 
         return each
 
-    found, before = docs.select("doc_id", "text", *extra), None
+    spark, found = docs.sparkSession, docs.select("doc_id", "text", *(F.col(f"`{c}`") for c in extra))
     blocks = benchmark_blocks(benchmark, window)
     block = next(blocks)
-    for following in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        found = staged(map_batches(found, run(shared, False), f"doc_id long, text string{carried}, `spans so far` array<array<int>>, `items so far` array<string>"))
-        shared.destroy()
-        if before is not None:
-            discard(before)
-        block, before = following, found
-    return map_batches(found, run(docs.sparkSession.sparkContext.broadcast(block), True), schema)
+    named = dict(zip(SAME_TEXT, (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))))
+    with scratch(spark) as outlive:
+        parts = []
+        for following in blocks:
+            shared = spark.sparkContext.broadcast(block)
+            texts = docs.where("text IS NOT NULL").select("text", *(c.alias(name) for name, c in named.items()))
+            met = map_batches(texts, part(shared), "".join(f"`{c}` long, " for c in SAME_TEXT) + f"`{SO_FAR[0]}` array<array<int>>, `{SO_FAR[1]}` array<string>")
+            # equal texts are hit alike, so copies leave one row, before the shuffle
+            parts.append(staged(met.groupBy(*SAME_TEXT).agg(*(F.min(f"`{c}`").alias(c) for c in SO_FAR))))
+            shared.destroy()
+            block = following
+        if parts:
+            every = spark.read.schema(parts[0].schema).parquet(*(x.staged_path for x in parts))
+            every = outlive(every.groupBy(*SAME_TEXT).agg(*(F.flatten(F.collect_list(f"`{c}`")).alias(c) for c in SO_FAR)))
+            hit = fits(every.select(*SAME_TEXT), most_broadcast)
+            keyed = found.withColumns(named)
+            none = {c: F.array().cast(every.schema[c].dataType) for c in SO_FAR}
+            found = keyed.join(hit, [*SAME_TEXT], "left_semi").join(every, [*SAME_TEXT]).unionByName(keyed.join(hit, [*SAME_TEXT], "left_anti").withColumns(none)).drop(*SAME_TEXT)
+    return map_batches(found, whole(spark.sparkContext.broadcast(block)), schema)
 
 
 def ragged_pairs(spans: np.ndarray, per: np.ndarray) -> pa.Array:

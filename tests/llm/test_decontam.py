@@ -113,3 +113,22 @@ def test_items_without_an_id_hit_but_have_no_name(spark, monkeypatch):
         monkeypatch.setattr(D, "benchmark_blocks", lambda b, w, c=chars: real(b, w, block_chars=c))
         got = D.contamination(docs, items, 2).select("doc_id", "n_hit", "n_items", "items_sha256", "contaminated")
         assert sorted(map(tuple, got.collect()), key=lambda r: r[0] or 99) == want
+
+
+def test_blocks_write_hits_once_for_equal_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three", "x"), (1, "one two three", "y"), (None, "one two three", None), (2, "five six one two", "z"), (3, "nothing", "w"), (4, None, "v"), (5, "", "u")], "doc_id long, text string, more string")
+    items = spark.createDataFrame([("a", "one two"), ("b", "five six"), ("c", "two three")], "item_id string, text string")
+    run = lambda most: sorted(map(str, D.contamination(docs, items, 2, clean_text=True, keep=("more",), most_broadcast=most).collect()))
+    whole, written = run(10), []
+    real, write = D.benchmark_blocks, D.staged
+
+    def watched(df):
+        out = write(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(D, "benchmark_blocks", lambda b, w: real(b, w, block_chars=5))
+    monkeypatch.setattr(D, "staged", watched)
+    assert run(10) == run(0) == whole
+    assert all(columns == [*D.SAME_TEXT, *D.SO_FAR] for columns, _ in written)
+    assert [rows for _, rows in written] == [2, 1] * 2  # "one two" in two different texts, "five six" in one; "two three" is left to the last pass
