@@ -74,28 +74,34 @@ def membership_closure(memberships: DataFrame) -> DataFrame:
         seen = materialise(seen.union(frontier)).toDF("role", "member_of")
 
 
-def effective_privileges(grants: DataFrame, memberships: DataFrame, kind: str = "table", asked: DataFrame | None = None) -> DataFrame:
+def effective_privileges(grants: DataFrame, memberships: DataFrame, kind: str = "table", asked: DataFrame | None = None, broadcast_roles: int = 1_000_000) -> DataFrame:
     """(object, role, privileges): what each role holds on an object directly, by membership and as PUBLIC, sorted.
 
-    grants: object, grantee, privilege; only privileges that the kind of object knows count. A role has a row for
-    an object where it holds something by itself or a membership, and for the pairs (object, role) of `asked` where
-    it holds anything at all. What everyone has is a row of the role PUBLIC and is not spelled out for roles that
-    nobody asked about. Privileges are bits, put together within tasks before each shuffle.
+    grants: object, grantee, privilege; only privileges that the kind of object knows count. Every role that a grant
+    or a membership names has a row for every object where it holds anything, and so has PUBLIC itself. A caller who
+    asks for pairs (object, role), of any roles, gets what PUBLIC holds for these and for the pairs that hold something
+    by themselves or a membership, instead of for every role. Privileges are bits until the end.
     """
     names = sorted(PRIVILEGES[kind])
     bit = F.element_at(F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(1 << i)))), F.col("privilege"))
-    known = grants.where(F.col("privilege").isin(*names)).groupBy("object", "grantee").agg(F.bit_or(bit).alias("bits"))
-    public = known.where("grantee = 'PUBLIC'").select("object", F.col("bits").alias("public"))
+    known = written(grants.where(F.col("privilege").isin(*names)).groupBy("object", "grantee").agg(F.bit_or(bit).alias("bits")))
+    public = known.where("grantee = 'PUBLIC'").select("object", "bits")
     own = known.where("grantee <> 'PUBLIC'").select("object", F.col("grantee").alias("role"), "bits")
     inherited = own.withColumnRenamed("role", "member_of").join(membership_closure(memberships), "member_of").select("object", "role", "bits")
     held = own.union(inherited)
-    if asked is not None:
-        held = held.union(asked.select("object", "role", F.lit(0).alias("bits")).distinct())
-    held = held.groupBy("object", "role").agg(F.bit_or("bits").alias("bits"))
-    with_public = held.join(public, "object", "left").select("object", "role", F.col("bits").bitwiseOR(F.coalesce("public", F.lit(0))).alias("bits"))
-    every = with_public.union(public.select("object", F.lit("PUBLIC").alias("role"), "public"))
+    if asked is None:
+        named = grants.where("grantee <> 'PUBLIC'").select(F.col("grantee").alias("role"))
+        roles = written(named.union(memberships.select("role")).union(memberships.select("member_of")).distinct())
+        if roles.count() <= broadcast_roles:
+            roles = F.broadcast(roles)
+        # each object meets each role, so few objects are dealt out too
+        tasks = int(grants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shared = written(public).repartition(tasks).crossJoin(roles)
+    else:
+        shared = held.select("object", "role").union(asked.select("object", "role")).distinct().join(public, "object")
+    every = held.union(shared.select("object", "role", "bits")).union(public.select("object", F.lit("PUBLIC"), "bits"))
     listed = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.lit(n)) for i, n in enumerate(names))))
-    return every.where("bits <> 0").groupBy("object", "role").agg(F.bit_or("bits").alias("bits")).select("object", "role", listed.alias("privileges"))
+    return every.groupBy("object", "role").agg(F.bit_or("bits").alias("bits")).select("object", "role", listed.alias("privileges"))
 
 
 def privs_are(effective: DataFrame, expected: DataFrame) -> DataFrame:

@@ -88,8 +88,8 @@ def _assertions(source: str = "{assertion_log}") -> str:
 _EXPECTED = "(SELECT DISTINCT db, schema_name, CASE WHEN length(relation) % 3 = 0 THEN relation || '_gone' ELSE relation END AS relation FROM {catalog_snapshot})"
 _CLOSED = "c AS (SELECT role, role AS member_of FROM (SELECT role FROM {memberships} UNION SELECT member_of FROM {memberships}) r UNION SELECT c.role, m.member_of FROM c JOIN {memberships} m ON m.role = c.member_of)"
 _PRIVS = f"""{_CLOSED}, o AS (SELECT object, grantee AS role, privilege FROM {{grants}} WHERE grantee <> 'PUBLIC' UNION SELECT object, c.role, privilege FROM {{grants}} g JOIN c ON c.member_of = g.grantee),
-    u AS (SELECT object, privilege FROM {{grants}} WHERE grantee = 'PUBLIC'),
-    h AS (SELECT * FROM o UNION SELECT o.object, o.role, u.privilege FROM o JOIN u ON u.object = o.object UNION SELECT object, 'PUBLIC', privilege FROM u)"""
+    u AS (SELECT object, privilege FROM {{grants}} WHERE grantee = 'PUBLIC'), everyone AS (SELECT role FROM c UNION SELECT grantee FROM {{grants}} WHERE grantee <> 'PUBLIC'),
+    h AS (SELECT * FROM o UNION SELECT u.object, e.role, u.privilege FROM u, everyone e UNION SELECT object, 'PUBLIC', privilege FROM u)"""
 _FILE_OUTCOME = """SELECT f.file_id, CAST(CASE WHEN f.file_id % 10 = 3 AND has5 THEN 0 ELSE coalesce(n, 0) END AS BIGINT) AS results, NOT (f.file_id % 10 = 3 AND has5) AND coalesce(failed, 0) = 0 AS passed
     FROM (SELECT file_id, bool_or(seq = 5) AS has5 FROM {assertion_log} GROUP BY file_id) f LEFT JOIN (SELECT file_id, count(*) AS n, count(*) FILTER (WHERE directive IS NULL AND NOT passed) AS failed FROM res GROUP BY file_id) r ON r.file_id = f.file_id"""
 _LESS = "(SELECT * FROM {assertion_log} WHERE op <> 'assert' OR passed OR file_id % 3 > 0)"

@@ -137,6 +137,52 @@ def test_privileges_are_inherited(spark):
     assert {r["role"] for r in G.roles_with_any(members, ["a"]).collect()} == {"a", "b", "c"}
 
 
+def test_public_privileges_are_spelled_out_for_every_role(spark):
+    rows = [("t", "a", "SELECT"), ("u", "PUBLIC", "INSERT"), ("u", "PUBLIC", "MAINTAIN"), ("u", "a", "DELETE"), ("v", "PUBLIC", "SELECT"), ("v", "d", "NONSENSE")]
+    grants = spark.createDataFrame(rows, "object string, grantee string, privilege string")
+    members = spark.createDataFrame([("c", "b"), ("b", "a"), ("e", "f")], "role string, member_of string")
+    want = {("t", x): ["SELECT"] for x in "abc"} | {("v", x): ["SELECT"] for x in [*"abcdef", "PUBLIC"]}
+    want |= {("u", x): ["DELETE", "INSERT", "MAINTAIN"] for x in "abc"} | {("u", x): ["INSERT", "MAINTAIN"] for x in [*"def", "PUBLIC"]}
+    got = [((r["object"], r["role"]), r["privileges"]) for r in G.effective_privileges(grants, members).collect()]
+    assert sorted(got) == sorted(want.items())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        unsent = G.effective_privileges(grants, members, broadcast_roles=2)
+        assert "CartesianProduct" in unsent._jdf.queryExecution().executedPlan().toString()
+        assert sorted(((r["object"], r["role"]), r["privileges"]) for r in unsent.collect()) == sorted(want.items())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def held_by_all(spark, sf):
+    """(object, role) to privileges, and direct grants, of the derived tables by brute force."""
+    from relcheck.plans.fixtures import table
+
+    grants = [tuple(r) for r in table(spark, sf, "grants").select("object", "grantee", "privilege").collect()]
+    above = {}
+    for r in table(spark, sf, "memberships").collect():
+        above.setdefault(r["role"], set()).add(r["member_of"])
+        above.setdefault(r["member_of"], set())
+    for _ in above:
+        above = {x: up.union(*(above[y] for y in up)) for x, up in above.items()}
+    held, direct = {}, {}
+    for role in {*above, "PUBLIC", *(g[1] for g in grants)}:
+        for obj, grantee, privilege in grants:
+            if grantee in {role, "PUBLIC", *above.get(role, ())}:
+                held.setdefault((obj, role), set()).add(privilege)
+            if grantee == role != "PUBLIC":
+                direct.setdefault((obj, role), set()).add(privilege)
+    return held, direct
+
+
+def test_query_of_effective_privileges_names_every_role(spark, sf):
+    import __spark_entry__ as entry
+
+    held, _ = held_by_all(spark, sf)
+    got = [((r["object"], r["role"]), r["privileges"]) for r in entry.queries()["g6_effective_privileges"](spark, sf).collect()]
+    assert sorted(got) == sorted((k, ",".join(sorted(v))) for k, v in held.items())
+
+
 def test_samples_of_failing_rows_are_bounded_and_stable(spark):
     from relcheck.operators import rows as P
 
