@@ -183,6 +183,15 @@ def test_query_of_effective_privileges_names_every_role(spark, sf):
     assert sorted(got) == sorted((k, ",".join(sorted(v))) for k, v in held.items())
 
 
+def test_query_of_privilege_comparison_names_every_role(spark, sf):
+    import __spark_entry__ as entry
+
+    held, direct = held_by_all(spark, sf)
+    want = [(k, held[k] == direct.get(k, set()), "", ",".join(sorted(held[k] - direct.get(k, set())))) for k in held]
+    got = [((r["object"], r["role"]), r["passed"], r["missing"], r["unexpected"]) for r in entry.queries()["g7_privs_are"](spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_samples_of_failing_rows_are_bounded_and_stable(spark):
     from relcheck.operators import rows as P
 
